@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import documents
-from shelfmark.plans.lineage import cut
+from shelfmark.plans.lineage import cut, shared_dir
 
-CHUNK, BUCKET = 5_000_000, 1_000_000
+CHUNK, BUCKET = 2_500_000, 1_000_000
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
 EM_ROUNDS, BINS, CONTEXTS = 60, 80, 40
 
@@ -277,7 +277,10 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET) -> Model:
-    packed = cut(chunks(docs, id_col, text_col, chunk))
+    spark = docs.sparkSession
+    shared_dir(spark)
+    # Dealt out by chunk once and checkpointed with that partitioning, the chunks stay where they are in both cogroups.
+    packed = chunks(docs, id_col, text_col, chunk).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").checkpoint(eager=True)
     sizes = packed.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, n, train_docs = (int(s or 0) for s in sizes)
     bits = max(0, int(np.ceil(np.log2(max(1, tokens) / bucket))))
