@@ -6,8 +6,8 @@ fold, each scored with its own text deleted from the counts.
 
 How it is spread. Nothing of the model is broadcast, since it grows with the corpus:
 
-1. Texts are packed into chunks of about ``CHUNK`` tokens (a row each: word numbers within the chunk, hashes of its words,
-   ids), compressed and checkpointed. A chunk is the unit that asks for counts, so a key is asked for once a chunk and not
+1. Texts are packed into chunks of up to about ``CHUNK`` tokens (a row each: word numbers within the chunk, hashes of its
+   words, ids), compressed and checkpointed. The fold that the EM learns from has chunks of its own. A chunk is the unit that asks for counts, so a key is asked for once a chunk and not
    once an occurrence.
 2. Each chunk sends, for all its distinct words and bigrams, 64-bit keys in order with its own training counts, cut by the
    leading bits into buckets. A bucket is a task's group: it adds up the counts of its keys over all chunks and answers each
@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import documents
-from shelfmark.plans.lineage import cut, shared_dir
+from shelfmark.plans.lineage import cut
 
-CHUNK, BUCKET = 2_500_000, 1_000_000
+CHUNK, BUCKET = 3_500_000, 1_000_000
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
 EM_ROUNDS, BINS, CONTEXTS = 60, 80, 40
 
@@ -81,21 +81,24 @@ class Chunk:
         self.previous = previous
         self.train = np.repeat(folds != HELD_OUT, sizes)
 
-    def keys(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For words and for bigrams: keys in order, own training counts, and (codes in order, their places among the keys)."""
-        out = []
+    def keys(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words (kind 0) or bigrams (1): keys in order, own training counts; codes in order, their places among the keys."""
         n = np.int64(len(self.words))
-        for code in (self.ids.astype(np.int64), self.previous.astype(np.int64) * n + self.ids):
-            marked = np.sort(code * 2 + self.train)
-            first = np.flatnonzero(np.concatenate(([True], marked[1:] >> 1 != marked[:-1] >> 1))) if len(marked) else np.zeros(0, np.int64)
-            codes = marked[first] >> 1
-            own = np.add.reduceat(marked & 1, first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
-            keys = self.words[codes] if not out else mix(self.words[codes // n], self.words[codes % n])
-            order = np.argsort(keys, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            out.append((keys[order], own[order], codes, place))
-        return out
+        marked = self.codes(kind) * 2
+        marked += self.train
+        marked.sort()
+        first = np.flatnonzero(np.concatenate(([True], marked[1:] >> 1 != marked[:-1] >> 1))) if len(marked) else np.zeros(0, np.int64)
+        codes = marked[first] >> 1
+        own = np.add.reduceat(marked & 1, first).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
+        del marked, first
+        keys = mix(self.words[codes // n], self.words[codes % n]) if kind else self.words[codes]
+        order = np.argsort(keys, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return keys[order], own[order], codes, place
+
+    def codes(self, kind: int) -> np.ndarray:
+        return self.previous.astype(np.int64) * len(self.words) + self.ids if kind else self.ids.astype(np.int64)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,36 +109,42 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_CHUNK_SCHEMA = "chunk long, tokens long, train_tokens long, train_docs long, doc_ids array<long>, sizes binary, ids binary, words binary"
+_CHUNK_SCHEMA = "chunk long, em boolean, tokens long, train_tokens long, train_docs long, doc_ids array<long>, sizes binary, ids binary, words binary"
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK) -> DataFrame:
     def each(batches):
         part, done = TaskContext.get().partitionId(), 0
-        numbers, held, doc_ids, total = _Numbering(), [], [], 0
+        open_chunks = {em: (_Numbering(), [], []) for em in (False, True)}
 
-        def row():
+        def close(em: bool):
+            nonlocal done
+            numbers, held, doc_ids = open_chunks[em]
+            open_chunks[em] = (_Numbering(), [], [])
             ids = np.concatenate(held)
             sizes = np.array([len(x) for x in held], np.int32)
             train = np.array([fold_of(i) != HELD_OUT for i in doc_ids])
             words = np.array([_BEGIN_HASH, _END_HASH, *map(xxhash.xxh64_intdigest, numbers)], np.uint64)
-            values = [(part << 32) + done, len(ids), int(sizes[train].sum()), int(train.sum()), list(doc_ids), pack(sizes), pack(ids), words.tobytes()]
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.binary()] * 3
+            values = [(part << 32) + done, em, len(ids), int(sizes[train].sum()), int(train.sum()), doc_ids, pack(sizes), pack(ids), words.tobytes()]
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+            done += 1
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _CHUNK_SCHEMA.split(", ")])
 
+        sizes = {False: 0, True: 0}
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                em = fold_of(doc_id) == EM_FOLD
+                numbers, held, doc_ids = open_chunks[em]
                 found = (text.as_py() or "").encode("utf-8", "replace").lower().split()
-                x = np.fromiter(map(numbers.__getitem__, found), np.int32, count=len(found))
-                held.append(np.append(x, np.int32(END)))
-                doc_ids.append(doc_id.as_py())
-                total += len(x) + 1
-                if total >= size:
-                    yield row()
-                    done += 1
-                    numbers, held, doc_ids, total = _Numbering(), [], [], 0
-        if held:
-            yield row()
+                held.append(np.append(np.fromiter(map(numbers.__getitem__, found), np.int32, count=len(found)), np.int32(END)))
+                doc_ids.append(doc_id)
+                sizes[em] += len(held[-1])
+                if sizes[em] >= size:
+                    yield close(em)
+                    sizes[em] = 0
+        for em in (False, True):
+            if sizes[em]:
+                yield close(em)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, _CHUNK_SCHEMA)
 
@@ -154,7 +163,8 @@ def requests(packed: DataFrame, bits: int) -> DataFrame:
     def each(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                for kind, (keys, own, _, _) in enumerate(_chunk(row).keys()):
+                for kind in (0, 1):
+                    keys, own, _, _ = _chunk(row).keys(kind)
                     ends = _bucket_ends(keys, bits)
                     rows = [(b, a, e) for b, (a, e) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if e > a]
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array([b for b, _, _ in rows], pa.int32()), pa.array([row["chunk"]] * len(rows), pa.int64()), pa.array([_delta(keys[a:e]) for _, a, e in rows], pa.binary()), pa.array([pack(own[a:e]) for _, a, e in rows], pa.binary())], names=["kind", "bucket", "chunk", "keys", "own"])
@@ -194,17 +204,17 @@ class Counted:
 
     def __init__(self, row: dict, answers: list[dict], train_docs: int):
         self.chunk = c = _chunk(row)
-        by_kind = []
-        for kind, (_, _, codes, place) in enumerate(c.keys()):
-            lists = [unpack(a["totals"], np.uint64) for a in sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["bucket"])]
-            by_kind.append((codes, (np.concatenate(lists) if lists else np.zeros(0, np.uint64))[place].astype(np.int64)))
         self.word = np.zeros(len(c.words), np.int64)
-        self.word[by_kind[0][0]] = by_kind[0][1]
+        for kind in (0, 1):
+            _, _, codes, place = c.keys(kind)
+            lists = [unpack(a["totals"], np.uint64) for a in sorted((a for a in answers if a["kind"] == kind), key=lambda a: a["bucket"])]
+            counts = (np.concatenate(lists) if lists else np.zeros(0, np.uint64))[place].astype(np.int64)
+            if kind:
+                self.pair = counts[np.searchsorted(codes, c.codes(1))]
+            else:
+                self.word[codes] = counts
         self.context = self.word.copy()
         self.context[BEGIN] = train_docs
-        code = c.previous.astype(np.int64) * len(c.words) + c.ids
-        self.code, (codes, counts) = code, by_kind[1]
-        self.pair = counts[np.searchsorted(codes, code)] if len(code) else np.zeros(0, np.int64)
 
 
 def bucket_of(count: np.ndarray) -> np.ndarray:
@@ -228,7 +238,8 @@ def held_out_cells(x: Counted, n: int) -> tuple[np.ndarray, np.ndarray]:
     c, found = x.chunk, []
     for d in np.flatnonzero(c.folds == EM_FOLD).tolist():
         s = slice(c.starts[d], c.starts[d] + c.sizes[d])
-        ids, previous, code = c.ids[s], c.previous[s], x.code[s]
+        ids, previous = c.ids[s], c.previous[s]
+        code = previous.astype(np.int64) * len(c.words) + ids
         own = lambda a: (lambda u: u[1][u[0]])(np.unique(a, return_inverse=True, return_counts=True)[1:])
         word = x.word[ids] - own(ids)
         every, where = np.unique(np.concatenate([previous, ids]), return_inverse=True)
@@ -267,20 +278,20 @@ class Model:
     def __init__(self, packed: DataFrame, answers: DataFrame, n: int, v: int, train_docs: int, weights: np.ndarray | None = None):
         self.packed, self.answers, self.n, self.v, self.train_docs, self.weights = packed, answers, n, v, train_docs, weights
 
-    def over_chunks(self, each, schema: str) -> DataFrame:
-        train_docs = self.train_docs
+    def over_chunks(self, each, schema: str, em_only: bool = False) -> DataFrame:
+        train_docs, packed, answers = self.train_docs, self.packed, self.answers
+        if em_only:
+            packed = packed.filter("em")
+            answers = answers.join(F.broadcast(packed.select("chunk")), "chunk", "left_semi") if packed.count() <= 1_000_000 else answers.join(packed.select("chunk"), "chunk", "left_semi")
 
         def both(left: pa.Table, right: pa.Table) -> pa.Table:
             return each([(row, Counted(row, right.to_pylist(), train_docs)) for row in left.to_pylist()])
 
-        return self.packed.groupBy("chunk").cogroup(self.answers.groupBy("chunk")).applyInArrow(both, schema)
+        return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, bucket: int = BUCKET) -> Model:
-    spark = docs.sparkSession
-    shared_dir(spark)
-    # Dealt out by chunk once and checkpointed with that partitioning, the chunks stay where they are in both cogroups.
-    packed = chunks(docs, id_col, text_col, chunk).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").checkpoint(eager=True)
+    packed = cut(chunks(docs, id_col, text_col, chunk))
     sizes = packed.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, n, train_docs = (int(s or 0) for s in sizes)
     bits = max(0, int(np.ceil(np.log2(max(1, tokens) / bucket))))
@@ -292,7 +303,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk:
         found = [held_out_cells(x, n) for _, x in counted]
         return pa.table({"cell": pa.array(np.concatenate([c for c, _ in found])), "n": pa.array(np.concatenate([k for _, k in found]))})
 
-    rows = model.over_chunks(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most CONTEXTS * BINS ** 2
+    rows = model.over_chunks(cells, "cell long, n long", em_only=True).groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most CONTEXTS * BINS ** 2
     model.weights = learn_weights({r["cell"]: r["n"] for r in rows}, v)
     return model
 
