@@ -18,7 +18,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -143,16 +143,19 @@ class ByteCNN:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> ByteCNN:
     """(id, text, lang) -> a trained network, from a bounded sample."""
     labelled = labelled.filter("lang is not null and text is not null")
+    labelled = labelled.filter("id is not null")
     languages = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
     model = ByteCNN(languages)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id"))
+    picks = labelled.filter(F.col("lang").isin(languages)).select("id", "lang", place.alias("place")).filter(F.col("place") <= sample).select("id").distinct()
+    rows = labelled.join(F.broadcast(picks), "id").select("id", "lang", "text").collect()  # at most `sample` ids a language
     xs, ys = [], []
-    for y, lang in enumerate(languages):
-        for r in labelled.filter(F.col("lang") == lang).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("text").collect():
-            if _LETTER.search(r["text"]):
-                w = windows(r["text"])
-                w = w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_A_TEXT).astype(int))]
-                xs.append(w)
-                ys += [y] * len(w)
+    for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["text"])):
+        if r["lang"] in languages and _LETTER.search(r["text"]):
+            w = windows(r["text"])
+            w = w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_A_TEXT).astype(int))]
+            xs.append(w)
+            ys += [languages.index(r["lang"])] * len(w)
     return model.train(np.concatenate(xs), np.array(ys)) if xs else model
 
 

@@ -16,11 +16,12 @@ extra columns aren't looked at.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -91,11 +92,11 @@ def fit(labelled: DataFrame, dictionary_rows: int = DICTIONARY_ROWS, calibration
     """(id, text, label) -> compressors, slope, offset. Collects a bounded sample only."""
     labelled = labelled.filter("label in (0, 1)")
     counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sample = {}
-    for label in (0, 1):
-        order = F.xxhash64("id", F.lit(7))
-        rows = labelled.filter(F.col("label") == label).orderBy(order, "id").limit(dictionary_rows + calibration_rows)
-        sample[label] = [(r["text"] or "").encode() for r in rows.select("text").collect()]
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(7)), "id"))
+    picks = labelled.select("id", place.alias("place"), "label").filter(F.col("place") <= dictionary_rows + calibration_rows).select("id").distinct()
+    rows = labelled.filter("id is not null").join(F.broadcast(picks), "id").select("id", "label", "text").collect()  # about as many rows
+    rows = sorted(((zlib.crc32(str(r["id"]).encode()), r["id"], r["label"], (r["text"] or "").encode()) for r in rows))
+    sample = {label: [t for _, _, x, t in rows if x == label] for label in (0, 1)}
     parts = {}
     for label, texts in sample.items():
         cutoff = min(dictionary_rows, (len(texts) + 1) // 2)
