@@ -1,3 +1,457 @@
 """All queries by name, with the SQL that gives the same rows."""
 
-QUERIES, ORACLE_SQL, FLAGSHIP = {}, {}, None
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.functions import text as text_functions
+from shelfmark.operators import analysis, features, interactions, quality, recommend
+from shelfmark.plans.lineage import shared_dir
+from shelfmark.sources import tables
+from shelfmark.sources.tables import LINE_KEY, table
+
+QUERIES, ORACLE_SQL = {}, {}
+KEY = ("user_id", "item_id", "rating", *LINE_KEY[:5])
+K = ", ".join(KEY)
+FIRST, LAST = "1996-01-01", "2000-12-31"
+
+I1 = """i AS (SELECT o_custkey AS user_id, l_partkey AS item_id, (1 + floor((l_quantity - 1) / 10))::DOUBLE AS rating, o_orderdate AS ts,
+  l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_shipdate FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+_EVENTS = """i AS (SELECT user_id, event_id % (SELECT count(*) FROM {0}) AS item_id, CASE event_type WHEN 'purchase' THEN 5.0 WHEN 'signup' THEN 4.0 WHEN 'click' THEN 3.0 WHEN 'view' THEN 2.0 ELSE 1.0 END::DOUBLE AS rating, ts, event_id FROM events)"""
+I2, I3 = _EVENTS.format("documents"), _EVENTS.format("embeddings")
+LATEST = """d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, event_id DESC) AS r FROM i) WHERE r = 1)"""
+SPLIT = """p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, {0}) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM d),
+s AS (SELECT *, CASE WHEN n >= 3 AND pos >= n - least(greatest(floor(n * 0.2::DOUBLE), 1), n - 1) THEN 'test' ELSE 'train' END AS split FROM p)"""
+TRAIN = f"{LATEST}, {SPLIT.format('event_id')}, train AS (SELECT * FROM s WHERE split = 'train'), test AS (SELECT * FROM s WHERE split = 'test')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+lines = tables.line_interactions
+
+
+def latest_lines(spark: SparkSession, d: str) -> DataFrame:
+    return interactions.one_a_pair(lines(spark, d), F.desc("ts"), *[F.desc(c) for c in LINE_KEY])
+
+
+def event_split(spark: SparkSession, d: str, items: str) -> tuple[DataFrame, DataFrame]:
+    latest = interactions.one_a_pair(tables.event_interactions(spark, d, items), F.desc("ts"), F.desc("event_id"))
+    split = interactions.temporal_split(latest, "event_id")
+    return split.filter("split = 'train'"), split.filter("split = 'test'")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+# Sampling
+
+@query(f"WITH {I1} SELECT user_id, count(*) AS n_reviews FROM i GROUP BY user_id HAVING count(*) >= 20")
+def active_user_counts(spark, d):
+    return interactions.active_users(lines(spark, d))
+
+
+_SAMPLE = "u AS (SELECT user_id FROM w GROUP BY user_id HAVING count(*) >= 20 ORDER BY md5('42:' || user_id), user_id LIMIT 100)"
+
+
+@query(f"WITH {I1}, w AS (SELECT * FROM i), {_SAMPLE} SELECT {K} FROM i WHERE user_id IN (SELECT user_id FROM u)")
+def active_user_sample(spark, d):
+    return interactions.sample_active(lines(spark, d), 100).select(*KEY)
+
+
+@query(f"WITH {I1}, w AS (SELECT * FROM i WHERE year(ts) BETWEEN 1998 AND 2001), {_SAMPLE} SELECT {K} FROM w WHERE user_id IN (SELECT user_id FROM u)")
+def temporal_user_sample(spark, d):
+    return interactions.sample_temporal(lines(spark, d), 100, 1998, 2001).select(*KEY)
+
+
+@query(f"WITH {I1} SELECT year(ts) AS year, count(*) AS n, count(DISTINCT user_id) AS users FROM i GROUP BY 1")
+def year_stats(spark, d):
+    return interactions.year_stats(lines(spark, d))
+
+
+# Cleaning
+
+def dirty(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines with some ratings null or 0 and some times null."""
+    rating = F.when(F.col("l_orderkey") % 11 == 0, None).when(F.col("l_orderkey") % 13 == 0, 0.0).otherwise(F.col("rating"))
+    return lines(spark, d).withColumns({"rating": rating, "ts": F.when(F.col("l_orderkey") % 17 != 0, F.col("ts"))})
+
+
+_DIRTY = f"""{I1}, b AS (SELECT * REPLACE (CASE WHEN l_orderkey % 11 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 0.0 ELSE rating END::DOUBLE AS rating, CASE WHEN l_orderkey % 17 <> 0 THEN ts END AS ts) FROM i),
+c AS (SELECT *, coalesce(rating > 0, false) AS okr, coalesce(ts BETWEEN '{FIRST}' AND '{LAST}', false) AS okt FROM b)"""
+
+
+@query(f"WITH {_DIRTY} SELECT {K} FROM c WHERE okr AND okt")
+def clean_interactions(spark, d):
+    return interactions.clean(dirty(spark, d), FIRST, LAST).select(*KEY)
+
+
+@query(f"WITH {_DIRTY} SELECT count(*) AS rows_before, count_if(NOT okr)::BIGINT AS dropped_rating, count_if(okr AND NOT okt)::BIGINT AS dropped_ts, count_if(okr AND okt)::BIGINT AS rows_after FROM c")
+def clean_drop_report(spark, d):
+    return interactions.clean_report(dirty(spark, d), FIRST, LAST)
+
+
+def _core_sql(rounds: int, user: int, item: int) -> str:
+    out, last = [], "i"
+    for r in range(rounds):
+        out += [f"a{r} AS MATERIALIZED (SELECT * FROM {last} WHERE item_id IN (SELECT item_id FROM {last} GROUP BY item_id HAVING count(*) >= {item}))", f"b{r} AS MATERIALIZED (SELECT * FROM a{r} WHERE user_id IN (SELECT user_id FROM a{r} GROUP BY user_id HAVING count(*) >= {user}))"]
+        last = f"b{r}"
+    return f"WITH {I1}, {', '.join(out)} ", last
+
+
+_CORE, _CORE_LAST = _core_sql(9, 25, 22)
+
+
+@query(f"{_CORE} SELECT {K} FROM {_CORE_LAST}")
+def kcore_filter(spark, d):
+    return interactions.k_core(lines(spark, d), 25, 22)[0].select(*KEY)
+
+
+@query(f"{_CORE} SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, coalesce(round(1 - count(*) / nullif(count(DISTINCT user_id) * count(DISTINCT item_id), 0), 6), 1.0)::DOUBLE AS sparsity FROM {_CORE_LAST}")
+def kcore_report(spark, d):
+    return interactions.shape(interactions.k_core(lines(spark, d), 25, 22)[0])
+
+
+_DESC = ", ".join(f"{c} DESC" for c in LINE_KEY)
+
+
+@query(f"WITH {I1}, d AS (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY {_DESC}) AS r FROM i) SELECT {K} FROM d WHERE r = 1")
+def dedup_last(spark, d):
+    return interactions.one_a_pair(lines(spark, d), *[F.desc(c) for c in LINE_KEY]).select(*KEY)
+
+
+_LATEST1 = f"d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, {_DESC}) AS r FROM i) WHERE r = 1)"
+
+
+@query(f"WITH {I1}, {_LATEST1} SELECT {K} FROM d")
+def dedup_latest(spark, d):
+    return latest_lines(spark, d).select(*KEY)
+
+
+@query(f"WITH {I1}, p AS (SELECT count(*) AS c FROM i GROUP BY user_id, item_id) SELECT sum(c)::BIGINT AS n_rows, sum(c - 1)::BIGINT AS duplicate_pairs, count_if(c > 1)::BIGINT AS repeated_pairs FROM p")
+def duplicate_report(spark, d):
+    return interactions.duplicate_report(lines(spark, d))
+
+
+# Splits
+
+_RANDOM = """p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || item_id), item_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM d),
+s AS (SELECT *, CASE WHEN pos >= n - least(greatest(floor(n * (1.0::DOUBLE - 0.8::DOUBLE)), 1), n - 1) THEN 'test' ELSE 'train' END AS split FROM p)"""
+
+
+@query(f"WITH {I1}, {_LATEST1}, {_RANDOM} SELECT user_id, item_id, rating, split FROM s")
+def random_split(spark, d):
+    return interactions.random_split(latest_lines(spark, d)).select("user_id", "item_id", "rating", "split")
+
+
+_TEMPORAL = SPLIT.format(", ".join(LINE_KEY))
+
+
+@query(f"WITH {I1}, {_LATEST1}, {_TEMPORAL} SELECT user_id, item_id, rating, split FROM s")
+def temporal_split(spark, d):
+    return interactions.temporal_split(latest_lines(spark, d), *LINE_KEY).select("user_id", "item_id", "rating", "split")
+
+
+@query(f"""WITH {I1}, {_LATEST1}, {_TEMPORAL}, u AS (SELECT user_id, count_if(split = 'train') AS tr, count_if(split = 'test') AS te FROM s GROUP BY 1), m AS (SELECT item_id, count_if(split = 'train') AS tr FROM s GROUP BY 1)
+SELECT sum(tr)::BIGINT AS train_rows, sum(te)::BIGINT AS test_rows, count_if(te = 0)::BIGINT AS train_only_users, count_if(te > 0 AND tr = 0)::BIGINT AS test_only_users, (SELECT count_if(tr = 0)::BIGINT FROM m) AS test_only_items FROM u""")
+def split_report(spark, d):
+    return interactions.split_report(interactions.temporal_split(latest_lines(spark, d), *LINE_KEY))
+
+
+@query(f"WITH {I1}, u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM i)), t AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM i)) SELECT user_idx, item_idx, sum(rating) AS rating FROM i JOIN u USING (user_id) JOIN t USING (item_id) GROUP BY ALL")
+def rating_matrix(spark, d):
+    return interactions.rating_matrix(lines(spark, d))
+
+
+# Catalogue
+
+CAT = """cat AS (SELECT p_partkey AS item_id, p_name AS title, [p_type, p_brand] AS categories, CASE WHEN p_size % 3 <> 0 THEN p_brand END AS author, p_brand AS publisher, CASE WHEN p_size % 5 <> 0 THEN 'English' END AS lang, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS price FROM part WHERE p_partkey % 17 <> 0)"""
+_JOINED = f"""{I1}, {CAT}, j AS (SELECT i.*, cat.title, cat.categories, cat.author, cat.publisher, cat.lang, cat.price, cat.item_id IS NOT NULL AS hit FROM i LEFT JOIN cat USING (item_id))"""
+
+
+@query(f"""WITH {_JOINED} SELECT {K}, coalesce(title, '') AS title, coalesce(categories[1] || ' | ' || categories[2], '') AS categories, coalesce(author, '') AS author_name, CASE WHEN hit THEN coalesce(publisher, 'None') ELSE '' END AS details_publisher, CASE WHEN hit THEN coalesce(lang, 'None') ELSE '' END AS details_language, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM j)) AS price FROM j""")
+def join_catalog(spark, d):
+    out = quality.join_catalogue(lines(spark, d), tables.catalogue(spark, d))
+    return out.select(*KEY, "title", "categories", "author_name", "details_publisher", "details_language", "price")
+
+
+@query(f"""WITH {I1}, {CAT}, k AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), b AS (SELECT k.n, cat.item_id AS c FROM k FULL JOIN cat ON k.item_id = cat.item_id),
+t AS (SELECT coalesce(sum(n), 0)::BIGINT AS rows_total, coalesce(sum(n) FILTER (c IS NOT NULL), 0)::BIGINT AS rows_matched, count(n) AS keys_total, count(n) FILTER (c IS NOT NULL) AS keys_matched, count(n) FILTER (c IS NULL) AS keys_orphan, count_if(n IS NULL)::BIGINT AS catalogue_unused FROM b)
+SELECT *, round(rows_matched / nullif(rows_total, 0), 6) AS row_coverage, round(keys_matched / nullif(keys_total, 0), 6) AS key_coverage FROM t""")
+def join_quality(spark, d):
+    return quality.join_quality(lines(spark, d), tables.catalogue(spark, d))
+
+
+@query(f"WITH {CAT} SELECT item_id, title, categories[1] || ' | ' || categories[2] AS categories, coalesce(author, '') AS author_name, coalesce(publisher, 'None') AS details_publisher, coalesce(lang, 'None') AS details_language FROM cat")
+def normalize_catalog(spark, d):
+    c = tables.catalogue(spark, d)
+    return c.select("item_id", "title", quality.joined_list("categories").alias("categories"), quality.struct_field("author", "name").alias("author_name"), quality.struct_field("details", "Publisher").alias("details_publisher"), quality.struct_field("details", "Language").alias("details_language"))
+
+
+@query(f"""WITH {CAT}, n AS (SELECT count(*) AS n FROM cat), m AS (
+SELECT 'item_id' AS "column", count_if(item_id IS NULL)::BIGINT AS n_null, 0::BIGINT AS n_empty, 'drop row' AS strategy FROM cat UNION ALL
+SELECT 'title', count_if(title IS NULL), count_if(trim(title) = ''), 'empty string' FROM cat UNION ALL
+SELECT 'categories', count_if(categories IS NULL), count_if(len(categories) = 0), 'empty string' FROM cat UNION ALL
+SELECT 'author', count_if(author IS NULL), 0, 'empty string' FROM cat UNION ALL
+SELECT 'price', count_if(price IS NULL), 0, 'median' FROM cat)
+SELECT "column", n_null::BIGINT AS n_null, n_empty::BIGINT AS n_empty, round(100.0::DOUBLE * (n_null + n_empty) / n, 4) AS effective_pct, strategy FROM m, n""")
+def missingness_report(spark, d):
+    return quality.missingness(tables.catalogue(spark, d), {"item_id": "key", "title": "text", "categories": "text", "author": "text", "price": "number"})
+
+
+@query(f"WITH {_DIRTY} SELECT count(rating) AS n, min(rating) AS min, max(rating) AS max, round(avg(rating), 4) AS mean, median(rating) AS median, count_if(rating NOT BETWEEN 1 AND 5)::BIGINT AS n_out, round(100.0::DOUBLE * count_if(rating NOT BETWEEN 1 AND 5) / count(rating), 4) AS pct_out FROM b")
+def rating_validation(spark, d):
+    return quality.rating_validation(dirty(spark, d))
+
+
+@query(f"WITH {_DIRTY} SELECT min(year(ts)) AS min_year, max(year(ts)) AS max_year, count_if(year(ts) < 2000)::BIGINT AS n_before, count_if(year(ts) > 2026)::BIGINT AS n_after, count_if(ts IS NULL)::BIGINT AS n_bad FROM b")
+def timestamp_validation(spark, d):
+    return quality.timestamp_validation(dirty(spark, d))
+
+
+_QUALITY = """SELECT '{0}' AS "column", count({0}) AS n, round(100.0::DOUBLE * count_if(trim({0}) = '') / count(*), 4) AS pct_blank, round(avg(length({0})), 1) AS avg_len, min(length({0})) AS min_len, max(length({0})) AS max_len, floor(median(length({0})))::BIGINT AS median_len, round(100.0::DOUBLE * count_if(regexp_matches({0}, '<[^>]+>|&[a-zA-Z]+;|&#\\d+;')) / count({0}), 4) AS pct_html FROM pages"""
+
+
+@query(f"{_QUALITY.format('url')} UNION ALL {_QUALITY.format('html')}")
+def text_quality(spark, d):
+    return quality.text_quality(table(spark, d, "pages"), ["url", "html"])
+
+
+@query(f"WITH {I1}, u AS (SELECT * FROM i WHERE l_orderkey % 2 = 0 UNION ALL SELECT * FROM i WHERE l_orderkey % 2 = 1) SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, round(1 - count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id)), 6)::DOUBLE AS sparsity FROM u")
+def union_source(spark, d):
+    i = lines(spark, d)
+    return interactions.shape(i.filter("l_orderkey % 2 = 0").unionByName(i.filter("l_orderkey % 2 = 1")))
+
+
+@query("SELECT try_cast(CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE p_retailprice::VARCHAR END AS DOUBLE) AS price, p_partkey FROM part")
+def tolerant_cast(spark, d):
+    raw = F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string"))
+    return table(spark, d, "part").select(raw.try_cast("double").alias("price"), "p_partkey")
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_retailprice FROM part")
+def jsonl_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice").write.json(path)
+    return tables.read_jsonl(spark, path, ["p_partkey", "p_name", "p_retailprice"], ["p_retailprice"])
+
+
+# Text features
+
+_STOP = ", ".join(f"'{w}'" for w in text_functions.STOP_WORDS)
+_CLEAN = "regexp_replace(translate(regexp_replace(text, 'http\\S+|www\\S+', '', 'g'), '" + text_functions.PUNCTUATION.replace("'", "''") + "', ''), '\\d+', '', 'g')"
+_CLEAN = f"translate(replace(replace(replace(lower({_CLEAN}), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), '{text_functions.ACCENTED}', '{text_functions.PLAIN}')"
+_TRIPLE = "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
+TOKENS = f"""tok AS (SELECT item_id, term, count(*) AS tf FROM (SELECT doc_id AS item_id, unnest(regexp_split_to_array({_CLEAN}, '\\s+')) AS term FROM documents)
+WHERE regexp_full_match(term, '[a-z]{{3,}}') AND NOT regexp_matches(term, '{_TRIPLE}') AND term NOT IN ({_STOP}) GROUP BY ALL)"""
+VOCAB = f"""{TOKENS}, voc AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM tok GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM documents))"""
+TFIDF = f"""{VOCAB}, raw AS (SELECT item_id, term, tf * idf AS w FROM tok JOIN voc USING (term)), tfidf AS (SELECT item_id, term AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM raw)"""
+
+
+def doc_counts(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    docs = table(spark, d, "documents")
+    return features.term_counts(docs.select(F.col("doc_id").alias("item_id"), "text")), docs.count()
+
+
+def doc_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    counts, n = doc_counts(spark, d)
+    return features.tfidf(counts, features.vocabulary(counts, n))
+
+
+@query(f"WITH {TOKENS} SELECT item_id, term, tf FROM tok")
+def text_tokens(spark, d):
+    return doc_counts(spark, d)[0]
+
+
+@query(f"WITH {VOCAB} SELECT term, df, round(idf, 6) AS idf FROM voc")
+def tfidf_vocab(spark, d):
+    counts, n = doc_counts(spark, d)
+    return features.vocabulary(counts, n).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {TFIDF} SELECT item_id, feature, round(weight, 6) AS weight FROM tfidf")
+def tfidf_weights(spark, d):
+    return doc_tfidf(spark, d).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {TFIDF}, k AS (SELECT item_id, feature, round(weight, 6) AS weight, row_number() OVER (PARTITION BY item_id ORDER BY round(weight, 6) DESC, feature) AS rank FROM tfidf) SELECT * FROM k WHERE rank <= 10")
+def item_top_keywords(spark, d):
+    return features.top_keywords(doc_tfidf(spark, d)).select("item_id", "feature", F.round("weight", 6).alias("weight"), "rank")
+
+
+@query(f"WITH {TFIDF} SELECT (SELECT count(*) FROM documents) AS n_items, count(DISTINCT feature) AS n_features, count(*) AS nnz, round(count(*) / ((SELECT count(*) FROM documents) * count(DISTINCT feature)), 8) AS density FROM tfidf")
+def matrix_density(spark, d):
+    return features.density(doc_tfidf(spark, d), table(spark, d, "documents").count())
+
+
+_MINMAX = """mm AS (SELECT p_partkey AS item_id, coalesce((p_size - min(p_size) OVER ()) / nullif(max(p_size) OVER () - min(p_size) OVER (), 0), 0)::DOUBLE AS p_size, coalesce((p_retailprice - min(p_retailprice) OVER ()) / nullif(max(p_retailprice) OVER () - min(p_retailprice) OVER (), 0), 0) AS p_retailprice FROM part)"""
+
+
+@query(f"WITH {_MINMAX} SELECT item_id, round(p_size, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM mm")
+def minmax_attributes(spark, d):
+    part = table(spark, d, "part").withColumnRenamed("p_partkey", "item_id")
+    return features.min_max(part, ["p_size", "p_retailprice"]).select("item_id", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
+@query(f"WITH {TFIDF}, a AS (SELECT doc_id AS item_id, '__n_chars' AS feature, coalesce((n_chars - min(n_chars) OVER ()) / nullif(max(n_chars) OVER () - min(n_chars) OVER (), 0), 0)::DOUBLE AS weight FROM documents) SELECT item_id, feature, round(weight, 6) AS weight FROM (SELECT * FROM tfidf UNION ALL SELECT * FROM a WHERE weight <> 0)")
+def fused_representation(spark, d):
+    scaled = features.min_max(table(spark, d, "documents").withColumnRenamed("doc_id", "item_id"), ["n_chars"])
+    return features.fuse(doc_tfidf(spark, d), scaled).withColumn("weight", F.round("weight", 6))
+
+
+# Profiles and rankings
+
+VEC = "vec AS (SELECT vec_id AS item_id, embedding::DOUBLE[] AS vec FROM embeddings), cell AS (SELECT item_id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS j FROM vec)"
+PROFILE = f"{I3}, {TRAIN}, {VEC}, den AS (SELECT user_id, sum(rating) AS s, count(*) AS n FROM train JOIN vec USING (item_id) GROUP BY 1), prof AS (SELECT user_id, j, sum(rating * x) / any_value(CASE WHEN s = 0 THEN 1 ELSE s END) AS x, any_value(den.n) AS n FROM train JOIN cell USING (item_id) JOIN den USING (user_id) GROUP BY user_id, j)"
+TOP = """pv AS (SELECT user_id, list(x ORDER BY j) AS profile FROM prof GROUP BY 1),
+sc AS (SELECT user_id, item_id, round(coalesce(list_inner_product(profile, vec) / nullif(sqrt(list_inner_product(profile, profile)) * sqrt(list_inner_product(vec, vec)), 0), 0), 6) AS score FROM pv, vec),
+recs AS (SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN train USING (user_id, item_id)) WHERE rank <= 10)"""
+RECS = f"{PROFILE}, {TOP}"
+
+
+def exploded(profiles: DataFrame) -> DataFrame:
+    return profiles.select("user_id", F.posexplode("profile").alias("j", "x")).select("user_id", F.col("j").cast("long").alias("j"), F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {PROFILE} SELECT user_id, j, round(x, 6) AS x FROM prof")
+def user_profile_dense(spark, d):
+    return exploded(recommend.dense_profiles(event_split(spark, d, "embeddings")[0], vectors(spark, d)))
+
+
+@query(f"WITH {PROFILE}, ce AS (SELECT j, avg(x) AS c FROM cell GROUP BY 1) SELECT user_id, j, round(CASE WHEN n < 60 THEN c ELSE x END, 6) AS x FROM prof JOIN ce USING (j)")
+def cold_start_profile(spark, d):
+    return exploded(recommend.dense_profiles(event_split(spark, d, "embeddings")[0], vectors(spark, d), 60))
+
+
+SPARSE = f"{I2}, {TRAIN}, {TFIDF}, kn AS (SELECT * FROM train SEMI JOIN tfidf USING (item_id)), den AS (SELECT user_id, sum(rating) AS s FROM kn GROUP BY 1), prof AS (SELECT user_id, feature, sum(rating * weight) / any_value(CASE WHEN s = 0 THEN 1 ELSE s END) AS weight FROM kn JOIN tfidf USING (item_id) JOIN den USING (user_id) GROUP BY user_id, feature)"
+
+
+@query(f"WITH {SPARSE} SELECT user_id, feature, round(weight, 6) AS weight FROM prof")
+def user_profile_sparse(spark, d):
+    return recommend.sparse_profiles(event_split(spark, d, "documents")[0], doc_tfidf(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+def _recs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    train, test = event_split(spark, d, "embeddings")
+    return recommend.top_block(recommend.dense_profiles(train, vectors(spark, d)), vectors(spark, d), train), train, test
+
+
+@query(f"WITH {RECS} SELECT user_id, rank, item_id, score FROM recs")
+def topn_block(spark, d):
+    return _recs(spark, d)[0].select("user_id", "rank", "item_id", "score")
+
+
+@query(f"WITH {SPARSE}, un AS (SELECT user_id, sqrt(sum(weight * weight)) AS n FROM prof GROUP BY 1), it AS (SELECT item_id, sqrt(sum(weight * weight)) AS n FROM tfidf GROUP BY 1), dt AS (SELECT user_id, item_id, sum(prof.weight * tfidf.weight) AS dot FROM prof JOIN tfidf USING (feature) GROUP BY ALL), sc AS (SELECT user_id, item_id, round(dot / (un.n * it.n), 6) AS score FROM dt JOIN un USING (user_id) JOIN it USING (item_id)) SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN train USING (user_id, item_id)) WHERE rank <= 10")
+def topn_sparse(spark, d):
+    train = event_split(spark, d, "documents")[0]
+    weights = doc_tfidf(spark, d)
+    return recommend.top_sparse(recommend.sparse_profiles(train, weights), weights, train).select("user_id", "item_id", "score", "rank")
+
+
+FLAGSHIP = topn_block
+LABELS = "lab AS (SELECT vec_id AS item_id, 'c' || label AS category FROM embeddings)"
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"))
+
+
+@query(f"WITH {RECS}, {LABELS} SELECT user_id, rank, item_id, category AS title FROM recs JOIN lab USING (item_id)")
+def recommend_titles(spark, d):
+    return _recs(spark, d)[0].join(labels(spark, d), "item_id").select("user_id", "rank", "item_id", F.col("category").alias("title"))
+
+
+# Latent space
+
+@query()
+def svd_items(spark, d):
+    v, _ = recommend.truncated_svd(vectors(spark, d), 16)
+    return recommend.project(vectors(spark, d), v)
+
+
+@query()
+def svd_metrics(spark, d):
+    v, s = recommend.truncated_svd(vectors(spark, d), 16)
+    sigma = F.get(F.array(*[F.lit(float(x)) for x in s]), F.col("component").cast("int"))
+    return recommend.explained_variance(vectors(spark, d), v).withColumn("sigma", sigma)
+
+
+@query()
+def latent_profiles(spark, d):
+    v, _ = recommend.truncated_svd(vectors(spark, d), 16)
+    return recommend.project(recommend.dense_profiles(event_split(spark, d, "embeddings")[0], vectors(spark, d)), v, "profile")
+
+
+_SIZES = ((50, 25.0), (100, 31.0), (200, 32.0), (300, 40.0))
+
+
+@query("WITH t(n_components, variance_pct) AS (VALUES (50::BIGINT, 25.0::DOUBLE), (100, 31.0), (200, 32.0), (300, 40.0)), g AS (SELECT *, lead(variance_pct) OVER (ORDER BY n_components) - variance_pct AS g FROM t) SELECT n_components, variance_pct, round(g, 4) AS next_gain, n_components = coalesce((SELECT min(n_components) FROM g WHERE variance_pct > 30 AND g < 2), (SELECT arg_max(n_components, variance_pct) FROM g)) AS recommended FROM g")
+def dimension_tradeoff(spark, d):
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("n_components"), F.lit(p).alias("variance_pct")) for k, p in _SIZES])
+    return recommend.trade_off(spark.range(1).select(F.inline(rows)))
+
+
+@query("SELECT count(*) AS n, count_if(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0)::BIGINT AS n_bad, count(DISTINCT len(embedding)) AS n_widths FROM embeddings")
+def projection_validation(spark, d):
+    bad = F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    return vectors(spark, d).agg(F.count("*").alias("n"), F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias("n_bad"), F.countDistinct(F.size("vec")).alias("n_widths"))
+
+
+# Analysis
+
+STATS = f"{I3}, {TRAIN}, {LABELS}, b AS (SELECT user_id, count(DISTINCT item_id) AS n_items, round(avg(rating), 6) AS mean_rating, round(coalesce(stddev_samp(rating), 0), 6) AS std_rating FROM train GROUP BY 1), cc AS (SELECT user_id, category, count(*) AS n FROM train JOIN lab USING (item_id) GROUP BY ALL), st AS (SELECT b.*, n_categories, dominant_ratio FROM b LEFT JOIN (SELECT user_id, count(*) AS n_categories, round(max(n) / sum(n), 6) AS dominant_ratio FROM cc GROUP BY 1) USING (user_id))"
+
+
+@query(f"WITH {STATS} SELECT * FROM st")
+def user_stats(spark, d):
+    return analysis.user_stats(event_split(spark, d, "embeddings")[0], labels(spark, d))
+
+
+@query()
+def representative_users(spark, d):
+    return analysis.representative_users(user_stats(spark, d).cache())
+
+
+@query(f"WITH {STATS}, r AS (SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS share, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS rank FROM cc) SELECT user_id, rank, category, round(share, 6) AS share FROM r WHERE rank <= 3")
+def top3_categories(spark, d):
+    return analysis.top_categories(event_split(spark, d, "embeddings")[0], labels(spark, d))
+
+
+@query(f"WITH {RECS}, {LABELS}, a AS (SELECT DISTINCT user_id, category FROM train JOIN lab USING (item_id)), o AS (SELECT DISTINCT user_id, category, 1 AS hit FROM recs JOIN lab USING (item_id)) SELECT user_id, round(count(hit) / count(*), 6) AS overlap FROM a LEFT JOIN o USING (user_id, category) GROUP BY 1")
+def category_overlap(spark, d):
+    recs, train, _ = _recs(spark, d)
+    return analysis.category_overlap(train, recs, labels(spark, d))
+
+
+@query(f"WITH {RECS}, rv AS (SELECT user_id, rank, vec FROM recs JOIN vec USING (item_id)), pr AS (SELECT a.user_id, coalesce(list_inner_product(a.vec, b.vec) / nullif(sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec)), 0), 0) AS c FROM rv a JOIN rv b ON a.user_id = b.user_id AND a.rank < b.rank) SELECT user_id, round(avg(c), 6) AS mean_similarity, round(max(c), 6) AS max_similarity FROM pr GROUP BY 1")
+def intra_list_similarity(spark, d):
+    return analysis.intra_list(_recs(spark, d)[0], vectors(spark, d), recommend.dot)
+
+
+@query(f"WITH {RECS}, {LABELS}, cc AS (SELECT user_id, category, count(*) AS n FROM train JOIN lab USING (item_id) GROUP BY ALL), tp AS (SELECT user_id, category FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS r FROM cc) WHERE r = 1), rc AS (SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS f FROM (SELECT user_id, category, count(*) AS n FROM recs JOIN lab USING (item_id) GROUP BY ALL)) SELECT user_id, category, round(coalesce(f, 0), 6) AS concentration, round(coalesce(f, 0), 6) >= 0.7 AS over_specialised FROM tp LEFT JOIN rc USING (user_id, category)")
+def concentration(spark, d):
+    recs, train, _ = _recs(spark, d)
+    return analysis.concentration(train, recs, labels(spark, d))
+
+
+@query(f"WITH {RECS} SELECT user_id, count(t.item_id) AS hits, round(count(t.item_id) / 10, 6) AS hit_rate FROM recs LEFT JOIN (SELECT DISTINCT user_id, item_id FROM test) t USING (user_id, item_id) GROUP BY 1")
+def hit_rate(spark, d):
+    recs, _, test = _recs(spark, d)
+    return analysis.hit_rate(recs, test, 10)
+
+
+@query(f"WITH {RECS}, wt AS (SELECT user_id, count(DISTINCT item_id) AS w FROM test GROUP BY 1), h AS (SELECT user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM recs SEMI JOIN test USING (user_id, item_id) GROUP BY 1) SELECT user_id, round(coalesce(hits, 0) / 10, 6) AS precision, round(coalesce(hits, 0) / w, 6) AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(w, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM wt LEFT JOIN h USING (user_id)")
+def precision_recall_ndcg(spark, d):
+    recs, _, test = _recs(spark, d)
+    return analysis.ranking_metrics(recs, test, 10)
