@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.plans.lineage import cut
+from shelfmark.plans.lineage import cut, packed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,10 +27,10 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     rounds grow with the logarithm of the longest chain.
     """
     down = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    current = cut(down.filter("a <> b").distinct())
-    seen = None
+    current = packed(down.filter("a <> b").distinct())
+    parts, seen = max(2, -(-current.count() // 100_000)), None  # edges never grow in number
     for _ in range(max_rounds):
-        current = cut(_star(_star(current, True), False))
+        current = cut(_star(_star(current, True).coalesce(parts), False).coalesce(parts))
         state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
