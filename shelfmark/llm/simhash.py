@@ -37,14 +37,16 @@ from pyspark.sql.types import BooleanType
 
 from shelfmark.llm.common import documents
 from shelfmark.plans.components import components
-from shelfmark.plans.lineage import cut
+from shelfmark.plans.lineage import cut, packed
 
 BITS = 64
 SHINGLE, DISTANCE = 3, 2
 #: A signature shared by more fingerprints than this is linked without forming pairs.
-BUCKET = 128
+BUCKET = 32
 #: Near duplicates by text: word-set fingerprints with these seeds, their distance, words in a shingle, least similarity.
-SEEDS, LOOSE, WORDS, SIMILAR = (1, 2, 3, 4), 4, 5, 0.8
+SEEDS, LOOSE, WORDS, SIMILAR = tuple(range(1, 11)), 2, 5, 0.8
+#: Ids are broadcast up to so many (16 bytes each in a hash table of longs), joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 #: Pairs of a document that are verified in the first round; each further round takes four times as many of the rest.
 NEAREST = 8
 #: Cost of a verified pair and of a signature, relative to each other (a signature is shuffled, a pair is not).
@@ -85,24 +87,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, "id long, fp long")
 
 
-def bit_statistics(items: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and, for all of them, how often bits i and j are both set (64 x 64)."""
+def bit_statistics(items: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """Number of items and, for each of their ``width`` fingerprints, how often bits i and j are both set (64 x 64), over all items."""
 
     def each(batches):
-        total, rows = np.zeros((BITS, BITS)), 0
+        total, rows = np.zeros((width, BITS, BITS)), 0
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(fps), 20_000):
-                x = np.unpackbits(fps[i : i + 20_000].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-                total += x.T @ x
-                rows += len(x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BITS * BITS + 1), pa.int32()), pa.array([*total.ravel().astype(np.int64).tolist(), rows], pa.int64())], names=["cell", "n"])
-
-    rows = items.select("fp").mapInArrow(each, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4097 numbers
-    flat = np.zeros(BITS * BITS + 1)
+            fps = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            rows += len(fps)
+            for k in range(width):
+                for i in range(0, len(fps), 20_000):
+                    x = np.unpackbits(fps[i : i + 20_000, k].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                    total[k] += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(total.size + 1), pa.int32()), pa.array([*total.ravel().astype(np.int64).tolist(), rows], pa.int64())], names=["cell", "n"])
+
+    rows = items.select("fps").mapInArrow(each, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 4096 numbers a fingerprint
+    flat = np.zeros(width * BITS * BITS + 1)
     for r in rows:
         flat[r["cell"]] = r["n"]
-    return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
+    return int(flat[-1]), flat[:-1].reshape(width, BITS, BITS)
 
 
 def group_bits(rows: int, together: np.ndarray, m: int) -> list[list[int]]:
@@ -159,28 +162,31 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan_partitions(items: DataFrame, distance: int, bucket: int = BUCKET, ms: tuple[int, ...] | None = None) -> list[tuple[list[int], int]]:
-    """[(bits, threshold)] for the number of partitions with the least estimated cost."""
-    rows, together = bit_statistics(items)
-    p = np.diag(together) / max(rows, 1)
-    options = {m: group_bits(rows, together, m) for m in ms or range(1, distance + 3)}
-    probes = [(m, i, part) for m, parts in options.items() for i, part in enumerate(parts)]
-    values = F.array(*[F.struct(F.lit(k).alias("k"), _bits(part).alias("v")) for k, (_, _, part) in enumerate(probes)])
-    n = F.col("count").cast("double")
-    hot = n * SIGNATURE_COST * ball_size(BITS, distance)  # beyond a bucket's bound its members emit whole balls
-    cost = F.when(n > bucket, hot).otherwise(PAIR_COST * n * (n - 1) / 2)
-    counted = items.select(F.inline(values)).groupBy("k", "v").count().groupBy("k").agg(F.sum(cost).alias("cost"))
-    exact = {r["k"]: r["cost"] for r in counted.collect()}  # a row a partition
-    found = []
-    for m, parts in options.items():
-        costs = []
-        for i, part in enumerate(parts):
-            k = probes.index((m, i, part))
-            costs.append([0.0 if t < 0 else SIGNATURE_COST * rows * ball_size(len(part), t) + (0.0 if m == 1 else expected_cost(rows, p, part, exact.get(k, 0.0), t)) for t in range(-1, distance + 1)])
-        cost, thresholds = allocate(costs, distance - m + 1)
-        found.append((cost, m, thresholds))
-    cost, m, thresholds = min(found)
-    return [(part, t) for part, t in zip(options[m], thresholds, strict=True) if t >= 0]
+def plan_partitions(items: DataFrame, width: int, distance: int, bucket: int = BUCKET) -> list[list[tuple[list[int], int]]]:
+    """For each fingerprint of the items, [(bits, threshold)] for the number of partitions with the least estimated cost."""
+    rows, together = bit_statistics(items, width)
+    options = {(k, m): group_bits(rows, together[k], m) for k in range(width) for m in range(1, distance + 2)}
+    probes = [(k, m, i) for (k, m), parts in options.items() for i in range(len(parts)) if m > 1]
+    values = F.array(*[F.struct(F.lit(n).alias("n"), _bits(options[k, m][i], F.col("fps")[k]).alias("v")) for n, (k, m, i) in enumerate(probes)])
+    size = F.col("count").cast("double")
+    hot = size * SIGNATURE_COST * ball_size(BITS, distance)  # beyond a bucket's bound its members emit whole balls
+    cost = F.when(size > bucket, hot).otherwise(PAIR_COST * size * (size - 1) / 2)
+    counted = items.select(F.inline(values)).groupBy("n", "v").count().groupBy("n").agg(F.sum(cost).alias("cost")).collect() if probes else []
+    exact = {probes[r["n"]]: r["cost"] for r in counted}  # a row a partition
+    out = []
+    for k in range(width):
+        p = np.diag(together[k]) / max(rows, 1)
+        found = []
+        for m in range(1, distance + 2):
+            costs = []
+            for i, part in enumerate(options[k, m]):
+                pairs = [0.0 if m == 1 else expected_cost(rows, p, part, exact.get((k, m, i), 0.0), t) for t in range(-1, distance + 1)]
+                costs.append([0.0 if t < 0 else SIGNATURE_COST * rows * ball_size(len(part), t) + pairs[t + 1] for t in range(-1, distance + 1)])
+            cost, thresholds = allocate(costs, distance - m + 1)
+            found.append((cost, m, thresholds))
+        _, m, thresholds = min(found)
+        out.append([(part, t) for part, t in zip(options[k, m], thresholds, strict=True) if t >= 0])
+    return out
 
 
 def _mask(part: list[int]) -> int:
@@ -188,66 +194,84 @@ def _mask(part: list[int]) -> int:
     return m - (1 << BITS) if m >= 1 << (BITS - 1) else m
 
 
-def _bits(part: list[int], column: str = "fp"):
-    return F.col(column).bitwiseAND(F.lit(_mask(part)).cast("long"))
+def _bits(part: list[int], fp):
+    return fp.bitwiseAND(F.lit(_mask(part)).cast("long"))
 
 
-def _ball(part: list[int], radius: int):
+def _ball(part: list[int], radius: int, fp):
     """The bits of a partition, and every variant with up to ``radius`` of them flipped."""
     flips = [_mask(list(c)) for r in range(radius + 1) for c in combinations(part, r)]
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: _bits(part).bitwiseXOR(x))
+    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: _bits(part, fp).bitwiseXOR(x))
 
 
 def _stars_of_balls(members: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b, d) from each item to the one at the centre of a ball it lies in, or else to the ball's least item.
+    """(node, which, fp): links (a, b, d) from each item to the one at the centre of a ball it lies in, or else to the ball's least item.
 
     Items that share a variant of the whole fingerprint are within 2 * radius, so every ball is connected, and no pair of
     members is formed.
     """
-    variants = members.select("node", "fp", F.explode(_ball(list(range(BITS)), radius)).alias("v"))
+    variants = members.select("node", "which", "fp", F.explode(_ball(list(range(BITS)), radius, F.col("fp"))).alias("v"))
     hub = F.min(F.struct((F.col("fp") != F.col("v")).alias("off"), F.col("node").alias("to"), F.col("fp").alias("to_fp")))
-    hubs = variants.groupBy("v").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1").select("v", "hub.to", "hub.to_fp")
-    return variants.join(hubs, "v").filter("node <> to").select(*_link("node", "fp", "to", "to_fp")).distinct()
+    hubs = variants.groupBy("which", "v").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1").select("which", "v", "hub.to", "hub.to_fp")
+    return variants.join(hubs, ["which", "v"]).filter("node <> to").select(*_link("node", "fp", "to", "to_fp")).distinct()
 
 
 def _link(a: str, fa: str, b: str, fb: str) -> list:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.bit_count(F.col(fa).bitwiseXOR(F.col(fb))).cast("int").alias("d")]
 
 
-def links(items: DataFrame, distance: int = DISTANCE, plan: list[tuple[list[int], int]] | None = None, bucket: int = BUCKET) -> DataFrame:
-    """(node, fp) -> links (a, b, d) with a > b and d <= distance, whose components are those of the relation "the fingerprints
-    differ in ``distance`` bits or fewer". All such pairs are there, except among the members of hot signatures, which are
-    linked by stars. ``distance`` is even."""
+def links(items: DataFrame, width: int = 1, distance: int = DISTANCE, plan: list[list[tuple[list[int], int]]] | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(node, fps) -> links (a, b, d) with a > b and d <= distance on one of the ``width`` fingerprints, whose components are
+    those of the relation "the fingerprints differ in ``distance`` bits or fewer". All such pairs are there, except among the
+    members of hot signatures, which are linked by stars. ``distance`` is even."""
     if distance % 2:
         raise ValueError("an even distance is needed")
-    plan = plan or plan_partitions(items, distance, bucket)
-    if [t for _, t in plan] == [distance] and len(plan[0][0]) == BITS:  # one partition: its signatures are the whole balls
-        return _stars_of_balls(items, distance // 2)
-    sigs = F.flatten(F.array(*[F.transform(_ball(part, (t + 1) // 2), lambda v, k=k: F.struct(F.lit(k).alias("k"), v.alias("v"))) for k, (part, t) in enumerate(plan)]))
-    signed = items.select("node", "fp", F.inline(sigs))
-    counts = cut(signed.groupBy("k", "v").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = signed.join(counts, ["k", "v"])
-    groups = shared.filter(F.col("n") <= bucket).groupBy("k", "v").agg(F.collect_list(F.struct("node", "fp")).alias("all"))  # at most `bucket` of them
-    near = lambda x: (x["node"] < F.col("one.node")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= distance)
-    pairs = groups.select(F.explode("all").alias("one"), "all").select("one", F.explode(F.filter("all", near)).alias("two"))
-    pairs = pairs.select(*_link("one.node", "one.fp", "two.node", "two.fp")).distinct()
-    if counts.filter(F.col("n") > bucket).isEmpty():
-        return pairs
-    hot = shared.filter(F.col("n") > bucket).select("node", "fp").distinct()
-    return pairs.union(_stars_of_balls(cut(hot), distance // 2)).distinct()
-
-
-def classes(fps: DataFrame, distance: int = DISTANCE, plan: list[tuple[list[int], int]] | None = None, bucket: int = BUCKET) -> DataFrame:
+    plan = plan or plan_partitions(items, width, distance, bucket)
+    whole = [k for k, parts in enumerate(plan) if len(parts) == 1 and len(parts[0][0]) == BITS]  # one partition: whole balls
+    split = [(k, i, part, t) for k, parts in enumerate(plan) if k not in whole for i, (part, t) in enumerate(parts)]
+    found = []
+    if whole:
+        chosen = F.array(*[F.struct(F.lit(k).alias("which"), F.col("fps")[k].alias("fp")) for k in whole])
+        found.append(_stars_of_balls(items.select("node", F.inline(chosen)), distance // 2))
+    if split:
+        sig = lambda k, i, fp: lambda v: F.struct(F.lit(k).alias("which"), F.lit(i).alias("part"), v.alias("v"), fp.alias("fp"))
+        sigs = F.flatten(F.array(*[F.transform(_ball(part, (t + 1) // 2, F.col("fps")[k]), sig(k, i, F.col("fps")[k])) for k, i, part, t in split]))
+        signed, key = items.select("node", F.inline(sigs)), ["which", "part", "v"]
+        counts = packed(signed.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"))
+        shared = signed.join(counts, key)
+        groups = shared.filter(F.col("n") <= bucket).groupBy(key).agg(F.collect_list(F.struct("node", "fp")).alias("all"))  # at most `bucket` of them
+        near = lambda x: (x["node"] < F.col("one.node")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= distance)
+        pairs = groups.select(F.explode("all").alias("one"), "all").select("one", F.explode(F.filter("all", near)).alias("two"))
+        found.append(pairs.select(*_link("one.node", "one.fp", "two.node", "two.fp")).distinct())
+        if not counts.filter(F.col("n") > bucket).isEmpty():
+            found.append(_stars_of_balls(packed(shared.filter(F.col("n") > bucket).select("node", "which", "fp").distinct(), 10_000), distance // 2))
+    return reduce(DataFrame.union, found)
+
+
+def classes(fps: DataFrame, distance: int = DISTANCE, plan: list[list[tuple[list[int], int]]] | None = None, bucket: int = BUCKET) -> DataFrame:
     """(id, fp) -> (id, fp, component_id)."""
     fps = cut(fps)
-    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(distinct.select(F.col("fp").alias("node"), "fp"), distance, plan, bucket), "a", "b")
+    distinct = packed(fps.groupBy("fp").agg(F.min("id").alias("first")), 10_000)
+    found = components(links(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), 1, distance, plan, bucket), "a", "b")
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("id", "fp", "component_id")
 
 
+def remix(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of what ``h`` is a hash of, by the finaliser of SplitMix64."""
+    x = h + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """Ids marked for broadcast if their counted number allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...]) -> DataFrame:
     """(id, t1, t2, fps): a 128-bit digest of the words in order, and a fingerprint of the set of words for each seed."""
 
@@ -257,9 +281,9 @@ def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str, seeds: tu
             for i, text in enumerate(batch.column(1)):
                 found = (text.as_py() or "").encode("utf-8", "replace").lower().split()
                 t[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(found)), np.uint64)
-                once = set(found)
+                h = np.array([xxhash.xxh64_intdigest(w) for w in set(found)], np.uint64)
                 for k, seed in enumerate(seeds):
-                    fps[i, k] = fold_bits(np.array([xxhash.xxh64_intdigest(w, seed) for w in once], np.uint64))
+                    fps[i, k] = fold_bits(remix(h, seed))
             t, fps = t.view(np.int64), fps.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(fps.tolist(), pa.list_(pa.int64()))], names=["id", "t1", "t2", "fps"])
 
@@ -297,16 +321,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = docs.filter(F.col(id_col).isNotNull())
     fps = cut(word_set_fingerprints(docs, id_col, text_col, seeds))
-    nodes = cut(fps.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("fps").alias("fps")))
-    found = [links(nodes.select("node", F.col("fps")[k].alias("fp")), distance, None, bucket) for k in range(len(seeds))]
-    pairs = cut(reduce(DataFrame.union, found).groupBy("a", "b").agg(F.min("d").alias("d")))
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = packed(fps.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("fps").alias("fps")), 10_000)
+    pairs = packed(links(nodes.select("node", "fps"), len(seeds), distance, None, bucket).groupBy("a", "b").agg(F.min("d").alias("d")))
+    involved = small(packed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(involved, "node", "left_semi")
     sets = cut(shingle_sets(texts, n).dropDuplicates(["node"]))
     left, roots, nearest = pairs, None, NEAREST
     while not left.isEmpty():
         place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-        placed = cut(left.withColumn("_place", place))
+        placed = packed(left.withColumn("_place", place))
         tried = placed.filter(F.col("_place") <= nearest).select("a", "b")
         with_a = tried.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a")
         good = with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b").filter(_same("_a", "_b", F.lit(similarity))).select("a", "b")
@@ -314,7 +337,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         left = placed.filter(F.col("_place") > nearest).select("a", "b", "d")
         for end in ("a", "b"):
             left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
-        left = cut(left.filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b", "d"))
+        left = packed(left.filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b", "d"))
         nearest *= 4
     named = nodes.select("t1", "t2", "node")
     if roots is not None:
@@ -327,7 +350,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id. Documents with a null id all stay."""
     found = cut(similar_texts(docs, id_col, text_col, **options))
-    gone = found.filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    gone = small(packed(found.filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()))
     kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
     if not found.groupBy("id").count().filter("count > 1").isEmpty():
         repeated = found.groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col))
