@@ -8,8 +8,9 @@ until no source is above. That fixed point has a closed form: order the sources
 A source's documents are then taken whole ``floor(target / size)`` times, and once more those that come first in a seeded
 order for as long as they fit whole into the fractional part of the target; one document more, the one whose size is
 nearest to what is left over, evens out the rest. The cut is found without ordering a source in one task: sizes are summed
-by (source, ``DIGITS`` leading digits of the order key), the sums are accumulated over at most 16 ** DIGITS rows a source,
-and only the bucket that holds the cut is ordered by row.
+by (source, ``DIGITS`` leading digits of the order key), the sums are accumulated over at most 2 * 16 ** (DIGITS - 1) rows a
+source, and only the bucket that holds the cut is ordered by row. Documents that are over ``SMALL_PART`` of a partial epoch
+come last in the order, so that a single long one doesn't end it far from its target.
 
 Defined cases: a null text has size 0; documents of size 0 are taken like others of their place; a source of size 0 has
 target 0; a null source is a source; repeated rows share a fate; an empty table gives an empty result.
@@ -25,7 +26,9 @@ from shelfmark.plans.lineage import cut
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 42
 #: Leading hexadecimal digits of the order key that make a bucket.
-DIGITS = 3
+DIGITS = 4
+#: Documents above this part of a source's partial epoch come last in its order.
+SMALL_PART = 0.02
 #: Above so many sources their plan is joined instead of broadcast (a row takes about 200 bytes).
 BROADCAST_SOURCES = 50_000
 
@@ -59,11 +62,18 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return out.select("_source", "source_size", "weight", "target", F.coalesce(F.floor(F.col("target") / F.expr("nullif(source_size, 0)")), F.lit(0)).cast("long").alias("epochs"))
 
 
-def mixture_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """A row for each source: its target, whole epochs and, of the further, partial one, the last whole bucket and the last (order key, id)."""
-    buckets = cut(slim.groupBy("_source", F.substring("_key", 1, DIGITS).alias("_bucket")).agg(F.sum("size").alias("_sum")))
-    plan = cut(water_fill(buckets.groupBy("_source").agg(F.sum("_sum").alias("source_size")), weights, max_epochs))
+def placed_key(size: Column) -> Column:
+    """The order key with a leading 0 for documents that are a small part of their source's partial epoch, 1 for others."""
+    return F.concat(F.when(size <= F.lit(SMALL_PART) * F.col("_part"), "0").otherwise("1"), F.col("_key"))
+
+
+def mixture_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places in the order, and a row for each source: its target, whole epochs and, of the further,
+    partial one, the last whole bucket and the last (order key, id)."""
+    plan = cut(water_fill(slim.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, max_epochs))
     plan = plan.withColumn("_part", F.col("target") - F.col("epochs") * F.col("source_size"))
+    slim = slim.join(_sized(plan.select("_source", "_part")), "_source").withColumn("_key", placed_key(F.col("size"))).drop("_part")
+    buckets = cut(slim.groupBy("_source", F.substring("_key", 1, DIGITS).alias("_bucket")).agg(F.sum("size").alias("_sum")))
     w = Window.partitionBy("_source").orderBy("_bucket")
     upto = buckets.withColumn("_upto", F.sum("_sum").over(w)).withColumn("_before", F.col("_upto") - F.col("_sum")).join(plan.select("_source", "_part"), "_source")
     near = cut(upto.filter("_before <= _part and _upto > _part and _part > 0").select("_source", "_bucket", "_before", "_part"))
@@ -73,7 +83,7 @@ def mixture_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
     last = kept.groupBy("_source").agg(F.max(F.struct("_key", "_id")).alias("_last"), F.max("_at").alias("_in_bucket"))
     full = upto.filter("_upto <= _part and _part > 0").groupBy("_source").agg(F.max("_bucket").alias("_full"), F.max("_upto").alias("_in_full"))
     plan = plan.join(last, "_source", "left").join(full, "_source", "left")
-    return plan.withColumn("_left", F.col("_part") - F.greatest(F.coalesce("_in_bucket", F.lit(0)), F.coalesce("_in_full", F.lit(0)))).drop("_in_bucket", "_in_full")
+    return slim, plan.withColumn("_left", F.col("_part") - F.greatest(F.coalesce("_in_bucket", F.lit(0)), F.coalesce("_in_full", F.lit(0)))).drop("_in_bucket", "_in_full")
 
 
 def _ahead() -> Column:
@@ -88,12 +98,13 @@ def _sized(plan: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """``docs`` with _source_size, _target and _repeats (how often the mix takes the document)."""
     slim = cut(docs.select(source_key(source_col).alias("_source"), F.col(id_col).alias("_id"), words(text_col).alias("size"), order_key(id_col, seed).alias("_key")))
-    plan = _sized(cut(mixture_plan(slim, weights, max_epochs).withColumnsRenamed({"source_size": "_source_size", "target": "_target", "epochs": "_epochs"})))
+    slim, plan = mixture_plan(slim, weights, max_epochs)
+    plan = _sized(cut(plan.withColumnsRenamed({"source_size": "_source_size", "target": "_target", "epochs": "_epochs"})))
     others = slim.join(plan, "_source").filter((F.col("_part") > 0) & ~_ahead())
     fit = F.min(F.struct(F.abs(F.col("size") - F.col("_left")).alias("miss"), "_key", "_id"))
     picks = others.groupBy("_source").agg(fit.alias("_fit"), F.first("_left").alias("_left")).filter("_fit.miss < _left").select("_source", F.struct("_fit._key", "_fit._id").alias("_pick"))
     plan = _sized(cut(plan.join(picks, "_source", "left")))
-    out = docs.withColumns({"_source": source_key(source_col), "_key": order_key(id_col, seed), "_id": F.col(id_col)}).join(plan, "_source")
+    out = docs.withColumns({"_source": source_key(source_col), "_key": order_key(id_col, seed), "_id": F.col(id_col)}).join(plan, "_source").withColumn("_key", placed_key(words(text_col)))
     more = _ahead() | F.coalesce(F.struct("_key", "_id") == F.col("_pick"), F.lit(False))
     repeats = F.least(F.col("_epochs") + F.when(more, 1).otherwise(0), F.lit(max_epochs)).cast("long")
     return out.select(*docs.columns, "_source_size", "_target", repeats.alias("_repeats"))
@@ -118,9 +129,8 @@ l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0)
       FROM w WINDOW b AS (ORDER BY cap / wt, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT sk, source_size, least(cap, coalesce(wt * max(CASE WHEN cap > wt * lv THEN lv END) OVER (), cap)) AS target FROM l),
 e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM t),
-p AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS part,
-             sum(d.size) OVER (PARTITION BY d.sk ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS run
-      FROM d JOIN e USING (sk)),
+p0 AS (SELECT d.doc_id, d.sk, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS part, (CASE WHEN d.size <= 0.02::DOUBLE * (e.target - e.epochs * e.source_size) THEN '0' ELSE '1' END) || d.k AS k FROM d JOIN e USING (sk)),
+p AS (SELECT *, sum(size) OVER (PARTITION BY sk ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM p0),
 q AS (SELECT *, part > 0 AND run <= part AS ahead, part - coalesce(max(CASE WHEN part > 0 AND run <= part THEN run END) OVER (PARTITION BY sk), 0) AS rest FROM p),
 f AS (SELECT *, row_number() OVER (PARTITION BY sk, ahead ORDER BY abs(size - rest), k, doc_id) = 1 AND NOT ahead AND part > 0 AND abs(size - rest) < rest AS pick FROM q)
 SELECT doc_id, size, source_size, target, size * least(epochs + CASE WHEN ahead OR pick THEN 1 ELSE 0 END, 3) AS taken FROM f
