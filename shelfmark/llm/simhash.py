@@ -210,10 +210,14 @@ def _stars_of_balls(members: DataFrame, radius: int) -> DataFrame:
     Items that share a variant of the whole fingerprint are within 2 * radius, so every ball is connected, and no pair of
     members is formed.
     """
-    variants = members.select("node", "which", "fp", F.explode(_ball(list(range(BITS)), radius, F.col("fp"))).alias("v"))
+    # Items of one fingerprint link to the least of them, which alone goes on to the balls.
+    same = members.groupBy("which", "fp").agg(F.min("node").alias("to"))
+    copies = members.join(same, ["which", "fp"]).filter("node <> to").select(*_link("node", "fp", "to", "fp"))
+    ones = same.withColumnRenamed("to", "node")
+    variants = ones.select("node", "which", "fp", F.explode(_ball(list(range(BITS)), radius, F.col("fp"))).alias("v"))
     hub = F.min(F.struct((F.col("fp") != F.col("v")).alias("off"), F.col("node").alias("to"), F.col("fp").alias("to_fp")))
     hubs = variants.groupBy("which", "v").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1").select("which", "v", "hub.to", "hub.to_fp")
-    return variants.join(hubs, ["which", "v"]).filter("node <> to").select(*_link("node", "fp", "to", "to_fp")).distinct()
+    return variants.join(hubs, ["which", "v"]).filter("node <> to").select(*_link("node", "fp", "to", "to_fp")).union(copies).distinct()
 
 
 def _link(a: str, fa: str, b: str, fb: str) -> list:
