@@ -12,7 +12,8 @@ ceil(r / 2) of them flipped, so that any two within t_i share a variant. Fingerp
 on all 64 bits. A signature shared by more than ``BUCKET`` fingerprints is not expanded into pairs: its members go to the
 exact way for the rest, the radius-ceil(distance / 2) balls of the whole fingerprint. There two fingerprints that share a
 variant are within ``distance``, so each links to one of them and no pair is formed at all. (That needs an even distance;
-an odd one is refused.) The costs know of this bound.
+an odd one is refused.) Two members of a signature only differ in bits that are not the same in all its members, so a ball only
+flips bits that vary in one of the hot signatures of its centre. The costs know of this bound.
 
 Classes are the connected components over distinct fingerprints; exact copies never meet in a join.
 
@@ -198,23 +199,28 @@ def _bits(part: list[int], fp):
     return fp.bitwiseAND(F.lit(_mask(part)).cast("long"))
 
 
-def _ball(part: list[int], radius: int, fp):
-    """The bits of a partition, and every variant with up to ``radius`` of them flipped."""
-    flips = [_mask(list(c)) for r in range(radius + 1) for c in combinations(part, r)]
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: _bits(part, fp).bitwiseXOR(x))
+def _ball(part: list[int], radius: int, fp, varying=None):
+    """The bits of a partition, and every variant with up to ``radius`` of them (that ``varying`` has, if given) flipped."""
+    flips = F.array(*[F.lit(_mask(list(c))).cast("long") for r in range(radius + 1) for c in combinations(part, r)])
+    if varying is not None:
+        flips = F.filter(flips, lambda x: x.bitwiseAND(F.bitwise_not(varying)) == 0)
+    return F.transform(flips, lambda x: _bits(part, fp).bitwiseXOR(x))
 
 
 def _stars_of_balls(members: DataFrame, radius: int) -> DataFrame:
-    """(node, which, fp): links (a, b, d) from each item to the one at the centre of a ball it lies in, or else to the ball's least item.
+    """(node, which, fp, varying): links (a, b, d) from each item to the one at the centre of a ball it lies in, or else to the ball's least item.
+
+    ``varying``: the bits that an item may differ in from those it is to be linked with. Two of them have the bits in which
+    they differ in both their masks, so they share the variants half way.
 
     Items that share a variant of the whole fingerprint are within 2 * radius, so every ball is connected, and no pair of
     members is formed.
     """
     # Items of one fingerprint link to the least of them, which alone goes on to the balls.
-    same = members.groupBy("which", "fp").agg(F.min("node").alias("to"))
+    same = members.groupBy("which", "fp").agg(F.min("node").alias("to"), F.bit_or("varying").alias("varying"))
     copies = members.join(same, ["which", "fp"]).filter("node <> to").select(*_link("node", "fp", "to", "fp"))
     ones = same.withColumnRenamed("to", "node")
-    variants = ones.select("node", "which", "fp", F.explode(_ball(list(range(BITS)), radius, F.col("fp"))).alias("v"))
+    variants = ones.select("node", "which", "fp", F.explode(_ball(list(range(BITS)), radius, F.col("fp"), F.col("varying"))).alias("v"))
     hub = F.min(F.struct((F.col("fp") != F.col("v")).alias("off"), F.col("node").alias("to"), F.col("fp").alias("to_fp")))
     hubs = variants.groupBy("which", "v").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1").select("which", "v", "hub.to", "hub.to_fp")
     return variants.join(hubs, ["which", "v"]).filter("node <> to").select(*_link("node", "fp", "to", "to_fp")).union(copies).distinct()
@@ -236,19 +242,21 @@ def links(items: DataFrame, width: int = 1, distance: int = DISTANCE, plan: list
     found = []
     if whole:
         chosen = F.array(*[F.struct(F.lit(k).alias("which"), F.col("fps")[k].alias("fp")) for k in whole])
-        found.append(_stars_of_balls(items.select("node", F.inline(chosen)), distance // 2))
+        found.append(_stars_of_balls(items.select("node", F.inline(chosen)).withColumn("varying", F.lit(-1).cast("long")), distance // 2))
     if split:
         sig = lambda k, i, fp: lambda v: F.struct(F.lit(k).alias("which"), F.lit(i).alias("part"), v.alias("v"), fp.alias("fp"))
         sigs = F.flatten(F.array(*[F.transform(_ball(part, (t + 1) // 2, F.col("fps")[k]), sig(k, i, F.col("fps")[k])) for k, i, part, t in split]))
         signed, key = items.select("node", F.inline(sigs)), ["which", "part", "v"]
-        counts = packed(signed.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"))
+        varying = F.bit_or("fp").bitwiseAND(F.bitwise_not(F.bit_and("fp")))
+        counts = packed(signed.groupBy(key).agg(F.count("*").alias("n"), varying.alias("varying")).filter("n > 1"))
         shared = signed.join(counts, key)
         groups = shared.filter(F.col("n") <= bucket).groupBy(key).agg(F.collect_list(F.struct("node", "fp")).alias("all"))  # at most `bucket` of them
         near = lambda x: (x["node"] < F.col("one.node")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= distance)
         pairs = groups.select(F.explode("all").alias("one"), "all").select("one", F.explode(F.filter("all", near)).alias("two"))
         found.append(pairs.select(*_link("one.node", "one.fp", "two.node", "two.fp")).distinct())
         if not counts.filter(F.col("n") > bucket).isEmpty():
-            found.append(_stars_of_balls(packed(shared.filter(F.col("n") > bucket).select("node", "which", "fp").distinct(), 10_000), distance // 2))
+            hot = shared.filter(F.col("n") > bucket).groupBy("node", "which", "fp").agg(F.bit_or("varying").alias("varying"))
+            found.append(_stars_of_balls(packed(hot, 10_000), distance // 2))
     return reduce(DataFrame.union, found)
 
 
