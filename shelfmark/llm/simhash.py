@@ -221,9 +221,10 @@ def _stars_of_balls(members: DataFrame, radius: int) -> DataFrame:
     copies = members.join(same, ["which", "fp"]).filter("node <> to").select(*_link("node", "fp", "to", "fp"))
     ones = same.withColumnRenamed("to", "node")
     variants = ones.select("node", "which", "fp", F.explode(_ball(list(range(BITS)), radius, F.col("fp"), F.col("varying"))).alias("v"))
-    hub = F.min(F.struct((F.col("fp") != F.col("v")).alias("off"), F.col("node").alias("to"), F.col("fp").alias("to_fp")))
-    hubs = variants.groupBy("which", "v").agg(hub.alias("hub"), F.count("*").alias("n")).filter("n > 1").select("which", "v", "hub.to", "hub.to_fp")
-    return variants.join(hubs, ["which", "v"]).filter("node <> to").select(*_link("node", "fp", "to", "to_fp")).union(copies).distinct()
+    ball = Window.partitionBy("which", "v")  # at most as many rows as a ball has places, as fingerprints are distinct here
+    hub = F.min(F.struct((F.col("fp") != F.col("v")).alias("off"), F.col("node").alias("to"), F.col("fp").alias("to_fp"))).over(ball)
+    met = variants.withColumn("hub", hub).select("node", "fp", "hub.to", "hub.to_fp").filter("node <> to")
+    return met.select(*_link("node", "fp", "to", "to_fp")).union(copies).distinct()
 
 
 def _link(a: str, fa: str, b: str, fb: str) -> list:
