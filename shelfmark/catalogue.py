@@ -451,7 +451,22 @@ def hit_rate(spark, d):
     return analysis.hit_rate(recs, test, 10)
 
 
-@query(f"WITH {RECS}, wt AS (SELECT user_id, count(DISTINCT item_id) AS w FROM test GROUP BY 1), h AS (SELECT user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM recs SEMI JOIN test USING (user_id, item_id) GROUP BY 1) SELECT user_id, round(coalesce(hits, 0) / 10, 6) AS precision, round(coalesce(hits, 0) / w, 6) AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(w, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM wt LEFT JOIN h USING (user_id)")
+METRICS = f"wt AS (SELECT user_id, count(DISTINCT item_id) AS w FROM test GROUP BY 1), h AS (SELECT user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM recs SEMI JOIN test USING (user_id, item_id) GROUP BY 1), met AS (SELECT user_id, round(coalesce(hits, 0) / 10, 6) AS precision, round(coalesce(hits, 0) / w, 6) AS recall, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(w, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM wt LEFT JOIN h USING (user_id))"
+
+
+@query(f"WITH {RECS}, {METRICS} SELECT * FROM met")
 def precision_recall_ndcg(spark, d):
     recs, _, test = _recs(spark, d)
     return analysis.ranking_metrics(recs, test, 10)
+
+
+@query(f"WITH {RECS}, {METRICS}, n AS (SELECT user_id, count(*) AS n FROM train GROUP BY 1), g AS (SELECT met.*, CASE WHEN coalesce(n, 0) < 20 THEN 'few' WHEN n < 50 THEN 'some' ELSE 'many' END AS segment FROM met LEFT JOIN n USING (user_id)) SELECT segment, count(*) AS users, round(avg(precision), 5) AS precision, round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg FROM g GROUP BY 1")
+def metrics_by_activity(spark, d):
+    recs, train, test = _recs(spark, d)
+    return analysis.metrics_by_activity(train, analysis.ranking_metrics(recs, test, 10))
+
+
+@query(f"WITH {RECS}, fav AS (SELECT user_id, item_id AS favourite FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM train) WHERE r = 1), fv AS (SELECT user_id, favourite, vec AS vec2 FROM fav JOIN vec ON favourite = item_id) SELECT user_id, favourite, round(avg(coalesce(list_inner_product(vec, vec2) / nullif(sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(vec2, vec2)), 0), 0)), 6) AS proximity FROM recs JOIN vec USING (item_id) JOIN fv USING (user_id) GROUP BY ALL")
+def favourite_proximity(spark, d):
+    recs, train, _ = _recs(spark, d)
+    return analysis.favourite_proximity(train, recs, vectors(spark, d), recommend.dot)

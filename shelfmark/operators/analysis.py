@@ -85,3 +85,22 @@ def ranking_metrics(recs: DataFrame, test: DataFrame, n: int) -> DataFrame:
     out = sizes.join(hits, "user_id", "left").na.fill(0, ["hits"]).na.fill(0.0, ["dcg"])
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("wanted", F.lit(n)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return out.select("user_id", F.round(F.col("hits") / n, 6).alias("precision"), F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
+
+
+def favourite_proximity(train: DataFrame, recs: DataFrame, vectors: DataFrame, dot) -> DataFrame:
+    """Mean cosine of a user's list to the item that the user rated highest (ties: the smallest id); users without both are left out."""
+    best = F.max_by("item_id", F.struct("rating", (-F.col("item_id")).alias("order")))
+    favourite = train.groupBy("user_id").agg(best.alias("item_id")).join(vectors, "item_id").select("user_id", F.col("item_id").alias("favourite"), F.col("vec").alias("vec2"))
+    rows = recs.join(vectors, "item_id").select("user_id", "vec").join(favourite, "user_id")
+    norm = F.sqrt(dot("vec", "vec")) * F.sqrt(dot("vec2", "vec2"))
+    cos = F.coalesce(dot("vec", "vec2") / F.when(norm != 0, norm), F.lit(0.0))
+    return rows.groupBy("user_id", "favourite").agg(F.round(F.avg(cos), 6).alias("proximity"))
+
+
+def metrics_by_activity(train: DataFrame, metrics: DataFrame, bounds: tuple[int, int] = (20, 50)) -> DataFrame:
+    """Mean ranking metrics of users with few, some and many train rows (below, from, and from the second bound on; beyond parity)."""
+    low, high = bounds
+    n = F.coalesce("n", F.lit(0))
+    segment = F.when(n < low, "few").when(n < high, "some").otherwise("many")
+    rows = metrics.join(train.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left").withColumn("segment", segment)
+    return rows.groupBy("segment").agg(F.count("*").alias("users"), *[F.round(F.avg(c), 5).alias(c) for c in ("precision", "recall", "ndcg")])
