@@ -220,6 +220,11 @@ def timestamp_validation(spark, d):
     return quality.timestamp_validation(dirty(spark, d))
 
 
+@query(f"WITH {_DIRTY}, {CAT} SELECT (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM b GROUP BY user_id, item_id)) AS repeated, count_if(rating NOT BETWEEN 1 AND 5)::BIGINT AS bad_ratings, count_if(item_id IS NULL OR item_id NOT IN (SELECT item_id FROM cat WHERE item_id IS NOT NULL))::BIGINT AS orphans, count_if(user_id IS NULL OR item_id IS NULL OR rating IS NULL)::BIGINT AS nulls FROM b")
+def post_clean_checks(spark, d):
+    return quality.post_clean_checks(dirty(spark, d), tables.catalogue(spark, d))
+
+
 _QUALITY = """SELECT '{0}' AS "column", count({0}) AS n, round(100.0::DOUBLE * count_if(trim({0}) = '') / count(*), 4) AS pct_blank, round(avg(length({0})), 1) AS avg_len, min(length({0})) AS min_len, max(length({0})) AS max_len, floor(median(length({0})))::BIGINT AS median_len, round(100.0::DOUBLE * count_if(regexp_matches({0}, '<[^>]+>|&[a-zA-Z]+;|&#\\d+;')) / count({0}), 4) AS pct_html FROM pages"""
 
 

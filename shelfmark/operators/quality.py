@@ -83,3 +83,15 @@ def text_quality(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
+
+
+def post_clean_checks(df: DataFrame, items: DataFrame, low: float = 1.0, high: float = 5.0, key: str = "item_id") -> DataFrame:
+    """What cleaning should have left at zero: repeated pairs, ratings out of range, items not in the catalogue, nulls."""
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    bad = F.coalesce(~F.col("rating").between(low, high), F.lit(False))
+    null = F.col("user_id").isNull() | F.col(key).isNull() | F.col("rating").isNull()
+    pairs = df.groupBy("user_id", key).agg(F.count("*").alias("_n"), n(bad).alias("_bad"), n(null).alias("_null"))
+    found = pairs.join(items.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    orphan = F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)
+    return found.agg(total(F.col("_n") - 1).alias("repeated"), total("_bad").alias("bad_ratings"), total(orphan).alias("orphans"), total("_null").alias("nulls"))
