@@ -115,12 +115,15 @@ def threads(linked: DataFrame, max_rounds: int = 40) -> DataFrame:
     me = F.struct("conv_id", "turn")
     up = cut(linked.select(me.alias("me"), F.when(F.col("parent_turn").isNotNull(), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))).alias("up"), F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
     up = up.select("me", F.coalesce("up", "me").alias("up"), "depth")
+    pending, settled = up.filter("me <> up"), up.filter("me = up")  # what has reached its root is only looked up from then on
     for _ in range(max_rounds):
-        above = up.select(F.col("me").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        step = cut(up.join(above, "up").select("me", "up2", "depth", "more"))
-        up = step.select("me", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
-        if step.filter("more > 0").isEmpty():
+        above = settled.union(pending).select(F.col("me").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        step = cut(pending.join(above, "up").select("me", "up2", "depth", "more"))
+        moved = step.select("me", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "more")
+        pending, settled = moved.filter("more > 0").drop("more"), settled.union(moved.filter("more = 0").drop("more"))
+        if pending.isEmpty():
             break
+    up = settled.union(pending)
     roots = up.select(F.col("me.conv_id").alias("conv_id"), F.col("me.turn").alias("turn"), F.col("up.conv_id").alias("thread_conv"), F.col("up.turn").alias("thread_turn"), "depth")
     return linked.join(roots, ["conv_id", "turn"])
 
