@@ -44,12 +44,13 @@ BITS = 64
 SHINGLE, DISTANCE = 3, 2
 #: A signature shared by more fingerprints than this is linked without forming pairs.
 BUCKET = 32
-#: Near duplicates by text: word-set fingerprints with these seeds, their distance, words in a shingle, least similarity.
-SEEDS, LOOSE, WORDS, SIMILAR = tuple(range(1, 11)), 2, 5, 0.8
+#: Near duplicates by text: signatures of ROWS least hashes each, words in a shingle, least similarity. Two texts at SIMILAR
+#: share none of the BANDS signatures with probability (1 - SIMILAR ** ROWS) ** BANDS = 2.6e-5.
+BANDS, ROWS, WORDS, SIMILAR = 20, 4, 5, 0.8
 #: Ids are broadcast up to so many (16 bytes each in a hash table of longs), joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
-#: Pairs of a document that are verified in the first round; each further round takes four times as many of the rest.
-NEAREST = 8
+#: Members of a signature that all its others are verified against in the first round; each further round takes eight times as many.
+HUBS = 1
 #: Cost of a verified pair and of a signature, relative to each other (a signature is shuffled, a pair is not).
 PAIR_COST, SIGNATURE_COST = 1.0, 2.0
 
@@ -285,22 +286,34 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def word_set_fingerprints(docs: DataFrame, id_col: str, text_col: str, seeds: tuple[int, ...]) -> DataFrame:
-    """(id, t1, t2, fps): a 128-bit digest of the words in order, and a fingerprint of the set of words for each seed."""
+def min_hashes(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A signature a band of the set ``h`` of 32-bit hashes: its least values under ``rows`` hash functions. None for an empty set."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    k = np.arange(2 * bands * rows, dtype=np.uint64).reshape(2, -1, 1)
+    scale, shift = remix(k[0], 1) | np.uint64(1), remix(k[1], 2)
+    x = h.astype(np.uint64)
+    least = np.min([((x[i : i + 10_000] * scale + shift) >> np.uint64(32)).min(1) for i in range(0, len(x), 10_000)], axis=0).reshape(bands, rows)
+    out = np.arange(bands, dtype=np.uint64)
+    for r in range(rows):
+        out = remix(out ^ least[:, r], 3 + r)
+    return out
+
+
+def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """(id, mark, t1, t2, sigs): a hash of the text as it is, a 128-bit digest of the words in order, and the signatures of the set of shingles."""
 
     def each(batches):
         for batch in batches:
-            t, fps = np.empty((batch.num_rows, 2), np.uint64), np.empty((batch.num_rows, len(seeds)), np.uint64)
-            for i, text in enumerate(batch.column(1)):
-                found = (text.as_py() or "").encode("utf-8", "replace").lower().split()
-                t[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(found)), np.uint64)
-                h = np.array([xxhash.xxh64_intdigest(w) for w in set(found)], np.uint64)
-                for k, seed in enumerate(seeds):
-                    fps[i, k] = fold_bits(remix(h, seed))
-            t, fps = t.view(np.int64), fps.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(fps.tolist(), pa.list_(pa.int64()))], names=["id", "t1", "t2", "fps"])
+            t, sigs = np.empty((batch.num_rows, 2), np.uint64), []
+            for i, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                t[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "replace").lower().split())), np.uint64)
+                sigs.append(min_hashes(np.unique(hashes(text, n).astype(np.uint32))).view(np.int64).tolist())
+            t = t.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "mark", "t1", "t2", "sigs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(each, "id long, t1 long, t2 long, fps array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(each, "id long, mark long, t1 long, t2 long, sigs array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -324,40 +337,63 @@ def _same(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: tuple[int, ...] = SEEDS, distance: int = LOOSE, n: int = WORDS, similarity: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) whose sets of shingles are similar."""
+    with_a = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a")
+    return with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b").filter(_same("_a", "_b", F.lit(similarity))).select("a", "b")
+
+
+def verified_components(members: DataFrame, sets: DataFrame, similarity: float, hubs: int = HUBS) -> DataFrame | None:
+    """(sig, node, score) -> (node, root): the components of the links between members of one signature that are similar; None without links.
+
+    In each round a few members of each signature, those of highest score first, are verified against all others that are
+    not known to be connected to them, and then leave it. A signature is done when what is left of it is connected. So every
+    pair of its members has been verified or is connected, though a large group of copies needs a pair a member only. Members
+    of a signature's largest component needn't be taken: the others meet them.
+    """
+    members, roots = members.withColumn("root", F.col("node")), None
+    while True:
+        sizes = members.groupBy("sig", "root").agg(F.count("*").alias("n"))
+        major = F.max_by("root", F.struct("n", "root"))
+        split = sizes.groupBy("sig").agg(F.when(F.max("n") > 1, major).alias("major"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+        left = packed(members.join(small(packed(split)), "sig"))
+        if left.isEmpty():
+            return roots
+        place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "node"))
+        taken = left.filter("major is null or root <> major").select("sig", "node", "root", place.alias("place")).filter(F.col("place") <= hubs)
+        taken = small(packed(taken.select("sig", F.col("node").alias("hub"), F.col("root").alias("hub_root"))))
+        met = left.join(taken, "sig").filter("root <> hub_root")
+        good = packed(_with_sets(packed(met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()), sets, similarity))
+        members = left.join(taken.withColumnRenamed("hub", "node"), ["sig", "node"], "left_anti").select("sig", "node", "score", "root")
+        if not good.isEmpty():
+            roots = components(good if roots is None else good.union(roots.select("node", "root")), "a", "b")
+            found = small(roots.select("node", F.col("root").alias("_root")))
+            members = members.join(found, "node", "left").select("sig", "node", "score", F.coalesce("_root", "root").alias("root"))
+        hubs *= 8
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """(id, component_id) by verified similarity of texts, for a looser notion of near duplicate than a fixed distance.
 
-    Pairs whose word-set fingerprints are within ``distance`` for one of the seeds are verified: they link if the Jaccard
-    similarity of their sets of n-word shingles is ``similarity`` or more. A document's nearest pairs are verified first;
-    pairs that links found so far already connect need no look. Rounds go on until no pair is left. Texts with the same
-    words are one from the start. Null ids take no part.
+    Texts link if the Jaccard similarity of their sets of n-word shingles is ``similarity`` or more. Pairs that share a
+    signature of least hashes (MinHash in bands) are verified, or else links found so far already connect them. Texts with
+    the same words are one from the start. Null ids take no part.
     """
     docs = docs.filter(F.col(id_col).isNotNull())
-    fps = cut(word_set_fingerprints(docs, id_col, text_col, seeds))
-    nodes = packed(fps.groupBy("t1", "t2").agg(F.min("id").alias("node"), F.first("fps").alias("fps")), 10_000)
-    pairs = packed(links(nodes.select("node", "fps"), len(seeds), distance, None, bucket).groupBy("a", "b").agg(F.min("d").alias("d")))
-    involved = small(packed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(involved, "node", "left_semi")
-    sets = cut(shingle_sets(texts, n).dropDuplicates(["node"]))
-    left, roots, nearest = pairs, None, NEAREST
-    while not left.isEmpty():
-        place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-        placed = packed(left.withColumn("_place", place))
-        tried = placed.filter(F.col("_place") <= nearest).select("a", "b")
-        with_a = tried.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a")
-        good = with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b").filter(_same("_a", "_b", F.lit(similarity))).select("a", "b")
-        roots = components(good if roots is None else good.union(roots.select("node", "root")), "a", "b")
-        left = placed.filter(F.col("_place") > nearest).select("a", "b", "d")
-        for end in ("a", "b"):
-            left = left.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
-        left = packed(left.filter("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b", "d"))
-        nearest *= 4
-    named = nodes.select("t1", "t2", "node")
-    if roots is not None:
-        named = named.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
-    else:
-        named = named.withColumnRenamed("node", "component_id")
-    return fps.join(named, ["t1", "t2"]).select("id", "component_id")
+    signed = cut(text_signatures(docs, id_col, text_col, n))
+    nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("sigs").alias("sigs"))
+    nodes = packed(nodes.withColumn("node", F.monotonically_increasing_id()), 10_000)
+    shown = nodes.select("node", F.explode("sigs").alias("sig"))
+    shared = shown.join(packed(shown.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")), "sig")
+    scores = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    members = packed(shared.select("sig", "node").join(scores, "node"))
+    involved = small(packed(nodes.join(members.select("node").distinct(), "node").select("first.id", "first.mark", "node")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    sets = cut(shingle_sets(texts.join(involved, ["id", "mark"]), n).dropDuplicates(["node"]))
+    roots = verified_components(members, sets, similarity)
+    rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("first.id").alias("component_id"))
+    return signed.join(rooted.join(least, "root").select("t1", "t2", "component_id"), ["t1", "t2"]).select("id", "component_id")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -292,3 +292,40 @@ def test_pipeline_stages(spark):
             assert not any(b in r["text"] for r in out.collect() for b in bench)
         kept = out
     assert len(names) == 5 and kept.filter(F.col("shard").isNull()).isEmpty() and kept.count() > 100
+
+def shingles_of(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingles_of(a), shingles_of(b)
+    return len(a & b) / len(a | b)
+
+
+def changed(rng, words, n):
+    """The words with ``n`` of them, more than a shingle apart, replaced."""
+    out = list(words)
+    for k in rng.sample(range(1, len(words) // 6 - 1), n):
+        out[6 * k + 2] = f"c{rng.getrandbits(40)}"
+    return " ".join(out)
+
+
+def test_variants_of_one_text_all_meet(spark):
+    rng = random.Random(8)
+    words = [f"v{rng.getrandbits(30)}" for _ in range(240)]
+    data = [(0, " ".join(words))] + [(i, changed(rng, words, 4 + i % 2 + 2 * (i > 420))) for i in range(1, 451)]
+    near = [jaccard(t, data[0][1]) for _, t in data]
+    parent = {i: i for i, _ in data}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    sets = [shingles_of(t) for _, t in data]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in parent} and sum(0.8 <= x <= 0.85 for x in near) == 420 and sum(x < 0.8 for x in near) == 30
