@@ -372,16 +372,21 @@ def verified_components(members: DataFrame, sets: DataFrame, similarity: float,
         hubs *= 8
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
-    """(id, component_id) by verified similarity of texts, for a looser notion of near duplicate than a fixed distance.
+def _same_row(one: DataFrame, two: DataFrame):
+    """A join condition: the same id, which may be null, and text."""
+    return one["id"].eqNullSafe(two["id"]) & (one["mark"] == two["mark"])
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
+    """(id, mark, least) by verified similarity of texts, for a looser notion of near duplicate than a fixed distance.
 
     Texts link if the Jaccard similarity of their sets of n-word shingles is ``similarity`` or more. Pairs that share a
     signature of least hashes (MinHash in bands) are verified, or else links found so far already connect them. Texts with
-    the same words are one from the start. Null ids take no part.
+    the same words are one from the start. mark is a hash of the text; least has the id and mark of the class's first row,
+    by id with null last.
     """
-    docs = docs.filter(F.col(id_col).isNotNull())
     signed = cut(text_signatures(docs, id_col, text_col, n))
-    nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct("id", "mark")).alias("first"), F.first("sigs").alias("sigs"))
+    nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.first("sigs").alias("sigs"))
     nodes = packed(nodes.withColumn("node", F.monotonically_increasing_id()), 10_000)
     shown = nodes.select("node", F.explode("sigs").alias("sig"))
     shared = shown.join(packed(shown.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")), "sig")
@@ -389,23 +394,31 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = packed(shared.select("sig", "node").join(scores, "node"))
     involved = small(packed(nodes.join(members.select("node").distinct(), "node").select("first.id", "first.mark", "node")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    sets = cut(shingle_sets(texts.join(involved, ["id", "mark"]), n).dropDuplicates(["node"]))
+    sets = cut(shingle_sets(texts.join(involved, _same_row(texts, involved)), n).dropDuplicates(["node"]))
     roots = verified_components(members, sets, similarity)
     rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("first.id").alias("component_id"))
-    return signed.join(rooted.join(least, "root").select("t1", "t2", "component_id"), ["t1", "t2"]).select("id", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    return signed.join(rooted.join(least, "root").select("t1", "t2", "least"), ["t1", "t2"]).select("id", "mark", "least")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component_id): a class's id is the smallest non-null id in it, or null without any."""
+    return text_classes(docs, id_col, text_col, **options).select("id", F.col("least.id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one with the smallest id. Documents with a null id all stay."""
-    found = cut(similar_texts(docs, id_col, text_col, **options))
-    gone = small(packed(found.filter("id <> component_id").select(F.col("id").alias(id_col)).distinct()))
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    if not found.groupBy("id").count().filter("count > 1").isEmpty():
-        repeated = found.groupBy("id").count().filter("count > 1").select(F.col("id").alias(id_col))
-        again = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns)
-        kept = kept.join(repeated, id_col, "left_anti").select(docs.columns).unionByName(again)
-    return kept
+    """``docs`` with one document of each class: the one with the smallest id, or one with a null id where all are null."""
+    found = cut(text_classes(docs, id_col, text_col, **options))
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("mark") == F.col("least.mark"))
+    gone = small(packed(found.filter(~first).select("id", "mark").distinct()))
+    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_mark": F.xxhash64(text_col)})
+    same = lambda keys: marked["_id"].eqNullSafe(keys["id"]) & (marked["_mark"] == keys["mark"])
+    kept = marked.join(gone, same(gone), "left_anti")
+    repeated = packed(found.filter(first).groupBy("id", "mark").count().filter("count > 1").select("id", "mark"))
+    if not repeated.isEmpty():
+        again = kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["_id", "_mark"])
+        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(again)
+    return kept.select(docs.columns)
 
 
 def op8_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,3 +329,15 @@ def test_variants_of_one_text_all_meet(spark):
                 parent[max(p, q)] = min(p, q)
     got = {r["id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in parent} and sum(0.8 <= x <= 0.85 for x in near) == 420 and sum(x < 0.8 for x in near) == 30
+
+
+def test_near_dedup_takes_null_ids(spark):
+    rng = random.Random(10)
+    a, b, c = ([f"{k}{rng.getrandbits(30)}" for _ in range(120)] for k in "abc")
+    one = lambda words: " ".join(words)
+    near = lambda words: changed(rng, words, 1)
+    data = [(None, one(a)), (7, near(a)), (3, one(a)), (None, near(a)), (None, one(b)), (None, one(b)), (None, near(b)), (None, one(c)), (3, one(c)), (None, None), (None, "")]
+    kept = [(r["doc_id"], (r["text"] or "")[:1]) for r in simhash.drop_similar(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=repr) == [(3, "a"), (3, "c"), (None, ""), (None, "b")]
+    found = simhash.similar_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["component_id"] for r in found), key=repr) == [3] * 6 + [None] * 5
