@@ -331,6 +331,16 @@ def test_variants_of_one_text_all_meet(spark):
     assert got == {i: find(i) for i in parent} and sum(0.8 <= x <= 0.85 for x in near) == 420 and sum(x < 0.8 for x in near) == 30
 
 
+def test_isolated_pairs_near_the_limit_are_found(spark):
+    rng, data = random.Random(9), []
+    for i in range(600):
+        words = [f"v{rng.getrandbits(40)}" for _ in range(460 if i % 2 else 230)]
+        data += [(2 * i, " ".join(words)), (2 * i + 1, changed(rng, words, 10 if i % 2 else 5))]
+    assert all(0.8 <= jaccard(data[k][1], data[k + 1][1]) <= 0.81 for k in range(0, 1200, 2))
+    got = {r["id"]: r["component_id"] for r in simhash.similar_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[k + 1] == k for k in range(0, 1200, 2)) == 600
+
+
 def test_near_dedup_takes_null_ids(spark):
     rng = random.Random(10)
     a, b, c = ([f"{k}{rng.getrandbits(30)}" for _ in range(120)] for k in "abc")
