@@ -13,8 +13,8 @@ without a shuffle. Beyond that size seeds are joined: text windows that pass a b
 benchmark's windows, and only pairs with a seed in common meet for tiling. Both ways give the same rows.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than MIN_MATCH tokens can't hold a tile and
-match nothing; repeated rows are reported once for each row (join way: once for each id); null ids are reported as null
-(join way: left out); other columns aren't looked at.
+match nothing; repeated rows are reported once for each row; null ids are reported as null; other columns aren't looked at.
+The join way knows texts and items by a 128-bit digest of their text, so ids may be null or repeated in both.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -171,15 +171,23 @@ def load(benchmark: DataFrame, min_match: int = MIN_MATCH) -> Benchmark:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, item_tokens, tiles, tiled, longest, coverage) for every text and item at or over the threshold."""
     if not fits_broadcast(benchmark, broadcast_bytes):
-        return _by_seed_join(docs, benchmark, coverage, min_match)
+        hits = _by_seed_join(docs, benchmark, coverage, min_match)
+        named = hits.join(benchmark.select(F.col("item_id").cast("long"), _key().alias("_item_key")), "_item_key")
+        return docs.select(F.col("doc_id").cast("long"), _key().alias("_text_key")).join(named, "_text_key").select("doc_id", "item_id", *[c for c in hits.columns if c[0] != "_"])
     items = load(benchmark, min_match)
     ids = F.array(*[F.lit(i).cast("long") for i in items.ids]) if items.ids else F.lit(None).cast("array<long>")
     hits = docs.select("doc_id", F.explode(matcher(items, coverage)(text_of())).alias("hit"))
     return hits.select("doc_id", F.get(ids, F.col("hit.item")).alias("item_id"), *[f"hit.{c}" for c in ("item_tokens", "tiles", "tiled", "longest", "coverage")])
 
 
+def _key() -> Column:
+    return F.unhex(F.md5(text_of().cast("binary")))
+
+
 def _by_seed_join(docs: DataFrame, benchmark: DataFrame, coverage: float, min_match: int) -> DataFrame:
-    def seeds(table: DataFrame, id_col: str, only: np.ndarray | None) -> DataFrame:
+    """(_text_key, _item_key, ...) for every distinct text and item at or over the threshold."""
+
+    def seeds(table: DataFrame, only: np.ndarray | None) -> DataFrame:
         def each(batches):
             for batch in batches:
                 for i, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -187,34 +195,35 @@ def _by_seed_join(docs: DataFrame, benchmark: DataFrame, coverage: float, min_ma
                     if only is not None:
                         h = h[(only[h >> np.uint64(64 - MAP_BITS + 3)] >> ((h >> np.uint64(64 - MAP_BITS)) & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                     if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64))], names=["id", "seed"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i.as_py()] * len(h), pa.binary()), pa.array(h.view(np.int64))], names=["key", "seed"])
 
-        return table.select(F.col(id_col).cast("long").alias("id"), text_of().alias("text")).mapInArrow(each, "id long, seed long")
+        return table.select(_key().alias("key"), text_of().alias("text")).mapInArrow(each, "key binary, seed long")
 
-    item_seeds = seeds(benchmark, "item_id", None).withColumnRenamed("id", "item_id")
+    item_seeds = seeds(benchmark, None).withColumnRenamed("key", "_item_key").distinct()
     cell = F.shiftrightunsigned("seed", 64 - MAP_BITS)
     bits = item_seeds.groupBy(F.shiftright(cell, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(seed, {64 - MAP_BITS}) & 7 as int))")).alias("bits"))
     only = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for r in bits.collect():  # at most 2 ** (MAP_BITS - 3) rows
         only[r["byte"]] = r["bits"]
-    pairs = seeds(docs, "doc_id", only).withColumnRenamed("id", "doc_id").join(item_seeds, "seed").select("doc_id", "item_id").distinct()
+    pairs = seeds(docs, only).withColumnRenamed("key", "_text_key").join(item_seeds, "seed").select("_text_key", "_item_key").distinct()
 
     @pandas_udf("item_tokens int, tiles int, tiled int, longest int, coverage double")
     def both(items: pd.Series, texts: pd.Series) -> pd.DataFrame:
         rows = [tiled(tokens(i), tokens(t), min_match, coverage) or (None,) * 5 for i, t in zip(items, texts, strict=True)]
         return pd.DataFrame(rows, columns=["item_tokens", "tiles", "tiled", "longest", "coverage"]).astype({"item_tokens": "Int32", "tiles": "Int32", "tiled": "Int32", "longest": "Int32", "coverage": "float64"})
 
-    b = benchmark.select(F.col("item_id").cast("long"), F.col("text").alias("_item"))
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("_text")).dropDuplicates(["doc_id"])
-    met = d.join(pairs, "doc_id").join(b, "item_id").select("doc_id", "item_id", both("_item", "_text").alias("hit"))
-    return met.filter("hit.coverage is not null and not isnan(hit.coverage)").select("doc_id", "item_id", "hit.*")
+    texts = lambda table, key, name: table.select(_key().alias(key), F.col("text").alias(name)).dropDuplicates([key])
+    met = texts(docs, "_text_key", "_text").join(pairs, "_text_key").join(texts(benchmark, "_item_key", "_item"), "_item_key")
+    hits = met.select("_text_key", "_item_key", both("_item", "_text").alias("hit"))
+    return hits.filter("hit.coverage is not null and not isnan(hit.coverage)").select("_text_key", "_item_key", "hit.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the texts that an item contaminates."""
     if fits_broadcast(benchmark, broadcast_bytes):
         return docs.filter(F.size(matcher(load(benchmark, min_match), coverage)(text_of())) == 0)
-    return docs.join(contaminated(docs, benchmark, coverage, min_match, broadcast_bytes).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = _by_seed_join(docs, benchmark, coverage, min_match).select("_text_key").distinct()
+    return docs.withColumn("_text_key", _key()).join(gone, "_text_key", "left_anti").select(docs.columns)
 
 
 def op6_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

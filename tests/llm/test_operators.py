@@ -351,3 +351,13 @@ def test_near_dedup_takes_null_ids(spark):
     assert sorted(kept, key=repr) == [(3, "a"), (3, "c"), (None, ""), (None, "b")]
     found = simhash.similar_texts(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r["component_id"] for r in found), key=repr) == [3] * 6 + [None] * 5
+
+
+def test_decontamination_ways_agree_on_null_and_repeated_ids(spark):
+    long = [" ".join(f"{k}{i}" for i in range(20)) for k in "abc"]
+    bench = spark.createDataFrame([(None, long[0]), (1, long[1]), (1, long[2]), (2, long[2]), (None, None)], "item_id long, text string")
+    data = [(None, long[0]), (None, "clean one two three four five"), (5, long[1]), (5, "clean"), (5, long[2]), (5, long[2]), (6, long[0]), (7, None), (None, None), (8, "x " + long[2])]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    ways = [sorted(map(repr, dc.contaminated(d, bench, broadcast_bytes=size).collect())) for size in (dc.BROADCAST_BYTES, 0)]
+    kept = [sorted(map(repr, dc.drop_contaminated(d, bench, broadcast_bytes=size).collect())) for size in (dc.BROADCAST_BYTES, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 9 and kept[0] == kept[1] and len(kept[0]) == 4
