@@ -6,6 +6,10 @@ idf ln((1 + n) / (1 + df)) + 1 over the templates; a word of no template has df
 the highest cosine, if that reaches ``LEAST``; a file's licence is that of its best notice. A file named like a licence file
 (LICENSE, LICENCE, COPYING, NOTICE, with any suffix) speaks for its directory.
 
+Next to the pieces, whole units are compared with the full texts in ``licence_texts`` (and MIT's grant): paragraphs, comment
+blocks, and all of a file named like a licence file, with an idf of their own. Pieces inside a unit that reaches ``LEAST`` don't
+count, as they are a part of that licence ("All rights reserved." in a BSD file); of the rest the best cosine decides.
+
 Files without a licence of their own inherit from the nearest directory above that has one. Ancestors are enumerated for
 distinct directories, not for files, and joined on the path, so a directory with a third of all files costs no more than one
 with a single file; files then look up their own directory.
@@ -18,6 +22,11 @@ in the alphabet; repeated files are reported each; an empty table gives an empty
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +55,15 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved."),
 )
+#: What a text or unit holds to be compared with the full texts.
+BODY_ANCHOR = ANCHOR + r"|permission is hereby|redistribution and use"
+_COMMENT = r"[ \t]*(?:#|//|/?\*|--|;|%)"
+
+
+def bodies() -> list[tuple[str, str]]:
+    """Full licence texts by SPDX identifier, and the paragraph by which MIT is known alone."""
+    found = [(path.stem, path.read_text()) for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    return found + [(name, text.split("\n\n")[0]) for name, text in found if name == "MIT"]
 
 
 def tokens(text: Column) -> Column:
@@ -68,16 +86,49 @@ def template_vectors(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFram
     return idf, weighed.join(norms, "template").select("term", "template", "license", (F.col("w") / F.col("norm")).alias("weight")), n
 
 
-def notices(files: DataFrame, id_col: str, text_col: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(id, license, score) of the files with a notice."""
-    idf, vectors, n = template_vectors(files.sparkSession, templates)
+def body_vectors(spark: SparkSession) -> tuple[DataFrame, DataFrame, int]:
+    """As ``template_vectors``, of the full texts."""
+    counts = [(name, Counter(re.findall(TOKEN, text.lower()))) for name, text in bodies()]
+    df, n = Counter(t for _, c in counts for t in c), len(counts)
+    idf = {t: math.log((1.0 + n) / (1.0 + k)) + 1 for t, k in df.items()}
+    rows = []
+    for k, (name, c) in enumerate(counts):
+        norm = math.sqrt(sum((tf * idf[t]) ** 2 for t, tf in c.items()))
+        rows += [(t, k, name, tf * idf[t] / norm) for t, tf in c.items()]
+    return spark.createDataFrame(list(idf.items()), "term string, idf double"), spark.createDataFrame(rows, "term string, template int, license string, weight double"), n
+
+
+def units(text: Column, whole: Column) -> Column:
+    """Paragraphs, blocks of comment lines and block comments, and all of the text if ``whole``."""
+    paragraphs = F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    lines = F.split(F.regexp_replace(text, rf"(?m)^(?!{_COMMENT})[^\n]*$", "\0"), "\0")
+    blocks = F.regexp_extract_all(text, F.lit(r'(?s)/\*.*?\*/|""".*?"""|<!--.*?-->'), F.lit(0))
+    found = F.concat(paragraphs, lines, blocks, F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(found, lambda x: x.rlike(BODY_ANCHOR)))
+
+
+def scores(found: DataFrame, idf: DataFrame, vectors: DataFrame, n: int, least: float) -> DataFrame:
+    """(id, piece, text) -> (id, piece, license, score) at or over ``least``."""
     unknown = F.log(F.lit(1.0 + n)) + 1
-    found = files.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(F.col("text").rlike(ANCHOR)).select("id", F.posexplode(pieces(F.col("text"))).alias("piece", "text")).filter(F.col("text").rlike(ANCHOR))
     terms = found.select("id", "piece", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "piece", "term").agg(F.count("*").alias("tf"))
     weighed = terms.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unknown))
     norms = weighed.groupBy("id", "piece").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(F.broadcast(vectors), "term").groupBy("id", "piece", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["id", "piece"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least)
+    return dots.join(norms, ["id", "piece"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= least).select("id", "piece", "license", "score")
+
+
+def notices(files: DataFrame, id_col: str, text_col: str = "text", templates=TEMPLATES, least: float = LEAST, path_col: str = "path") -> DataFrame:
+    """(id, license, score) of the files with a notice."""
+    idf, vectors, n = template_vectors(files.sparkSession, templates)
+    named = F.coalesce(F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENSE_FILE), F.lit(False))
+    texts = files.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), named.alias("whole"))
+    found = texts.filter(F.col("text").rlike(ANCHOR)).select("id", F.posexplode(pieces(F.col("text"))).alias("piece", "text")).filter(F.col("text").rlike(ANCHOR))
+    bodily = texts.filter(F.col("text").rlike(BODY_ANCHOR)).select("id", F.posexplode(units(F.col("text"), F.col("whole"))).alias("piece", "text"))
+    matched = scores(bodily, *body_vectors(files.sparkSession), least)
+    words = F.xxhash64(tokens(F.col("text"))).alias("words")
+    inside = bodily.join(matched.select("id", "piece").distinct(), ["id", "piece"], "left_semi").select("id", F.explode(pieces(F.col("text"))).alias("text")).select("id", words).distinct()
+    found = found.withColumn("words", words).join(inside, ["id", "words"], "left_anti")
+    scored = scores(found, idf, vectors, n, least).union(matched)
     best = scored.groupBy("id", "license").agg(F.max("score").alias("score")).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select("id", "b.license", (-F.col("b.s")).alias("score"))
 
@@ -88,7 +139,7 @@ def directory(path: str) -> Column:
 
 def scan(files: DataFrame, id_col: str, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, path, license, score, basis, from_dir): basis is ``own``, ``inherited`` or null; from_dir is whose licence is inherited."""
-    own = notices(files, id_col, text_col, templates, least)
+    own = notices(files, id_col, text_col, templates, least, path_col)
     slim = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), directory(path_col).alias("dir"), F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENSE_FILE).alias("speaks"))
     known = slim.join(own, "id", "left")
     speak = known.filter("speaks and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))

@@ -361,3 +361,14 @@ def test_decontamination_ways_agree_on_null_and_repeated_ids(spark):
     ways = [sorted(map(repr, dc.contaminated(d, bench, broadcast_bytes=size).collect())) for size in (dc.BROADCAST_BYTES, 0)]
     kept = [sorted(map(repr, dc.drop_contaminated(d, bench, broadcast_bytes=size).collect())) for size in (dc.BROADCAST_BYTES, 0)]
     assert ways[0] == ways[1] and len(ways[0]) == 9 and kept[0] == kept[1] and len(kept[0]) == 4
+
+
+def test_licenses_full_texts(spark):
+    body = dict(reversed(licenses.bodies()))
+    wrap = lambda text, mark: "\n".join(f"{mark}{' '.join(p.split()[i : i + 11])}" for p in text.split("\n\n") for i in range(0, len(p.split()), 11))
+    bsd = "Copyright (c) 2020, Ann Other.\n" + wrap(body["BSD-3-Clause"], "")
+    mit = "# Copyright (c) 2021 Ann\n#\n" + wrap(body["MIT"], "# ") + "\n\nimport x\nx.run()\n"
+    grant = "Copyright 2021 Ann\n\n" + wrap(body["MIT"].split("\n\n")[0], "") + "\n\ncode"
+    data = [(1, "a/LICENSE", bsd), (2, "a/b.py", "code"), (3, "c/d.py", mit), (4, "c/e.txt", grant), (5, "f/COPYING", body["GPL-3.0"]), (6, "g/h.c", "/* " + wrap(body["BSD-2-Clause"], " * ") + " */\nint x;"), (7, "g/i.c", "Copyright Ann. All rights reserved.")]
+    out = {r["k"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(data, "k long, path string, text string"), "k").withColumnRenamed("id", "k").collect()}
+    assert out == {1: ("BSD-3-Clause", "own"), 2: ("BSD-3-Clause", "inherited"), 3: ("MIT", "own"), 4: ("MIT", "own"), 5: ("GPL-3.0", "own"), 6: ("BSD-2-Clause", "own"), 7: ("Proprietary", "own")}
