@@ -6,9 +6,10 @@ what remains. Texts are normalised (lower case, runs of anything but letters and
 128 bits) as a whole, by paragraph and by line, so that partial and rewrapped quotes are found.
 
 A quoted unit links to the original: the first message of the same conversation that says it, if it is earlier, else the
-first message of any conversation that does. Originals are aggregated by hash before the join, which is therefore many to
+first message of any conversation that does, unless that is the quoting message itself. Originals are aggregated by hash before the join, which is therefore many to
 one, however often a line is said. A passage's origin is that of its longest linked unit; a message replies to the origin
-of its longest linked passage at level 1. Messages without one reply to the turn before them in their conversation.
+of its longest linked passage at level 1, by units whose original comes before it in the order of (conversation, turn): the
+tables have no times, and replies may not go round in circles. Other linked quotes only count. Messages without one reply to the turn before them in their conversation.
 
 Conversations are rebuilt without quotes in reply order: a thread is a root message and all that reply to it directly or
 not, depths are found by pointer doubling, and positions number a conversation's messages by turn (a message never precedes
@@ -94,9 +95,11 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     met = asked.join(first_here, ["hash", "conv_id"], "left").join(first, "hash", "left")
     here = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn")))
     there = F.when(F.col("any") < F.struct("conv_id", "turn"), F.col("any"))
-    units_found = met.withColumn("origin", F.coalesce(here, there)).filter("origin is not null")
-    by_quote = units_found.groupBy("conv_id", "turn", "quote", "level").agg(F.max_by("origin", F.struct("words", "hash")).alias("origin"), F.max("words").alias("words"))
-    by_message = by_quote.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max_by("origin", F.when(F.col("level") == 1, F.struct("words", -F.col("quote")))).alias("origin"))
+    other = F.col("any") != F.struct("conv_id", "turn")
+    units_found = met.withColumn("origin", F.coalesce(here, there)).filter(F.col("origin").isNotNull() | other)
+    before = F.col("origin").isNotNull()
+    by_quote = units_found.groupBy("conv_id", "turn", "quote", "level").agg(F.max_by("origin", F.when(before, F.struct("words", "hash"))).alias("origin"), F.max(F.when(before, F.col("words"))).alias("words"))
+    by_message = by_quote.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max_by("origin", F.when((F.col("level") == 1) & F.col("origin").isNotNull(), F.struct("words", -F.col("quote")))).alias("origin"))
     block = F.floor(F.col("turn") / BLOCK)
     blocks = rows.groupBy("conv_id", block.alias("_block")).agg(F.max("turn").alias("_last"), F.count("*").alias("_n"))
     by_block = Window.partitionBy("conv_id").orderBy("_block")

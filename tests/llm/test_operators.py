@@ -372,3 +372,11 @@ def test_licenses_full_texts(spark):
     data = [(1, "a/LICENSE", bsd), (2, "a/b.py", "code"), (3, "c/d.py", mit), (4, "c/e.txt", grant), (5, "f/COPYING", body["GPL-3.0"]), (6, "g/h.c", "/* " + wrap(body["BSD-2-Clause"], " * ") + " */\nint x;"), (7, "g/i.c", "Copyright Ann. All rights reserved.")]
     out = {r["k"]: (r["license"], r["basis"]) for r in licenses.scan(spark.createDataFrame(data, "k long, path string, text string"), "k").withColumnRenamed("id", "k").collect()}
     assert out == {1: ("BSD-3-Clause", "own"), 2: ("BSD-3-Clause", "inherited"), 3: ("MIT", "own"), 4: ("MIT", "own"), 5: ("GPL-3.0", "own"), 6: ("BSD-2-Clause", "own"), 7: ("Proprietary", "own")}
+
+
+def test_quotes_of_later_conversations_count(spark):
+    data = [(3, 0, "u", "hi"), (3, 1, "u", "> Use a window.\nok"), (7, 0, "u", "Use a window."), (7, 1, "u", "> ok\nfine")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    out = {(r["conv_id"], r["turn"]): r for r in quotation.threads(quotation.link_quotes(df)).collect()}
+    assert out[3, 1]["n_linked"] == 1 and (out[3, 1]["parent_conv"], out[3, 1]["parent_turn"], out[3, 1]["linked_by"]) == (3, 0, "order")
+    assert out[7, 1]["n_linked"] == 1 and (out[7, 1]["parent_conv"], out[7, 1]["parent_turn"], out[7, 1]["linked_by"]) == (3, 1, "quote")
