@@ -5,8 +5,12 @@ reaches back so that it is full. Bytes are embedded, filters of several widths s
 response in the window is rectified, and a softmax over languages follows. A text's probabilities are the mean of its
 windows', weighted by their bytes other than spaces. All windows of a text count.
 
-Bounds: at most ``sample`` texts a language train the network, the first in the order of a hash of their ids, with at most
-``WINDOWS_A_TEXT`` windows each, spread evenly over the text. At most ``MAX_LANGUAGES`` languages are learned.
+Bounds: at most ``sample`` texts a language train the network, the first in the order of a hash of their ids, and each
+epoch draws ``WINDOWS_A_TEXT`` windows of each of them at random from all its windows, so that very long texts don't crowd out the
+rest. More than ``MAX_LANGUAGES`` labels are refused with an error, as they can't be languages.
+
+Beside the label and its probability a text gets ``known``: the share of its bytes other than spaces that occurred in the
+training texts. A text in a script that was never seen has a low one, whatever the softmax makes of it.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no labelled text at all everything is
 ``und``; ties go to the language first by code point; repeated rows are predicted alike; other columns aren't looked at.
@@ -18,14 +22,14 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from shelfmark.llm.common import documents, fold, text_of
+from shelfmark.llm.common import documents, first_ids, fold, free, text_of
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4, 5), 8, 8
-SAMPLE, WINDOWS_A_TEXT, MAX_LANGUAGES = 400, 4, 200
+SAMPLE, WINDOWS_A_TEXT, MAX_LANGUAGES = 400, 4, 2000
 EPOCHS, BATCH, RATE = 4, 64, 0.01
 UND = "und"
 
@@ -50,6 +54,7 @@ class ByteCNN:
     def __init__(self, languages: list[str], seed: int = 42):
         rng = np.random.default_rng(seed)
         self.languages, self.widest = languages, max(WIDTHS)
+        self.seen = np.zeros(256, bool)
         n = FILTERS * len(WIDTHS)
         self.mask = np.zeros((self.widest * DIM, n), np.float32)
         for i, w in enumerate(WIDTHS):
@@ -95,11 +100,16 @@ class ByteCNN:
         embed = np.stack([np.bincount(places, spread[:, i], minlength=256) for i in range(DIM)], 1)
         return {"embed": embed, "kernel": np.einsum("nf,nfk->kf", back, best) * self.mask, "bias": back.sum(0), "out": pooled.T @ d, "shift": d.sum(0)}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> ByteCNN:
-        """Adam on shuffled batches with a rate that falls to zero."""
+    def train(self, texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> ByteCNN:
+        """Adam on shuffled batches with a rate that falls to zero; each epoch draws its windows of each text anew."""
+        for w in texts:
+            self.seen[np.unique(w)] = True
+        self.seen[32] = True
         rng, m, v, t = np.random.default_rng(seed), {}, {}, 0
-        steps = epochs * -(-len(x) // BATCH)
+        y = np.repeat(labels, [min(len(w), WINDOWS_A_TEXT) for w in texts])
+        steps = epochs * -(-len(y) // BATCH)
         for _ in range(epochs):
+            x = np.concatenate([w[rng.permutation(len(w))[:WINDOWS_A_TEXT]] for w in texts])
             order = rng.permutation(len(x))
             for i in range(0, len(x), BATCH):
                 pick = order[i : i + BATCH]
@@ -111,8 +121,9 @@ class ByteCNN:
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
         return self
 
-    def predict(self, texts: list[str | None], chunk: int = 128) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UND, 0.0)] * len(texts)
+    def predict(self, texts: list[str | None], chunk: int = 128) -> list[tuple[str, float, float]]:
+        """(label, its probability, share of known bytes) of each text."""
+        out: list[tuple[str, float, float]] = [(UND, 0.0, 0.0)] * len(texts)
         wanted = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         held, size = [], 0
 
@@ -122,11 +133,13 @@ class ByteCNN:
             x = np.concatenate([w for _, w in held])
             p = np.concatenate([self.probabilities(x[i : i + chunk]) for i in range(0, len(x), chunk)]).astype(np.float64)
             weight = (x != 32).sum(1) + 1e-6
+            known = (self.seen[x] & (x != 32)).sum(1)
             ends = np.cumsum([len(w) for _, w in held])
             starts = np.concatenate(([0], ends[:-1]))
-            sums = np.add.reduceat(p * weight[:, None], starts, axis=0) / np.add.reduceat(weight, starts)[:, None]
-            for (i, _), q in zip(held, sums, strict=True):
-                out[i] = (self.languages[int(q.argmax())], float(min(1.0, q.max())))
+            total = np.add.reduceat(weight, starts)
+            sums = np.add.reduceat(p * weight[:, None], starts, axis=0) / total[:, None]
+            for (i, _), q, k in zip(held, sums, np.add.reduceat(known, starts) / total, strict=True):
+                out[i] = (self.languages[int(q.argmax())], float(min(1.0, q.max())), float(min(1.0, k)))
             held.clear()
 
         for i in wanted:
@@ -142,31 +155,34 @@ class ByteCNN:
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> ByteCNN:
     """(id, text, lang) -> a trained network, from a bounded sample."""
-    labelled = labelled.filter("lang is not null and text is not null")
-    labelled = labelled.filter("id is not null")
-    languages = sorted(r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    labelled = labelled.filter("lang is not null and text is not null and id is not null")
+    picks = first_ids(labelled.select("id", "lang"), "lang", sample)
+    languages = sorted(picks)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} labels are more than {MAX_LANGUAGES}")
     model = ByteCNN(languages)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(7)), "id"))
-    picks = labelled.filter(F.col("lang").isin(languages)).select("id", "lang", place.alias("place")).filter(F.col("place") <= sample).select("id").distinct()
-    rows = labelled.join(F.broadcast(picks), "id").select("id", "lang", "text").collect()  # at most `sample` ids a language
-    xs, ys = [], []
-    for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["text"])):
-        if r["lang"] in languages and _LETTER.search(r["text"]):
-            w = windows(r["text"])
-            w = w[np.unique(np.linspace(0, len(w) - 1, WINDOWS_A_TEXT).astype(int))]
-            xs.append(w)
-            ys += [languages.index(r["lang"])] * len(w)
-    return model.train(np.concatenate(xs), np.array(ys)) if xs else model
-
-
-def identify(docs: DataFrame, model: ByteCNN, text_col: str = "text") -> DataFrame:
-    """``docs`` with _language: struct(lang, score)."""
-
-    @pandas_udf("lang string, score double")
+    ids = [i for chosen in picks.values() for i in chosen]
+    rows = labelled.filter(F.col("id").isin(ids)).groupBy("id", "lang").agg(F.min("text").alias("text")).collect() if ids else []
+    chosen = [r for r in sorted(rows, key=lambda r: (r["lang"], r["id"])) if _LETTER.search(r["text"])]
+    return model.train([windows(r["text"]) for r in chosen], [languages.index(r["lang"]) for r in chosen]) if chosen else model
+
+
+def identify(docs: DataFrame, model: ByteCNN, text_col: str = "text", out_col: str = "_language") -> DataFrame:
+    """``docs`` with ``out_col``: struct(lang, score, known); a column of that name gives way to it."""
+
+    @pandas_udf("lang string, score double, known double")
     def language(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.predict(texts.tolist()), columns=["lang", "score"])
+        return pd.DataFrame(model.predict(texts.tolist()), columns=["lang", "score", "known"])
+
+    return docs.withColumn(out_col, language(text_of(text_col)))
+
 
-    return docs.withColumn("_language", language(text_of(text_col)))
+def keep_known(docs: DataFrame, model: ByteCNN, least_known: float, least_score: float) -> DataFrame:
+    """``docs`` without those that are ``und``, mostly of bytes that were never seen, or of too low a probability."""
+    name = free(docs.columns, "_language")
+    found = identify(docs, model, out_col=name)
+    ok = (F.col(name)["lang"] != UND) & (F.col(name)["known"] >= least_known) & (F.col(name)["score"] >= least_score)
+    return found.filter(ok).select(docs.columns)
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id") -> ByteCNN:

@@ -47,8 +47,11 @@ BUCKET = 32
 #: Near duplicates by text: signatures of ROWS least hashes each, words in a shingle, least similarity. Two texts at SIMILAR
 #: share none of the BANDS signatures with probability (1 - SIMILAR ** ROWS) ** BANDS = 2.6e-5.
 BANDS, ROWS, WORDS, SIMILAR = 20, 4, 5, 0.8
-#: Ids are broadcast up to so many (16 bytes each in a hash table of longs), joined by a shuffle beyond.
-BROADCAST_IDS = 1_000_000
+#: Bits of the sketch by which candidates are sifted before their sets are compared, in words of 64, and by how many standard
+#: deviations a pair at SIMILAR may differ in more bits than expected (beyond four: probability 3e-5).
+SKETCH, DEVIATIONS = 8, 4.0
+#: Ids are broadcast up to so many (16 bytes each in a hash table of longs), joined by a shuffle beyond; rows with a sketch up to so many.
+BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
 #: Members of a signature that all its others are verified against in the first round; each further round takes eight times as many.
 HUBS = 1
 #: Cost of a verified pair and of a signature, relative to each other (a signature is shuffled, a pair is not).
@@ -281,9 +284,9 @@ def remix(h: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def small(ids: DataFrame) -> DataFrame:
+def small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """Ids marked for broadcast if their counted number allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def min_hashes(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -316,15 +319,41 @@ def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> Data
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(each, "id long, mark long, t1 long, t2 long, sigs array<long>")
 
 
+def sketch(h: np.ndarray, size: int = SKETCH, chunk: int = 2000) -> np.ndarray:
+    """``size`` words of bits of the set ``h`` of 32-bit hashes: one bit of its least value under each of 64 * size hash functions.
+
+    A bit agrees between two sets with probability (1 + their Jaccard similarity) / 2.
+    """
+    if not len(h):
+        return np.zeros(size, np.uint64)
+    k = np.arange(1000, 1000 + 128 * size, dtype=np.uint64).reshape(2, -1, 1)
+    scale, shift = remix(k[0], 1) | np.uint64(1), remix(k[1], 2)
+    x = h.astype(np.uint64)
+    least = np.min([((x[i : i + chunk] * scale + shift) >> np.uint64(32)).min(1) for i in range(0, len(x), chunk)], axis=0)
+    return np.packbits((remix(least, 9) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def most_differing(similarity: float, size: int = SKETCH, deviations: float = DEVIATIONS) -> int:
+    """Bits in which the sketches of two sets of this similarity may differ."""
+    p, n = (1 - similarity) / 2, 64 * size
+    return int(n * p + deviations * (n * p * (1 - p)) ** 0.5)
+
+
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, text) -> (node, shingles): the sorted 32-bit hashes of each n-word shingle, as bytes."""
+    """(node, text) -> (node, shingles, sketch): the sorted 32-bit hashes of each n-word shingle, as bytes, and their sketch."""
 
     def each(batches):
         for batch in batches:
-            sets = [np.unique(hashes(t.as_py(), n).astype(np.uint32)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [np.unique(hashes(t.as_py(), n).astype(np.uint32)) for t in batch.column(1)]
+            sketches = pa.array([sketch(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), sketches], names=["node", "shingles", "sketch"])
+
+    return docs.select("node", "text").mapInArrow(each, "node long, shingles binary, sketch array<long>")
+
 
-    return docs.select("node", "text").mapInArrow(each, "node long, shingles binary")
+def _differing(a: str, b: str):
+    """Bits in which two sketches differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SKETCH)])
 
 
 @pandas_udf(BooleanType())
@@ -339,19 +368,22 @@ def _same(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) whose sets of shingles are similar."""
+    sets = sets.select("node", "shingles")
     with_a = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "_a"}), "a")
     return with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b").filter(_same("_a", "_b", F.lit(similarity))).select("a", "b")
 
 
 def verified_components(members: DataFrame, sets: DataFrame, similarity: float, hubs: int = HUBS) -> DataFrame | None:
-    """(sig, node, score) -> (node, root): the components of the links between members of one signature that are similar; None without links.
+    """(sig, node, score, sketch) -> (node, root): the components of the links between members of one signature that are similar; None without links.
 
-    In each round a few members of each signature, those of highest score first, are verified against all others that are
+    In each round a few members of each signature, those of highest score first, are compared with all others that are
     not known to be connected to them, and then leave it. A signature is done when what is left of it is connected. So every
-    pair of its members has been verified or is connected, though a large group of copies needs a pair a member only. Members
-    of a signature's largest component needn't be taken: the others meet them.
+    pair of its members has been compared or is connected, though a large group of copies needs a pair a member only. Members
+    of a signature's largest component needn't be taken: the others meet them. A comparison takes the sketches first, within
+    the join, and only pairs that they leave possible come out of it and have their sets fetched. So texts that share a
+    passage, but are not near copies, make no rows.
     """
-    members, roots = members.withColumn("root", F.col("node")), None
+    members, roots, most = members.withColumn("root", F.col("node")), None, most_differing(similarity)
     while True:
         sizes = members.groupBy("sig", "root").agg(F.count("*").alias("n"))
         major = F.max_by("root", F.struct("n", "root"))
@@ -360,15 +392,17 @@ def verified_components(members: DataFrame, sets: DataFrame, similarity: float,
         if left.isEmpty():
             return roots
         place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "node"))
-        taken = left.filter("major is null or root <> major").select("sig", "node", "root", place.alias("place")).filter(F.col("place") <= hubs)
-        taken = small(packed(taken.select("sig", F.col("node").alias("hub"), F.col("root").alias("hub_root"))))
-        met = left.join(taken, "sig").filter("root <> hub_root")
-        good = packed(_with_sets(packed(met.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()), sets, similarity))
-        members = left.join(taken.withColumnRenamed("hub", "node"), ["sig", "node"], "left_anti").select("sig", "node", "score", "root")
+        taken = left.filter("major is null or root <> major").select("sig", "node", "root", "sketch", place.alias("place")).filter(F.col("place") <= hubs)
+        taken = small(packed(taken.select(F.col("sig").alias("hub_sig"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("sketch").alias("hub_sketch"))), BROADCAST_SKETCHES)
+        possible = (F.col("sig") == F.col("hub_sig")) & (F.col("root") != F.col("hub_root")) & (_differing("sketch", "hub_sketch") <= most)
+        met = left.join(taken, possible).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+        good = packed(_with_sets(packed(met), sets, similarity))
+        gone = taken.select(F.col("hub_sig").alias("sig"), F.col("hub").alias("node"))
+        members = left.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "score", "sketch", "root")
         if not good.isEmpty():
             roots = components(good if roots is None else good.union(roots.select("node", "root")), "a", "b")
             found = small(roots.select("node", F.col("root").alias("_root")))
-            members = members.join(found, "node", "left").select("sig", "node", "score", F.coalesce("_root", "root").alias("root"))
+            members = members.join(found, "node", "left").select("sig", "node", "score", "sketch", F.coalesce("_root", "root").alias("root"))
         hubs *= 8
 
 
@@ -381,7 +415,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, mark, least) by verified similarity of texts, for a looser notion of near duplicate than a fixed distance.
 
     Texts link if the Jaccard similarity of their sets of n-word shingles is ``similarity`` or more. Pairs that share a
-    signature of least hashes (MinHash in bands) are verified, or else links found so far already connect them. Texts with
+    signature of least hashes (MinHash in bands) are compared, or else links found so far already connect them. Texts with
     the same words are one from the start. mark is a hash of the text; least has the id and mark of the class's first row,
     by id with null last.
     """
@@ -390,12 +424,12 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = packed(nodes.withColumn("node", F.monotonically_increasing_id()), 10_000)
     shown = nodes.select("node", F.explode("sigs").alias("sig"))
     shared = shown.join(packed(shown.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")), "sig")
-    scores = shared.groupBy("node").agg(F.sum("n").alias("score"))
-    members = packed(shared.select("sig", "node").join(scores, "node"))
-    involved = small(packed(nodes.join(members.select("node").distinct(), "node").select("first.id", "first.mark", "node")))
+    scores = packed(shared.groupBy("node").agg(F.sum("n").alias("score")), 1_000_000)
+    involved = small(packed(nodes.join(scores, "node").select("first.id", "first.mark", "node")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     sets = cut(shingle_sets(texts.join(involved, _same_row(texts, involved)), n).dropDuplicates(["node"]))
-    roots = verified_components(members, sets, similarity)
+    about = scores.join(sets.select("node", "sketch"), "node")
+    roots = verified_components(packed(shared.select("sig", "node").join(about, "node")), sets, similarity)
     rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     return signed.join(rooted.join(least, "root").select("t1", "t2", "least"), ["t1", "t2"]).select("id", "mark", "least")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import decontaminate as dc
+from shelfmark.llm.common import first_ids
 from shelfmark.llm import interpolation, language, licenses, mixing, quality, quotation, sharding, simhash, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, slot string"
@@ -380,3 +381,27 @@ def test_quotes_of_later_conversations_count(spark):
     out = {(r["conv_id"], r["turn"]): r for r in quotation.threads(quotation.link_quotes(df)).collect()}
     assert out[3, 1]["n_linked"] == 1 and (out[3, 1]["parent_conv"], out[3, 1]["parent_turn"], out[3, 1]["linked_by"]) == (3, 0, "order")
     assert out[7, 1]["n_linked"] == 1 and (out[7, 1]["parent_conv"], out[7, 1]["parent_turn"], out[7, 1]["linked_by"]) == (3, 1, "quote")
+
+
+def test_texts_in_an_unknown_script_go(spark):
+    rows = labelled() + [(900, "\u041f\u0440\u0438\u0432\u0435\u0442, \u043a\u0430\u043a \u0434\u0435\u043b\u0430", None), (901, "\u4f60\u597d\u4e16\u754c", None), (902, None, None), (903, "7 + 5", None), (904, "aeiou mnaei", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_language", F.lit(1)).withColumn("_LANGUAGE_", F.lit(2))
+    kept = language.keep_known(d, language.learn(d), 0.5, 0.28)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {*range(300), 904}
+
+
+def test_first_ids_whatever_repeats(spark):
+    rows = [(i % 700, "a") for i in range(3000)] + [(5, "b")] * 2000 + [(i, "c") for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, k string")
+    order = {r["id"]: r["h"] for r in d.select("id", F.xxhash64("id", F.lit(7)).alias("h")).collect()}
+    want = {"a": sorted(range(700), key=order.get)[:600], "b": [5], "c": sorted(range(40), key=order.get)}
+    assert first_ids(d, "k", 600) == want and first_ids(d.limit(0), "k", 3) == {}
+
+
+def test_sketches_sift_no_similar_pair():
+    rng, worst = np.random.default_rng(4), 0
+    for _ in range(300):
+        both, a, b = rng.integers(0, 2**32, 800), rng.integers(0, 2**32, 100), rng.integers(0, 2**32, 100)
+        x, y = (simhash.sketch(np.unique(np.concatenate([both, z])).astype(np.uint32)) for z in (a, b))
+        worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+    assert worst <= simhash.most_differing(0.8) < 90
