@@ -373,15 +373,16 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b").filter(_same("_a", "_b", F.lit(similarity))).select("a", "b")
 
 
-def verified_components(members: DataFrame, sets: DataFrame, similarity: float, hubs: int = HUBS) -> DataFrame | None:
-    """(sig, node, score, sketch) -> (node, root): the components of the links between members of one signature that are similar; None without links.
+def verified_components(members: DataFrame, sets: DataFrame, similarity: float, hubs: int = HUBS, bands: int = BANDS) -> DataFrame | None:
+    """(sig, band, node, score, marks, sketch) -> (node, root): the components of the links between members of one signature that are similar; None without links.
 
     In each round a few members of each signature, those of highest score first, are compared with all others that are
     not known to be connected to them, and then leave it. A signature is done when what is left of it is connected. So every
     pair of its members has been compared or is connected, though a large group of copies needs a pair a member only. Members
     of a signature's largest component needn't be taken: the others meet them. A comparison takes the sketches first, within
     the join, and only pairs that they leave possible come out of it and have their sets fetched. So texts that share a
-    passage, but are not near copies, make no rows.
+    passage, but are not near copies, make no rows. A pair that shares several signatures is compared under that of the first band
+    only: ``marks`` has 32 bits of a node's signature in each band.
     """
     members, roots, most = members.withColumn("root", F.col("node")), None, most_differing(similarity)
     while True:
@@ -392,17 +393,19 @@ def verified_components(members: DataFrame, sets: DataFrame, similarity: float,
         if left.isEmpty():
             return roots
         place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "node"))
-        taken = left.filter("major is null or root <> major").select("sig", "node", "root", "sketch", place.alias("place")).filter(F.col("place") <= hubs)
-        taken = small(packed(taken.select(F.col("sig").alias("hub_sig"), F.col("node").alias("hub"), F.col("root").alias("hub_root"), F.col("sketch").alias("hub_sketch"))), BROADCAST_SKETCHES)
-        possible = (F.col("sig") == F.col("hub_sig")) & (F.col("root") != F.col("hub_root")) & (_differing("sketch", "hub_sketch") <= most)
+        hub = [F.col("sig").alias("hub_sig"), *[F.col(c).alias(f"hub_{c}") for c in ("root", "marks", "sketch")], F.col("node").alias("hub")]
+        taken = left.filter("major is null or root <> major").select("*", place.alias("place")).filter(F.col("place") <= hubs).select(hub)
+        taken = small(packed(taken), BROADCAST_SKETCHES)
+        first = reduce(lambda x, y: x & y, [(F.col("band") <= i) | (F.get("marks", F.lit(i)) != F.get("hub_marks", F.lit(i))) for i in range(bands - 1)], F.lit(True))
+        possible = (F.col("sig") == F.col("hub_sig")) & (F.col("root") != F.col("hub_root")) & (_differing("sketch", "hub_sketch") <= most) & first
         met = left.join(taken, possible).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         good = packed(_with_sets(packed(met), sets, similarity))
         gone = taken.select(F.col("hub_sig").alias("sig"), F.col("hub").alias("node"))
-        members = left.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "score", "sketch", "root")
+        members = left.join(gone, ["sig", "node"], "left_anti").drop("major")
         if not good.isEmpty():
             roots = components(good if roots is None else good.union(roots.select("node", "root")), "a", "b")
             found = small(roots.select("node", F.col("root").alias("_root")))
-            members = members.join(found, "node", "left").select("sig", "node", "score", "sketch", F.coalesce("_root", "root").alias("root"))
+            members = members.join(found, "node", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
         hubs *= 8
 
 
@@ -422,14 +425,15 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = cut(text_signatures(docs, id_col, text_col, n))
     nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.first("sigs").alias("sigs"))
     nodes = packed(nodes.withColumn("node", F.monotonically_increasing_id()), 10_000)
-    shown = nodes.select("node", F.explode("sigs").alias("sig"))
+    shown = nodes.select("node", F.posexplode("sigs").alias("band", "sig"))
     shared = shown.join(packed(shown.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")), "sig")
     scores = packed(shared.groupBy("node").agg(F.sum("n").alias("score")), 1_000_000)
     involved = small(packed(nodes.join(scores, "node").select("first.id", "first.mark", "node")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     sets = cut(shingle_sets(texts.join(involved, _same_row(texts, involved)), n).dropDuplicates(["node"]))
-    about = scores.join(sets.select("node", "sketch"), "node")
-    roots = verified_components(packed(shared.select("sig", "node").join(about, "node")), sets, similarity)
+    marks = nodes.select("node", F.transform("sigs", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks"))
+    about = scores.join(sets.select("node", "sketch"), "node").join(marks, "node")
+    roots = verified_components(packed(shared.select("sig", "band", "node").join(about, "node")), sets, similarity)
     rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     return signed.join(rooted.join(least, "root").select("t1", "t2", "least"), ["t1", "t2"]).select("id", "mark", "least")
