@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as text_functions
-from shelfmark.operators import analysis, features, interactions, quality, recommend
-from shelfmark.plans.lineage import shared_dir
-from shelfmark.sources import tables
+from shelfmark.operators import analysis, features, interactions, latent, quality, recommend
+from shelfmark.plans.lineage import cut, shared_dir
+from shelfmark.sources import manifest, sinks, tables
 from shelfmark.sources.tables import LINE_KEY, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -139,7 +139,12 @@ def dedup_latest(spark, d):
     return latest_lines(spark, d).select(*KEY)
 
 
-@query(f"WITH {I1}, p AS (SELECT count(*) AS c FROM i GROUP BY user_id, item_id) SELECT sum(c)::BIGINT AS n_rows, sum(c - 1)::BIGINT AS duplicate_pairs, count_if(c > 1)::BIGINT AS repeated_pairs FROM p")
+def _repeats(columns: str) -> str:
+    return f"(SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM i GROUP BY {columns}))"
+
+
+@query(f"""WITH {I1}, t AS (SELECT count(*) AS n_rows, {_repeats(K + ", l_shipdate, ts")} AS exact, {_repeats("user_id, item_id")} AS pairs, {_repeats("item_id")} AS keys FROM i)
+SELECT *, round(100.0::DOUBLE * exact / n_rows, 4) AS exact_pct, round(100.0::DOUBLE * pairs / n_rows, 4) AS pairs_pct, round(100.0::DOUBLE * keys / n_rows, 4) AS keys_pct FROM t""")
 def duplicate_report(spark, d):
     return interactions.duplicate_report(lines(spark, d))
 
@@ -163,12 +168,37 @@ def temporal_split(spark, d):
     return interactions.temporal_split(latest_lines(spark, d), *LINE_KEY).select("user_id", "item_id", "rating", "split")
 
 
-@query(f"""WITH {I1}, {_LATEST1}, {_TEMPORAL}, u AS (SELECT user_id, count_if(split = 'train') AS tr, count_if(split = 'test') AS te FROM s GROUP BY 1), m AS (SELECT item_id, count_if(split = 'train') AS tr FROM s GROUP BY 1)
-SELECT sum(tr)::BIGINT AS train_rows, sum(te)::BIGINT AS test_rows, count_if(te = 0)::BIGINT AS train_only_users, count_if(te > 0 AND tr = 0)::BIGINT AS test_only_users, (SELECT count_if(tr = 0)::BIGINT FROM m) AS test_only_items FROM u""")
+_SIDES = """u AS (SELECT user_id, count_if(split = 'train') AS tr, count_if(split = 'test') AS te FROM s GROUP BY 1),
+m AS (SELECT item_id, count_if(split = 'train') AS tr, count_if(split = 'test') AS te FROM s GROUP BY 1)"""
+
+
+@query(f"""WITH {I1}, {_LATEST1}, {_TEMPORAL}, {_SIDES},
+a AS (SELECT sum(tr)::BIGINT AS train_rows, sum(te)::BIGINT AS test_rows, count_if(tr > 0)::BIGINT AS train_users, count_if(te > 0)::BIGINT AS test_users,
+  count_if(te = 0)::BIGINT AS train_only_users, count_if(te > 0 AND tr = 0)::BIGINT AS test_only_users FROM u),
+b AS (SELECT count_if(tr > 0)::BIGINT AS train_items, count_if(te > 0)::BIGINT AS test_items, count_if(te > 0 AND tr = 0)::BIGINT AS test_only_items FROM m)
+SELECT *, round(train_rows / (train_rows + test_rows), 4) AS train_ratio, round(test_rows / (train_rows + test_rows), 4) AS test_ratio, round(100 * test_only_items / test_items, 4) AS test_only_items_pct FROM a, b""")
 def split_report(spark, d):
     return interactions.split_report(interactions.temporal_split(latest_lines(spark, d), *LINE_KEY))
 
 
+@query(f"""WITH {I1}, {_LATEST1}, {_RANDOM}, {_SIDES}, t AS (SELECT (SELECT count_if(tr = 0 OR te = 0)::BIGINT FROM u) AS one, (SELECT count_if(tr = 0 AND te > 0)::BIGINT FROM u) AS strange,
+  (SELECT count_if(n > 1)::BIGINT FROM (SELECT count(DISTINCT split) AS n FROM s GROUP BY user_id, item_id)) AS shared),
+r AS (SELECT 'one_part_users' AS "check", one AS n FROM t UNION ALL SELECT 'strange_test_users', strange FROM t UNION ALL SELECT 'shared_pairs', shared FROM t) SELECT *, n = 0 AS ok FROM r""")
+def split_checks(spark, d):
+    return interactions.split_checks(interactions.random_split(latest_lines(spark, d)))
+
+
+@query(f"""WITH {I1}, {_LATEST1}, {_TEMPORAL}, u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM s)), t AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM s))
+SELECT split, user_idx, item_idx, sum(rating) AS rating FROM s JOIN u USING (user_id) JOIN t USING (item_id) GROUP BY ALL""")
+def split_matrices(spark, d):
+    return interactions.matrices_over_shared_ids(interactions.temporal_split(latest_lines(spark, d), *LINE_KEY))[0]
+
+
+@query(f"WITH {I2}, f AS (SELECT user_id, min(event_id) AS e FROM i GROUP BY 1) SELECT user_id, row_number() OVER (ORDER BY e) - 1 AS user_idx FROM f")
+def first_appearance_ids(spark, d):
+    return interactions.dense_ids(tables.event_interactions(spark, d, "documents"), "user_id", "user_idx", "event_id")
+
+
 @query(f"WITH {I1}, u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_idx FROM (SELECT DISTINCT user_id FROM i)), t AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM i)) SELECT user_idx, item_idx, sum(rating) AS rating FROM i JOIN u USING (user_id) JOIN t USING (item_id) GROUP BY ALL")
 def rating_matrix(spark, d):
     return interactions.rating_matrix(lines(spark, d))
@@ -188,7 +218,8 @@ def join_catalog(spark, d):
 
 @query(f"""WITH {I1}, {CAT}, k AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1), b AS (SELECT k.n, cat.item_id AS c FROM k FULL JOIN cat ON k.item_id = cat.item_id),
 t AS (SELECT coalesce(sum(n), 0)::BIGINT AS rows_total, coalesce(sum(n) FILTER (c IS NOT NULL), 0)::BIGINT AS rows_matched, count(n) AS keys_total, count(n) FILTER (c IS NOT NULL) AS keys_matched, count(n) FILTER (c IS NULL) AS keys_orphan, count_if(n IS NULL)::BIGINT AS catalogue_unused FROM b)
-SELECT *, round(rows_matched / nullif(rows_total, 0), 6) AS row_coverage, round(keys_matched / nullif(keys_total, 0), 6) AS key_coverage FROM t""")
+SELECT *, rows_total - rows_matched AS rows_unmatched, keys_matched + catalogue_unused AS catalogue_keys, round(rows_matched / nullif(rows_total, 0), 6) AS row_coverage, round(keys_matched / nullif(keys_total, 0), 6) AS key_coverage,
+round(keys_matched / nullif(keys_matched + catalogue_unused, 0), 6) AS catalogue_used FROM t""")
 def join_quality(spark, d):
     return quality.join_quality(lines(spark, d), tables.catalogue(spark, d))
 
@@ -199,15 +230,42 @@ def normalize_catalog(spark, d):
     return c.select("item_id", "title", quality.joined_list("categories").alias("categories"), quality.struct_field("author", "name").alias("author_name"), quality.struct_field("details", "Publisher").alias("details_publisher"), quality.struct_field("details", "Language").alias("details_language"))
 
 
-@query(f"""WITH {CAT}, n AS (SELECT count(*) AS n FROM cat), m AS (
+_MISSING = f"""{CAT}, n AS (SELECT count(*) AS n FROM cat), m AS (
 SELECT 'item_id' AS "column", count_if(item_id IS NULL)::BIGINT AS n_null, 0::BIGINT AS n_empty, 'drop row' AS strategy FROM cat UNION ALL
 SELECT 'title', count_if(title IS NULL), count_if(trim(title) = ''), 'empty string' FROM cat UNION ALL
 SELECT 'categories', count_if(categories IS NULL), count_if(len(categories) = 0), 'empty string' FROM cat UNION ALL
 SELECT 'author', count_if(author IS NULL), 0, 'empty string' FROM cat UNION ALL
-SELECT 'price', count_if(price IS NULL), 0, 'median' FROM cat)
-SELECT "column", n_null::BIGINT AS n_null, n_empty::BIGINT AS n_empty, round(100.0::DOUBLE * (n_null + n_empty) / n, 4) AS effective_pct, strategy FROM m, n""")
+SELECT 'price', count_if(price IS NULL), 0, 'median' FROM cat),
+mr AS (SELECT "column", n_null::BIGINT AS n_null, round(100.0::DOUBLE * n_null / n, 4) AS null_pct, n_empty::BIGINT AS n_empty, round(100.0::DOUBLE * n_empty / n, 4) AS empty_pct, round(100.0::DOUBLE * (n_null + n_empty) / n, 4) AS effective_pct, strategy FROM m, n)"""
+_KINDS = {"item_id": "key", "title": "text", "categories": "text", "author": "text", "price": "number"}
+_REASONS = {"item_id": "rows can't be joined without it", "title": "main text of an item", "price": "skewed, so the median"}
+_REASON_SQL = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in _REASONS.items()) + " ELSE '{1}' END"
+
+
+@query(f"WITH {_MISSING} SELECT * FROM mr")
 def missingness_report(spark, d):
-    return quality.missingness(tables.catalogue(spark, d), {"item_id": "key", "title": "text", "categories": "text", "author": "text", "price": "number"})
+    return quality.missingness(tables.catalogue(spark, d), _KINDS)
+
+
+@query(f"""WITH {_MISSING} SELECT *, {_REASON_SQL.format('"column"', '-')} AS reason FROM mr""")
+def missingness_strategy(spark, d):
+    return quality.missingness_strategy(missingness_report(spark, d), _REASONS)
+
+
+@query(f"""WITH {_DIRTY}, x AS (SELECT CASE WHEN l_orderkey % 19 <> 0 THEN item_id END AS item_id FROM b) SELECT 'lines' AS name, ['text'] AS missing, false AS ok, count(*) AS n_rows, count_if(item_id IS NULL)::BIGINT AS n_missing_keys,
+round(100.0::DOUBLE * count_if(item_id IS NULL) / count(*), 6) AS missing_key_pct, 0::BIGINT AS n_changed FROM x""")
+def schema_checks(spark, d):
+    rows = dirty(spark, d).withColumn("item_id", F.when(F.col("l_orderkey") % 19 != 0, F.col("item_id")))
+    return quality.schema_checks(rows, "lines", ["user_id", "item_id", "rating", "ts", "text"])
+
+
+_SELECTED = {"item_id": "key", "title": "text", "categories": "list", "author": "struct", "price": "number"}
+
+
+@query(f"""WITH c(c) AS (VALUES ('item_id'), ('title'), ('categories'), ('author'), ('details'), ('price')) SELECT c AS "column", c <> 'details' AS kept,
+CASE c {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _SELECTED.items())} END AS kind, CASE WHEN c = 'details' THEN 'out of scope' ELSE {_REASON_SQL.format("c", "")} END AS reason FROM c""")
+def column_selection(spark, d):
+    return quality.column_selection(tables.catalogue(spark, d), _SELECTED, _REASONS)
 
 
 @query(f"WITH {_DIRTY} SELECT count(rating) AS n, min(rating) AS min, max(rating) AS max, round(avg(rating), 4) AS mean, median(rating) AS median, count_if(rating NOT BETWEEN 1 AND 5)::BIGINT AS n_out, round(100.0::DOUBLE * count_if(rating NOT BETWEEN 1 AND 5) / count(rating), 4) AS pct_out FROM b")
@@ -215,9 +273,57 @@ def rating_validation(spark, d):
     return quality.rating_validation(dirty(spark, d))
 
 
-@query(f"WITH {_DIRTY} SELECT min(year(ts)) AS min_year, max(year(ts)) AS max_year, count_if(year(ts) < 2000)::BIGINT AS n_before, count_if(year(ts) > 2026)::BIGINT AS n_after, count_if(ts IS NULL)::BIGINT AS n_bad FROM b")
+@query(f"""WITH {_DIRTY}, t AS (SELECT count(ts) AS n, strftime(min(ts), '%Y-%m-%d') AS min_time, strftime(max(ts), '%Y-%m-%d') AS max_time, min(year(ts)) AS min_year, max(year(ts)) AS max_year,
+  count_if(year(ts) < 2000)::BIGINT AS n_before, count_if(year(ts) > 2026)::BIGINT AS n_after, 0::BIGINT AS n_bad FROM b) SELECT *, n_before + n_after = 0 AS ok FROM t""")
 def timestamp_validation(spark, d):
-    return quality.timestamp_validation(dirty(spark, d))
+    return _as_days(quality.timestamp_validation(dirty(spark, d)))
+
+
+def _as_days(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("min_time", "max_time")})
+
+
+_RAW_TIMES = "(SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS raw, epoch_ms(ts) AS ms FROM events)"
+
+
+@query(f"""WITH e AS {_RAW_TIMES}, t AS (SELECT count(raw) AS n, strftime(min(try_cast(raw AS TIMESTAMP)), '%Y-%m-%d') AS min_time, strftime(max(try_cast(raw AS TIMESTAMP)), '%Y-%m-%d') AS max_time, min(year(try_cast(raw AS TIMESTAMP))) AS min_year,
+  max(year(try_cast(raw AS TIMESTAMP))) AS max_year, count_if(year(try_cast(raw AS TIMESTAMP)) < 2000)::BIGINT AS n_before, count_if(year(try_cast(raw AS TIMESTAMP)) > 2026)::BIGINT AS n_after, count_if(raw = 'bad')::BIGINT AS n_bad FROM e)
+SELECT *, n_before + n_after + n_bad = 0 AS ok FROM t""")
+def text_timestamp_validation(spark, d):
+    raw = F.when(F.col("event_id") % 7 == 0, "bad").when(F.col("event_id") % 11 == 0, None).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return _as_days(quality.timestamp_validation(table(spark, d, "events").select(raw.alias("ts"))))
+
+
+@query("SELECT event_id, year(ts) AS year, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM events")
+def epoch_times(spark, d):
+    ms = table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    timed = ms.withColumn("t", interactions.epoch_time(F.col("ms")))
+    return timed.select("event_id", F.year("t").cast("long").alias("year"), F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("time"))
+
+
+def gappy(spark: SparkSession, d: str) -> DataFrame:
+    """``dirty`` lines with some items null."""
+    return dirty(spark, d).withColumn("item_id", F.when(F.col("l_orderkey") % 19 != 0, F.col("item_id")))
+
+
+_GAPPY = f"{_DIRTY}, g AS (SELECT * REPLACE (CASE WHEN l_orderkey % 19 <> 0 THEN item_id END AS item_id) FROM b), h AS (SELECT * FROM g WHERE item_id IS NOT NULL AND rating IS NOT NULL AND ts IS NOT NULL)"
+
+
+@query(f"""WITH {_GAPPY}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, {_DESC}) AS r FROM h) WHERE r = 1) SELECT {K} FROM k""")
+def clean_joined(spark, d):
+    return quality.clean_joined(gappy(spark, d), F.desc("ts"), *[F.desc(c) for c in LINE_KEY]).select(*KEY)
+
+
+@query(f"""WITH {_GAPPY}, k AS (SELECT DISTINCT user_id, item_id FROM h) SELECT (SELECT count(*) FROM g) AS rows_before, (SELECT count(DISTINCT user_id) FROM g) AS users_before, (SELECT count(DISTINCT item_id) FROM g) AS items_before, (SELECT count(*) FROM k) AS rows_after,
+(SELECT count(DISTINCT user_id) FROM k) AS users_after, (SELECT count(DISTINCT item_id) FROM k) AS items_after, (SELECT count(*) FROM g) - (SELECT count(*) FROM h) AS dropped_missing_key, (SELECT count(*) FROM h) - (SELECT count(*) FROM k) AS dropped_duplicates""")
+def clean_report(spark, d):
+    return quality.clean_joined_report(gappy(spark, d))
+
+
+@query(f"""WITH {_GAPPY}, t AS (SELECT (SELECT count(DISTINCT item_id) FROM g) AS items_before, (SELECT count(DISTINCT item_id) FROM h) AS items_after) SELECT *, items_before - items_after AS items_lost, round(100 * (items_before - items_after) / items_before, 4) AS items_lost_pct, items_before = items_after AS ok FROM t""")
+def lost_items(spark, d):
+    rows = gappy(spark, d)
+    return quality.lost_items(rows, quality.clean_joined(rows, F.desc("ts"), *[F.desc(c) for c in LINE_KEY]))
 
 
 @query(f"WITH {_DIRTY}, {CAT} SELECT (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM b GROUP BY user_id, item_id)) AS repeated, count_if(rating NOT BETWEEN 1 AND 5)::BIGINT AS bad_ratings, count_if(item_id IS NULL OR item_id NOT IN (SELECT item_id FROM cat WHERE item_id IS NOT NULL))::BIGINT AS orphans, count_if(user_id IS NULL OR item_id IS NULL OR rating IS NULL)::BIGINT AS nulls FROM b")
@@ -233,10 +339,37 @@ def text_quality(spark, d):
     return quality.text_quality(table(spark, d, "pages"), ["url", "html"])
 
 
-@query(f"WITH {I1}, u AS (SELECT * FROM i WHERE l_orderkey % 2 = 0 UNION ALL SELECT * FROM i WHERE l_orderkey % 2 = 1) SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, round(1 - count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id)), 6)::DOUBLE AS sparsity FROM u")
+def sources(d: str) -> list[manifest.Source]:
+    return [
+        manifest.Source("lines", "interactions", (f"{d}/lineitem.parquet",), required=("l_orderkey", "l_partkey")),
+        manifest.Source("texts", "metadata", (f"{d}/documents.parquet", f"{d}/benchmark.parquet"), variant="train+test", required=("text", "lang")),
+    ]
+
+
+@query("SELECT text FROM documents UNION ALL SELECT text FROM benchmark")
 def union_source(spark, d):
-    i = lines(spark, d)
-    return interactions.shape(i.filter("l_orderkey % 2 = 0").unionByName(i.filter("l_orderkey % 2 = 1")))
+    return sources(d)[1].load(spark)
+
+
+@query("""SELECT 'lines' AS name, 'interactions' AS role, 'single' AS kind, true AS found, (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*)::INT FROM (DESCRIBE lineitem)) AS n_columns, 0 AS first_only, 0 AS last_only, '' AS missing UNION ALL
+SELECT 'texts', 'metadata', 'union', true, (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark), 1, (SELECT count(*)::INT - 1 FROM (DESCRIBE documents)), (SELECT count(*)::INT - 1 FROM (DESCRIBE benchmark)), 'lang'""")
+def source_doc(spark, d):
+    facts = manifest.source_facts(spark, sources(d))
+    return facts.select("name", "role", "kind", "found", "n_rows", "n_columns", F.size("first_only").alias("first_only"), F.size("last_only").alias("last_only"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT p_partkey AS item_id, p_name AS title FROM part ORDER BY p_partkey LIMIT 20")
+def catalogue_head(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title")).orderBy("item_id").limit(20)
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def artifact_roundtrip(spark, d):
+    path = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
+    sinks.save_matrix(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), path)
+    out = cut(sinks.load_matrix(spark, path))
+    manifest.remove(spark, path)
+    return out
 
 
 @query("SELECT try_cast(CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE p_retailprice::VARCHAR END AS DOUBLE) AS price, p_partkey FROM part")
@@ -249,7 +382,9 @@ def tolerant_cast(spark, d):
 def jsonl_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
     table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice").write.json(path)
-    return tables.read_jsonl(spark, path, ["p_partkey", "p_name", "p_retailprice"], ["p_retailprice"])
+    out = cut(tables.read_jsonl(spark, path, ["p_partkey", "p_name", "p_retailprice"], ["p_retailprice"]))
+    manifest.remove(spark, path)
+    return out
 
 
 # Text features
@@ -258,10 +393,18 @@ _STOP = ", ".join(f"'{w}'" for w in text_functions.STOP_WORDS)
 _CLEAN = "regexp_replace(translate(regexp_replace(text, 'http\\S+|www\\S+', '', 'g'), '" + text_functions.PUNCTUATION.replace("'", "''") + "', ''), '\\d+', '', 'g')"
 _CLEAN = f"translate(replace(replace(replace(lower({_CLEAN}), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), '{text_functions.ACCENTED}', '{text_functions.PLAIN}')"
 _TRIPLE = "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
-TOKENS = f"""tok AS (SELECT item_id, term, count(*) AS tf FROM (SELECT doc_id AS item_id, unnest(regexp_split_to_array({_CLEAN}, '\\s+')) AS term FROM documents)
+
+
+def tfidf_sql(source: str) -> tuple[str, str, str]:
+    """Tokens, vocabulary and weights of (item_id, text)."""
+    tok = f"""tok AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_split_to_array({_CLEAN}, '\\s+')) AS term FROM {source})
 WHERE regexp_full_match(term, '[a-z]{{3,}}') AND NOT regexp_matches(term, '{_TRIPLE}') AND term NOT IN ({_STOP}) GROUP BY ALL)"""
-VOCAB = f"""{TOKENS}, voc AS (SELECT term, count(*) AS df, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM tok GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.95 * (SELECT count(*) FROM documents))"""
-TFIDF = f"""{VOCAB}, raw AS (SELECT item_id, term, tf * idf AS w FROM tok JOIN voc USING (term)), tfidf AS (SELECT item_id, term AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM raw)"""
+    n = f"(SELECT count(*) FROM {source})"
+    voc = f"{tok}, voc AS (SELECT term, count(*) AS df, ln((1.0 + {n}) / (1.0 + count(*))) + 1 AS idf FROM tok GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.95 * {n})"
+    return tok, voc, f"""{voc}, raw AS (SELECT item_id, term, tf * idf AS w FROM tok JOIN voc USING (term)), tfidf AS (SELECT item_id, term AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM raw)"""
+
+
+TOKENS, VOCAB, TFIDF = tfidf_sql("(SELECT doc_id AS item_id, text FROM documents)")
 
 
 def doc_counts(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
@@ -309,10 +452,95 @@ def minmax_attributes(spark, d):
     return features.min_max(part, ["p_size", "p_retailprice"]).select("item_id", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
 
 
-@query(f"WITH {TFIDF}, a AS (SELECT doc_id AS item_id, '__n_chars' AS feature, coalesce((n_chars - min(n_chars) OVER ()) / nullif(max(n_chars) OVER () - min(n_chars) OVER (), 0), 0)::DOUBLE AS weight FROM documents) SELECT item_id, feature, round(weight, 6) AS weight FROM (SELECT * FROM tfidf UNION ALL SELECT * FROM a WHERE weight <> 0)")
+CAT_TEXT = f"""{CAT}, ct AS (SELECT item_id, title || '. ' || '' || '. ' || array_to_string(categories, ' ') AS text FROM cat)"""
+_SCALED = f"""ra AS (SELECT item_id, avg(rating) AS average_rating FROM i GROUP BY 1), att AS (SELECT item_id, average_rating, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM cat)) AS price FROM cat LEFT JOIN ra USING (item_id)),
+sa AS (SELECT item_id, coalesce((average_rating - min(average_rating) OVER ()) / nullif(max(average_rating) OVER () - min(average_rating) OVER (), 0), 0) AS average_rating, coalesce((price - min(price) OVER ()) / nullif(max(price) OVER () - min(price) OVER (), 0), 0) AS price FROM att)"""
+
+
+def attributes(spark: SparkSession, d: str) -> DataFrame:
+    """Mean rating and price (the median where it is missing) of the catalogue's items."""
+    items = tables.catalogue(spark, d).select("item_id", "price")
+    middle = items.agg(F.percentile("price", F.lit(0.5)).alias("_m"))  # one row
+    rated = items.join(lines(spark, d).groupBy("item_id").agg(F.avg("rating").alias("average_rating")), "item_id", "left")
+    return rated.join(F.broadcast(middle)).select("item_id", "average_rating", F.coalesce("price", "_m").alias("price"))
+
+
+def catalogue_texts(spark: SparkSession, d: str) -> DataFrame:
+    text = text_functions.combined(F.col("title"), F.lit(None).cast("string"), F.col("categories"))
+    return tables.catalogue(spark, d).select("item_id", text.alias("text"))
+
+
+@query(f"WITH {CAT_TEXT} SELECT * FROM ct")
+def combined_text(spark, d):
+    return catalogue_texts(spark, d)
+
+
+@query(f"WITH {CAT} SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM cat) GROUP BY 1")
+def category_counts(spark, d):
+    return features.flat_categories(tables.catalogue(spark, d)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {I1}, {CAT_TEXT}, {tfidf_sql('ct')[2]}, {_SCALED}, fu AS (SELECT * FROM tfidf UNION ALL SELECT item_id, '__average_rating', average_rating FROM sa UNION ALL SELECT item_id, '__price', price FROM sa) SELECT item_id, feature, round(weight, 6) AS weight FROM fu WHERE weight <> 0")
 def fused_representation(spark, d):
-    scaled = features.min_max(table(spark, d, "documents").withColumnRenamed("doc_id", "item_id"), ["n_chars"])
-    return features.fuse(doc_tfidf(spark, d), scaled).withColumn("weight", F.round("weight", 6))
+    texts = catalogue_texts(spark, d)
+    counts = features.term_counts(texts)
+    weights = features.tfidf(counts, features.vocabulary(counts, texts.count()))
+    scaled = features.min_max(attributes(spark, d), ["average_rating", "price"])
+    return features.fuse(weights, scaled).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {I1}, {CAT}, {_SCALED}, f AS (SELECT 'average_rating' AS attribute, count(*) AS n, round(min(average_rating), 6) AS least, round(max(average_rating), 6) AS greatest FROM sa UNION ALL SELECT 'price', count(*), round(min(price), 6), round(max(price), 6) FROM sa)
+SELECT attribute, n, 0::BIGINT AS n_missing, least, greatest, true AS ok FROM f""")
+def attribute_checks(spark, d):
+    checks = features.attribute_checks(features.min_max(attributes(spark, d), ["average_rating", "price"]))
+    return checks.withColumns({c: F.round(c, 6) for c in ("least", "greatest")})
+
+
+@query(f"""WITH {VOCAB}, r AS (SELECT *, row_number() OVER (ORDER BY idf, term) AS lo, row_number() OVER (ORDER BY idf DESC, term) AS hi FROM (SELECT term, round(idf, 6) AS idf FROM voc))
+SELECT 'lowest' AS side, lo AS rank, term, idf FROM r WHERE lo <= 10 UNION ALL SELECT 'highest', hi, term, idf FROM r WHERE hi <= 10""")
+def idf_extremes(spark, d):
+    counts, n = doc_counts(spark, d)
+    return features.idf_ends(features.vocabulary(counts, n).withColumn("idf", F.round("idf", 6)))
+
+
+def _plain(text: str) -> str:
+    marks = text_functions.PUNCTUATION
+    return f"trim(regexp_replace(translate(lower({text}), '" + marks.replace("'", "''") + "', '" + " " * len(marks) + "'), '\\s+', ' ', 'g'))"
+
+
+OLDER = f"""oc AS (SELECT doc_id AS item_id, {_plain("coalesce(source, '')")} || ' ' || {_plain("substr(coalesce(text, ''), 1, 2000)")} AS text FROM documents),
+ot AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS term FROM oc) WHERE regexp_full_match(term, '[a-zA-Z]{{2,}}') GROUP BY ALL),
+ov AS (SELECT term, count(*) AS df, sum(tf) AS n FROM ot GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents)),
+ok AS (SELECT * FROM ov ORDER BY n DESC, term LIMIT 3000)"""
+
+
+def older(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corpus, counts and vocabulary of the older representation, with 3000 terms here."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), F.col("text").alias("description"))
+    corpus = features.older_corpus(docs, ["title", "description"])
+    counts = features.older_counts(corpus)
+    return corpus, counts, features.vocabulary(counts, docs.count(), features.OLDER_MIN_DF, most=3000)
+
+
+@query(f"WITH {OLDER} SELECT term, df, round(ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1, 6) AS idf FROM ok")
+def older_vocabulary(spark, d):
+    return older(spark, d)[2].withColumn("idf", F.round("idf", 6))
+
+
+@query(f"""WITH {OLDER}, l AS (SELECT count(*) AS n_items, round(avg(len(regexp_extract_all(text, '\\S+'))), 1) AS tokens_avg, round(median(len(regexp_extract_all(text, '\\S+'))), 1) AS tokens_median FROM oc), m AS (SELECT count(DISTINCT term) AS n_features, count(*) AS nnz FROM ot SEMI JOIN ok USING (term))
+SELECT *, round(nnz / (n_items * n_features), 6) AS density, round(100 * (1 - nnz / (n_items * n_features)), 2) AS sparsity_pct FROM l, m""")
+def older_characterisation(spark, d):
+    corpus, counts, vocab = older(spark, d)
+    return features.corpus_facts(corpus, features.tfidf(counts, vocab))
+
+
+@query("""WITH c AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 7 <> 0 THEN p_size::DOUBLE END AS size, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS price FROM part),
+f AS (SELECT item_id, coalesce(size, (SELECT quantile_cont(size, 0.5) FROM c)) AS size, coalesce(price, (SELECT quantile_cont(price, 0.5) FROM c)) AS price FROM c)
+SELECT item_id, round((size - avg(size) OVER ()) / stddev_pop(size) OVER (), 5) AS size, round((price - avg(price) OVER ()) / stddev_pop(price) OVER (), 5) AS price FROM f""")
+def standardised_numbers(spark, d):
+    raw = lambda c, k: F.when(F.col("p_partkey") % k == 0, "n/a").otherwise(F.col(c).cast("string"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), raw("p_size", 7).alias("size"), raw("p_retailprice", 5).alias("price"))
+    return features.standardised(part, ["size", "price"]).select("item_id", F.round("size", 5).alias("size"), F.round("price", 5).alias("price"))
 
 
 # Profiles and rankings
@@ -348,13 +576,30 @@ def user_profile_sparse(spark, d):
 
 
 def _recs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Recommendations, computed once, and both parts of the split."""
     train, test = event_split(spark, d, "embeddings")
-    return recommend.top_block(recommend.dense_profiles(train, vectors(spark, d)), vectors(spark, d), train), train, test
+    return cut(recommend.top(recommend.dense_profiles(train, vectors(spark, d)), vectors(spark, d), train)), train, test
 
 
 @query(f"WITH {RECS} SELECT user_id, rank, item_id, score FROM recs")
 def topn_block(spark, d):
-    return _recs(spark, d)[0].select("user_id", "rank", "item_id", "score")
+    train = event_split(spark, d, "embeddings")[0]
+    out = recommend.top_block(recommend.dense_profiles(train, vectors(spark, d)), vectors(spark, d), train)
+    return out.select("user_id", "rank", "item_id", "score")
+
+
+@query(f"WITH {RECS} SELECT user_id, rank, item_id, score FROM recs")
+def topn_dense(spark, d):
+    train = event_split(spark, d, "embeddings")[0]
+    out = recommend.top_dense(recommend.dense_profiles(train, vectors(spark, d)), vectors(spark, d), train)
+    return out.select("user_id", "rank", "item_id", "score")
+
+
+@query(f"WITH {RECS.replace('FROM sc ANTI JOIN train USING (user_id, item_id)', 'FROM sc')} SELECT user_id, rank, item_id, score FROM recs")
+def topn_with_seen(spark, d):
+    train = event_split(spark, d, "embeddings")[0]
+    out = recommend.top(recommend.dense_profiles(train, vectors(spark, d)), vectors(spark, d), None)
+    return out.select("user_id", "rank", "item_id", "score")
 
 
 @query(f"WITH {SPARSE}, un AS (SELECT user_id, sqrt(sum(weight * weight)) AS n FROM prof GROUP BY 1), it AS (SELECT item_id, sqrt(sum(weight * weight)) AS n FROM tfidf GROUP BY 1), dt AS (SELECT user_id, item_id, sum(prof.weight * tfidf.weight) AS dot FROM prof JOIN tfidf USING (feature) GROUP BY ALL), sc AS (SELECT user_id, item_id, round(dot / (un.n * it.n), 6) AS score FROM dt JOIN un USING (user_id) JOIN it USING (item_id)) SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN train USING (user_id, item_id)) WHERE rank <= 10")
@@ -372,50 +617,69 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"))
 
 
-@query(f"WITH {RECS}, {LABELS} SELECT user_id, rank, item_id, category AS title FROM recs JOIN lab USING (item_id)")
+@query(f"WITH {RECS}, {LABELS} SELECT user_id, rank, item_id, CASE WHEN item_id % 13 = 0 THEN '?' ELSE category END AS title FROM recs JOIN lab USING (item_id)")
 def recommend_titles(spark, d):
-    return _recs(spark, d)[0].join(labels(spark, d), "item_id").select("user_id", "rank", "item_id", F.col("category").alias("title"))
+    titles = labels(spark, d).filter("item_id % 13 <> 0")
+    named = _recs(spark, d)[0].join(titles, "item_id", "left")
+    return named.select("user_id", "rank", "item_id", F.coalesce("category", F.lit("?")).alias("title"))
+
 
+# Latent space. Singular vectors can't be said in SQL; tests compare them with numpy.
+
+def basis_of(spark: SparkSession, d: str, k: int) -> tuple[DataFrame, latent.Basis]:
+    weights = cut(doc_tfidf(spark, d))
+    return weights, latent.truncated_svd(weights, k)
 
-# Latent space
 
 @query()
 def svd_items(spark, d):
-    v, _ = recommend.truncated_svd(vectors(spark, d), 16)
-    return recommend.project(vectors(spark, d), v)
+    weights, basis = basis_of(spark, d, 50)
+    return latent.project(weights, basis, "item_id")
 
 
 @query()
 def svd_metrics(spark, d):
-    v, s = recommend.truncated_svd(vectors(spark, d), 16)
-    sigma = F.get(F.array(*[F.lit(float(x)) for x in s]), F.col("component").cast("int"))
-    return recommend.explained_variance(vectors(spark, d), v).withColumn("sigma", sigma)
+    return latent.metrics(basis_of(spark, d, 50)[1], spark)
 
 
 @query()
 def latent_profiles(spark, d):
-    v, _ = recommend.truncated_svd(vectors(spark, d), 16)
-    return recommend.project(recommend.dense_profiles(event_split(spark, d, "embeddings")[0], vectors(spark, d)), v, "profile")
+    weights, basis = basis_of(spark, d, 50)
+    return latent.project(recommend.sparse_profiles(event_split(spark, d, "documents")[0], weights), basis, "user_id")
 
 
-_SIZES = ((50, 25.0), (100, 31.0), (200, 32.0), (300, 40.0))
+@query()
+def dimension_tradeoff(spark, d):
+    return recommend.trade_off(latent.sweep(basis_of(spark, d, max(latent.SIZES))[1], spark))
 
 
-@query("WITH t(n_components, variance_pct) AS (VALUES (50::BIGINT, 25.0::DOUBLE), (100, 31.0), (200, 32.0), (300, 40.0)), g AS (SELECT *, lead(variance_pct) OVER (ORDER BY n_components) - variance_pct AS g FROM t) SELECT n_components, variance_pct, round(g, 4) AS next_gain, n_components = coalesce((SELECT min(n_components) FROM g WHERE variance_pct > 30 AND g < 2), (SELECT arg_max(n_components, variance_pct) FROM g)) AS recommended FROM g")
-def dimension_tradeoff(spark, d):
-    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("n_components"), F.lit(p).alias("variance_pct")) for k, p in _SIZES])
-    return recommend.trade_off(spark.range(1).select(F.inline(rows)))
+@query()
+def item_matrix_auto(spark, d):
+    """Items at the size that the sweep recommends, beside their scaled length."""
+    weights, basis = basis_of(spark, d, max(latent.SIZES))
+    size = recommend.trade_off(latent.sweep(basis, spark)).filter("recommended").first()["n_components"]
+    numeric = features.min_max(table(spark, d, "documents").withColumnRenamed("doc_id", "item_id"), ["n_chars"])
+    return latent.item_matrix("svd_auto+numeric", weights, basis, numeric, size)
+
+
+@query()
+def projection_report(spark, d):
+    weights, basis = basis_of(spark, d, 50)
+    train, test = event_split(spark, d, "documents")
+    users = cut(latent.project(recommend.sparse_profiles(train, weights), basis, "user_id"))
+    return latent.projection_report(users, cut(latent.project(weights, basis, "item_id")), train, test)
 
 
-@query("SELECT count(*) AS n, count_if(len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0)::BIGINT AS n_bad, count(DISTINCT len(embedding)) AS n_widths FROM embeddings")
+@query(f"WITH {SPARSE} SELECT count(DISTINCT user_id) AS n, 0::BIGINT AS n_repeated, 0::BIGINT AS n_nan, 0::BIGINT AS n_infinite, 0::BIGINT AS n_other_width, true AS ok FROM prof")
 def projection_validation(spark, d):
-    bad = F.exists("vec", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors(spark, d).agg(F.count("*").alias("n"), F.sum(F.when(bad, 1).otherwise(0)).cast("long").alias("n_bad"), F.countDistinct(F.size("vec")).alias("n_widths"))
+    weights, basis = basis_of(spark, d, 50)
+    users = latent.project(recommend.sparse_profiles(event_split(spark, d, "documents")[0], weights), basis, "user_id")
+    return latent.validate_vectors(cut(users), "user_id", len(basis.sigma))
 
 
 # Analysis
 
-STATS = f"{I3}, {TRAIN}, {LABELS}, b AS (SELECT user_id, count(DISTINCT item_id) AS n_items, round(avg(rating), 6) AS mean_rating, round(coalesce(stddev_samp(rating), 0), 6) AS std_rating FROM train GROUP BY 1), cc AS (SELECT user_id, category, count(*) AS n FROM train JOIN lab USING (item_id) GROUP BY ALL), st AS (SELECT b.*, n_categories, dominant_ratio FROM b LEFT JOIN (SELECT user_id, count(*) AS n_categories, round(max(n) / sum(n), 6) AS dominant_ratio FROM cc GROUP BY 1) USING (user_id))"
+STATS = f"{I3}, {TRAIN}, {LABELS}, b AS (SELECT user_id, count(DISTINCT item_id) AS n_items, round(avg(rating), 6) AS mean_rating, round(coalesce(stddev_samp(rating), 0), 6) AS std_rating FROM train GROUP BY 1), cc AS (SELECT user_id, category, count(*) AS n FROM train JOIN lab USING (item_id) GROUP BY ALL), st AS (SELECT b.*, coalesce(n_categories, 0) AS n_categories, coalesce(dominant_ratio, 0) AS dominant_ratio FROM b LEFT JOIN (SELECT user_id, count(*) AS n_categories, round(max(n) / sum(n), 6) AS dominant_ratio FROM cc GROUP BY 1) USING (user_id))"
 
 
 @query(f"WITH {STATS} SELECT * FROM st")
@@ -423,9 +687,24 @@ def user_stats(spark, d):
     return analysis.user_stats(event_split(spark, d, "embeddings")[0], labels(spark, d))
 
 
-@query()
+_PICKS = """q AS (SELECT quantile_cont(n_items, 0.95) AS items, quantile_cont(n_items, 0.5) AS middle, quantile_cont(n_categories, 0.95) AS categories FROM st),
+p1 AS (SELECT user_id FROM st, q WHERE n_items >= items ORDER BY n_items DESC, user_id LIMIT 1), u1 AS (SELECT * FROM p1),
+p2 AS (SELECT user_id FROM st, q WHERE user_id NOT IN (FROM u1) ORDER BY abs(n_items - middle), user_id LIMIT 1), u2 AS (FROM u1 UNION ALL FROM p2),
+p3 AS (SELECT user_id FROM st WHERE (n_items BETWEEN 3 AND 5 OR (NOT EXISTS (FROM st WHERE n_items BETWEEN 3 AND 5) AND n_items > 0)) AND user_id NOT IN (FROM u2) ORDER BY n_items, user_id LIMIT 1), u3 AS (FROM u2 UNION ALL FROM p3),
+p4 AS (SELECT user_id FROM st, q WHERE n_categories >= categories AND user_id NOT IN (FROM u3) ORDER BY n_categories DESC, user_id LIMIT 1), u4 AS (FROM u3 UNION ALL FROM p4),
+p5 AS (SELECT user_id FROM st WHERE dominant_ratio >= 0.8 AND user_id NOT IN (FROM u4) ORDER BY dominant_ratio DESC, user_id LIMIT 1)"""
+
+
+@query(f"""WITH {STATS}, {_PICKS} SELECT 'U1_big_reader' AS label, user_id, printf('n_items >= q95 (%.1f)', items) AS reason FROM p1, q UNION ALL SELECT 'U2_moderate_reader', user_id, printf('n_items near median (%.1f)', middle) FROM p2, q
+UNION ALL SELECT 'U3_small_reader', user_id, 'n_items 3-5 (or least available)' FROM p3 UNION ALL SELECT 'U4_eclectic_reader', user_id, printf('n_categories >= q95 (%.1f)', categories) FROM p4, q UNION ALL SELECT 'U5_specialised_reader', user_id, '0.8 or more of the items in one category' FROM p5""")
 def representative_users(spark, d):
-    return analysis.representative_users(user_stats(spark, d).cache())
+    return analysis.representative_users(user_stats(spark, d))
+
+
+@query(f"""WITH {STATS}, r AS (SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS share, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS rank FROM cc)
+SELECT user_id, string_agg(printf('%s (%.1f%%)', category, round(100 * round(share, 6), 4)), ', ' ORDER BY rank) AS top FROM r WHERE rank <= 3 GROUP BY 1""")
+def top3_formatted(spark, d):
+    return analysis.formatted_top(event_split(spark, d, "embeddings")[0], labels(spark, d))
 
 
 @query(f"WITH {STATS}, r AS (SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS share, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS rank FROM cc) SELECT user_id, rank, category, round(share, 6) AS share FROM r WHERE rank <= 3")
@@ -433,24 +712,35 @@ def top3_categories(spark, d):
     return analysis.top_categories(event_split(spark, d, "embeddings")[0], labels(spark, d))
 
 
-@query(f"WITH {RECS}, {LABELS}, a AS (SELECT DISTINCT user_id, category FROM train JOIN lab USING (item_id)), o AS (SELECT DISTINCT user_id, category, 1 AS hit FROM recs JOIN lab USING (item_id)) SELECT user_id, round(count(hit) / count(*), 6) AS overlap FROM a LEFT JOIN o USING (user_id, category) GROUP BY 1")
+OVERLAP = """a AS (SELECT DISTINCT user_id, category FROM train JOIN lab USING (item_id)), o AS (SELECT DISTINCT user_id, category, 1 AS hit FROM recs JOIN lab USING (item_id)),
+ov AS (SELECT user_id, round(count(hit) / count(*), 6) AS overlap FROM a LEFT JOIN o USING (user_id, category) GROUP BY 1)"""
+INTRA = """rv AS (SELECT user_id, rank, vec FROM recs JOIN vec USING (item_id)),
+pr AS (SELECT a.user_id, coalesce(list_inner_product(a.vec, b.vec) / nullif(sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec)), 0), 0) AS c FROM rv a JOIN rv b ON a.user_id = b.user_id AND a.rank < b.rank),
+il AS (SELECT user_id, round(avg(c), 6) AS mean_similarity, round(max(c), 6) AS max_similarity FROM pr GROUP BY 1)"""
+CONCENTRATION = """cc AS (SELECT user_id, category, count(*) AS n FROM train JOIN lab USING (item_id) GROUP BY ALL), tp AS (SELECT user_id, category FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS r FROM cc) WHERE r = 1),
+rc AS (SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS f FROM (SELECT user_id, category, count(*) AS n FROM recs JOIN lab USING (item_id) GROUP BY ALL)),
+cn AS (SELECT user_id, category, round(coalesce(f, 0), 6) AS concentration, round(coalesce(f, 0), 6) >= 0.7 AS over_specialised FROM tp LEFT JOIN rc USING (user_id, category))"""
+HITS = "ht AS (SELECT user_id, count(t.item_id) AS hits, round(count(t.item_id) / 10, 6) AS hit_rate FROM recs LEFT JOIN (SELECT DISTINCT user_id, item_id FROM test) t USING (user_id, item_id) GROUP BY 1)"
+
+
+@query(f"WITH {RECS}, {LABELS}, {OVERLAP} SELECT * FROM ov")
 def category_overlap(spark, d):
     recs, train, _ = _recs(spark, d)
     return analysis.category_overlap(train, recs, labels(spark, d))
 
 
-@query(f"WITH {RECS}, rv AS (SELECT user_id, rank, vec FROM recs JOIN vec USING (item_id)), pr AS (SELECT a.user_id, coalesce(list_inner_product(a.vec, b.vec) / nullif(sqrt(list_inner_product(a.vec, a.vec)) * sqrt(list_inner_product(b.vec, b.vec)), 0), 0) AS c FROM rv a JOIN rv b ON a.user_id = b.user_id AND a.rank < b.rank) SELECT user_id, round(avg(c), 6) AS mean_similarity, round(max(c), 6) AS max_similarity FROM pr GROUP BY 1")
+@query(f"WITH {RECS}, {INTRA} SELECT * FROM il")
 def intra_list_similarity(spark, d):
     return analysis.intra_list(_recs(spark, d)[0], vectors(spark, d), recommend.dot)
 
 
-@query(f"WITH {RECS}, {LABELS}, cc AS (SELECT user_id, category, count(*) AS n FROM train JOIN lab USING (item_id) GROUP BY ALL), tp AS (SELECT user_id, category FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, category) AS r FROM cc) WHERE r = 1), rc AS (SELECT user_id, category, n / sum(n) OVER (PARTITION BY user_id) AS f FROM (SELECT user_id, category, count(*) AS n FROM recs JOIN lab USING (item_id) GROUP BY ALL)) SELECT user_id, category, round(coalesce(f, 0), 6) AS concentration, round(coalesce(f, 0), 6) >= 0.7 AS over_specialised FROM tp LEFT JOIN rc USING (user_id, category)")
+@query(f"WITH {RECS}, {LABELS}, {CONCENTRATION} SELECT * FROM cn")
 def concentration(spark, d):
     recs, train, _ = _recs(spark, d)
     return analysis.concentration(train, recs, labels(spark, d))
 
 
-@query(f"WITH {RECS} SELECT user_id, count(t.item_id) AS hits, round(count(t.item_id) / 10, 6) AS hit_rate FROM recs LEFT JOIN (SELECT DISTINCT user_id, item_id FROM test) t USING (user_id, item_id) GROUP BY 1")
+@query(f"WITH {RECS}, {HITS} SELECT * FROM ht")
 def hit_rate(spark, d):
     recs, _, test = _recs(spark, d)
     return analysis.hit_rate(recs, test, 10)
@@ -471,7 +761,24 @@ def metrics_by_activity(spark, d):
     return analysis.metrics_by_activity(train, analysis.ranking_metrics(recs, test, 10))
 
 
-@query(f"WITH {RECS}, fav AS (SELECT user_id, item_id AS favourite FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM train) WHERE r = 1), fv AS (SELECT user_id, favourite, vec AS vec2 FROM fav JOIN vec ON favourite = item_id) SELECT user_id, favourite, round(avg(coalesce(list_inner_product(vec, vec2) / nullif(sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(vec2, vec2)), 0), 0)), 6) AS proximity FROM recs JOIN vec USING (item_id) JOIN fv USING (user_id) GROUP BY ALL")
+@query(f"""WITH {RECS}, {LABELS}, {OVERLAP}, {INTRA}, {CONCENTRATION}, {HITS} SELECT ht.*, coalesce(overlap, 0) AS overlap, coalesce(mean_similarity, 0) AS mean_similarity, coalesce(max_similarity, 0) AS max_similarity, coalesce(concentration, 0) AS concentration,
+coalesce(over_specialised, false) AS over_specialised FROM ht LEFT JOIN ov USING (user_id) LEFT JOIN il USING (user_id) LEFT JOIN cn USING (user_id)""")
+def qualitative_summary(spark, d):
+    recs, train, test = _recs(spark, d)
+    return analysis.qualitative_summary(train, recs, test, labels(spark, d), vectors(spark, d), recommend.dot)
+
+
+@query(f"""WITH {RECS}, fav AS (SELECT user_id, item_id AS favourite FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, item_id) AS r FROM train) WHERE r = 1), fv AS (SELECT user_id, favourite, vec AS vec2 FROM fav JOIN vec ON favourite = item_id),
+nr AS (SELECT user_id, favourite, item_id, round(coalesce(list_inner_product(vec, vec2) / nullif(sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(vec2, vec2)), 0), 0), 6) AS similarity FROM recs JOIN vec USING (item_id) JOIN fv USING (user_id))
+SELECT * FROM (SELECT user_id, favourite, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, item_id) AS place, item_id, similarity FROM nr) WHERE place <= 3""")
 def favourite_proximity(spark, d):
     recs, train, _ = _recs(spark, d)
     return analysis.favourite_proximity(train, recs, vectors(spark, d), recommend.dot)
+
+
+@query()
+def relevance_models(spark, d):
+    train, test = event_split(spark, d, "embeddings")
+    near = recommend.dense_profiles(train, vectors(spark, d))
+    score = lambda rows: rows.select("user_id", "item_id").distinct().join(near, "user_id").join(vectors(spark, d), "item_id").select("user_id", "item_id", recommend.cosine("profile", "vec").alias("score"))
+    return analysis.relevance_models(analysis.relevance_features(train, train, score(train)), analysis.relevance_features(test, train, score(test)))

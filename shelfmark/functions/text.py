@@ -23,6 +23,7 @@ STOP_WORDS = (
     "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than",
     "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
 )
+# Fixed value: the ASCII punctuation that is deleted.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Lower-case Latin letters with marks, and the same without.
 ACCENTED = "".join(c for c in map(chr, range(0xE0, 0x180)) if c.islower() and unicodedata.normalize("NFKD", c)[0] in ascii_lowercase and len(unicodedata.normalize("NFKD", c)) == 2)
@@ -40,11 +41,27 @@ def clean(text: Column) -> Column:
     return F.translate(out, ACCENTED, PLAIN)
 
 
-def tokens(text: Column) -> Column:
-    """Words of more than two plain letters, no letter three times in a row, no stop word."""
-    words = F.split(F.trim(clean(text)), r"(?U)\s+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(words, lambda w: (F.length(w) > 2) & w.rlike("^[a-z]+$") & ~w.rlike(r"(.)\1\1") & ~F.array_contains(stop, w))
+def words(text: Column) -> Column:
+    """The cleaned text's words, as an array."""
+    return F.split(F.trim(clean(text)), r"(?U)\s+")
+
+
+def is_token(word: Column) -> Column:
+    """More than two plain letters, no letter three times in a row, no stop word."""
+    return (F.length(word) > 2) & ~word.isin(*STOP_WORDS) & word.rlike("^[a-z]+$") & ~word.rlike(r"(.)\1\1")
+
+
+def combined(title: Column, description: Column, categories: Column) -> Column:
+    """One text of an item: title, description and the list of its categories. Nulls are empty."""
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(empty(title), F.lit(". "), empty(description), F.lit(". "), empty(F.array_join(categories, " ")))
+
+
+def plain(text: Column, most: int | None = None) -> Column:
+    """The older preparation: ``most`` characters at most, lower case, punctuation as spaces, runs of white space as one. Null is empty."""
+    out = F.coalesce(text, F.lit(""))
+    out = F.lower(F.substring(out, 1, most) if most else out)
+    return F.trim(F.regexp_replace(F.translate(out, PUNCTUATION, " " * len(PUNCTUATION)), r"(?U)\s+", " "))
 
 
 def categories(text: Column) -> Column:

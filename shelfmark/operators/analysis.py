@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.plans.lineage import cut
+
 
 def user_stats(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Items, mean and sample deviation of ratings (0 for one row), distinct categories, share of the most frequent one."""
+    """Items, mean and sample deviation of ratings (0 for one row), distinct categories, share of the most frequent one (both 0 without any)."""
     base = df.groupBy("user_id").agg(F.countDistinct("item_id").alias("n_items"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.coalesce(F.stddev_samp("rating"), F.lit(0.0)), 6).alias("std_rating"))
     counts = df.join(labels, "item_id").groupBy("user_id", "category").agg(F.count("*").alias("n"))
     shares = counts.groupBy("user_id").agg(F.count("*").alias("n_categories"), F.round(F.max("n") / F.sum("n"), 6).alias("dominant_ratio"))
-    return base.join(shares, "user_id", "left")
+    return base.join(shares, "user_id", "left").na.fill(0, ["n_categories"]).na.fill(0.0, ["dominant_ratio"])
 
 
 def shares(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -27,23 +29,33 @@ def top_categories(df: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
 
 
 def representative_users(stats: DataFrame) -> DataFrame:
-    """Five kinds of user in order of priority, each the first fit by id that no earlier kind took. Five small top-k queries."""
-    q = stats.agg(F.percentile("n_items", F.lit(0.95)).alias("q95"), F.percentile("n_categories", F.lit(0.5)).alias("median")).first()
+    """(label, user_id, reason): up to five kinds of user in order of priority, each the first candidate that no earlier kind took.
+
+    Big reader: items at the 0.95 quantile or above, most first. Moderate: nearest to the median. Small: 3 to 5 items, fewest first; if
+    there is none, whoever has fewest. Eclectic: categories at the 0.95 quantile or above, most first. Specialised: 0.8 or more of
+    the items in one category, most first. Ties go to the smaller id. Each kind is one top-k query over the statistics.
+    """
+    stats = cut(stats)
+    q = stats.agg(
+        F.percentile("n_items", F.lit(0.95)).alias("items"), F.percentile("n_items", F.lit(0.5)).alias("middle"), F.percentile("n_categories", F.lit(0.95)).alias("categories")
+    ).first()
+    few = F.col("n_items").between(3, 5)
+    fewest = few if not stats.filter(few).isEmpty() else F.col("n_items") > 0
+    fits = lambda c, limit: F.col(c) >= F.lit(limit)
     kinds = [
-        ("very_active", F.col("n_items") >= q["q95"], [F.desc("n_items")]),
-        ("little_active", F.col("n_items").between(3, 5), [F.asc("n_items")]),
-        ("specialised", F.col("dominant_ratio") >= 0.8, [F.desc("dominant_ratio")]),
-        ("eclectic", F.col("n_categories") >= q["median"], [F.desc("n_categories")]),
-        ("divided", F.col("std_rating") > 0, [F.desc("std_rating")]),
+        ("U1_big_reader", fits("n_items", q["items"]), F.desc("n_items"), f"n_items >= q95 ({q['items'] or 0:.1f})"),
+        ("U2_moderate_reader", F.lit(True), F.abs(F.col("n_items") - F.lit(q["middle"])), f"n_items near median ({q['middle'] or 0:.1f})"),
+        ("U3_small_reader", fewest, F.asc("n_items"), "n_items 3-5 (or least available)"),
+        ("U4_eclectic_reader", fits("n_categories", q["categories"]), F.desc("n_categories"), f"n_categories >= q95 ({q['categories'] or 0:.1f})"),
+        ("U5_specialised_reader", fits("dominant_ratio", 0.8), F.desc("dominant_ratio"), "0.8 or more of the items in one category"),
     ]
     used, rows = [], []
-    for label, rule, order in kinds:
-        found = stats.filter(rule & ~F.col("user_id").isin(used) if used else rule).orderBy(*order, "user_id").limit(1).select("user_id").collect()
-        if found:
-            used.append(found[0]["user_id"])
-            rows.append((label, found[0]["user_id"]))
-    pairs = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(u).cast("long").alias("user_id")) for label, u in rows])
-    return stats.sparkSession.range(1).select(F.inline(pairs)) if rows else stats.select(F.lit("").alias("label"), "user_id").limit(0)
+    for label, rule, order, reason in kinds:
+        free = stats.filter(rule & ~F.col("user_id").isin(used)) if used else stats.filter(rule)
+        for r in free.orderBy(order, "user_id").limit(1).select("user_id").collect():
+            used.append(r["user_id"])
+            rows.append((label, r["user_id"], reason))
+    return stats.sparkSession.createDataFrame(rows, f"label string, user_id {stats.schema['user_id'].dataType.simpleString()}, reason string")
 
 
 def category_overlap(train: DataFrame, recs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,14 +99,68 @@ def ranking_metrics(recs: DataFrame, test: DataFrame, n: int) -> DataFrame:
     return out.select("user_id", F.round(F.col("hits") / n, 6).alias("precision"), F.round(F.col("hits") / F.col("wanted"), 6).alias("recall"), F.round(F.col("dcg") / ideal, 6).alias("ndcg"))
 
 
-def favourite_proximity(train: DataFrame, recs: DataFrame, vectors: DataFrame, dot) -> DataFrame:
-    """Mean cosine of a user's list to the item that the user rated highest (ties: the smallest id); users without both are left out."""
+def favourite_proximity(train: DataFrame, recs: DataFrame, vectors: DataFrame, dot, n: int = 3) -> DataFrame:
+    """(user_id, favourite, place, item_id, similarity): the ``n`` recommendations nearest to the item that the user rated highest.
+
+    Ties go to the smaller item id. Users whose favourite has no vector are left out.
+    """
     best = F.max_by("item_id", F.struct("rating", (-F.col("item_id")).alias("order")))
     favourite = train.groupBy("user_id").agg(best.alias("item_id")).join(vectors, "item_id").select("user_id", F.col("item_id").alias("favourite"), F.col("vec").alias("vec2"))
-    rows = recs.join(vectors, "item_id").select("user_id", "vec").join(favourite, "user_id")
+    rows = recs.select("user_id", "item_id").join(vectors, "item_id").join(favourite, "user_id")
     norm = F.sqrt(dot("vec", "vec")) * F.sqrt(dot("vec2", "vec2"))
-    cos = F.coalesce(dot("vec", "vec2") / F.when(norm != 0, norm), F.lit(0.0))
-    return rows.groupBy("user_id", "favourite").agg(F.round(F.avg(cos), 6).alias("proximity"))
+    near = rows.withColumn("similarity", F.round(F.coalesce(dot("vec", "vec2") / F.when(norm != 0, norm), F.lit(0.0)), 6))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("similarity"), "item_id")).cast("long")  # a list has a fixed length
+    return near.withColumn("place", place).filter(F.col("place") <= n).select("user_id", "favourite", "place", "item_id", "similarity")
+
+
+def qualitative_summary(train: DataFrame, recs: DataFrame, test: DataFrame, labels: DataFrame, vectors: DataFrame, dot, n: int = 10) -> DataFrame:
+    """A row a user with recommendations: overlap of categories, similarity within the list, concentration on the train favourite, hits."""
+    out = hit_rate(recs, test, n)
+    for part in (category_overlap(train, recs, labels), intra_list(recs, vectors, dot), concentration(train, recs, labels).drop("category")):
+        out = out.join(part, "user_id", "left")
+    zero = ["overlap", "mean_similarity", "max_similarity", "concentration"]
+    return out.na.fill(0.0, zero).na.fill(False, ["over_specialised"])
+
+
+def formatted_top(df: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
+    """(user_id, top): a user's most frequent categories as text with their percentages."""
+    top = top_categories(df, labels, n)
+    one = F.format_string("%s (%.1f%%)", F.col("category"), F.round(100 * F.col("share"), 4))
+    return top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("text")))), lambda x: x["text"]), ", ").alias("top"))  # n rows
+
+
+def relevance_features(rows: DataFrame, train: DataFrame, scores: DataFrame) -> DataFrame:
+    """(user_id, item_id, rating, similarity, user_mean, item_mean, item_count): what a learned relevance model sees of a pair.
+
+    All of it comes from train rows and content; users and items without train rows get the mean of all ratings.
+    """
+    users = train.groupBy("user_id").agg(F.avg("rating").alias("user_mean"))
+    items = train.groupBy("item_id").agg(F.avg("rating").alias("item_mean"), F.count("*").cast("double").alias("item_count"))
+    whole = train.agg(F.avg("rating").alias("_all"))  # one row
+    out = rows.select("user_id", "item_id", F.col("rating").cast("double").alias("rating")).join(users, "user_id", "left").join(items, "item_id", "left")
+    out = out.join(scores.select("user_id", "item_id", F.col("score").alias("similarity")), ["user_id", "item_id"], "left").join(F.broadcast(whole))
+    return out.select(
+        "user_id", "item_id", "rating", F.coalesce("similarity", F.lit(0.0)).alias("similarity"),
+        F.coalesce("user_mean", "_all").alias("user_mean"), F.coalesce("item_mean", "_all").alias("item_mean"), F.coalesce("item_count", F.lit(0.0)).alias("item_count"),
+    )
+
+
+def relevance_models(train_features: DataFrame, test_features: DataFrame, seed: int = 42) -> DataFrame:
+    """(model, n, rmse, mae) on test pairs of two learned models of the rating, and of the item's mean as a baseline."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+
+    gather = VectorAssembler(inputCols=["similarity", "user_mean", "item_mean", "item_count"], outputCol="features")
+    learn, test = cut(train_features), cut(test_features)
+    error = F.col("prediction") - F.col("rating")
+    scores = lambda name, df: df.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"))
+    out = scores("item_mean", test.withColumn("prediction", F.col("item_mean")))
+    if learn.isEmpty():
+        return out
+    models = {"linear": LinearRegression(labelCol="rating", regParam=0.01), "forest": RandomForestRegressor(labelCol="rating", numTrees=20, maxDepth=5, seed=seed)}
+    for name, model in models.items():
+        out = out.union(scores(name, model.fit(gather.transform(learn)).transform(gather.transform(test))))
+    return out
 
 
 def metrics_by_activity(train: DataFrame, metrics: DataFrame, bounds: tuple[int, int] = (20, 50)) -> DataFrame:

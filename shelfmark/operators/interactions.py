@@ -55,22 +55,30 @@ def clean_report(df: DataFrame, first: str, last: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows_before"), n(~good_rating()).alias("dropped_rating"), n(good_rating() & ~good_time(first, last)).alias("dropped_ts"), n(good_rating() & good_time(first, last)).alias("rows_after"))
 
 
-def k_core(df: DataFrame, per_user: int, per_item: int, max_rounds: int = 20) -> tuple[DataFrame, int]:
-    """Rows of items with ``per_item`` rows and then of users with ``per_user``, again and again until nothing drops.
+def epoch_time(ms: Column) -> Column:
+    """Milliseconds since 1970 as a timestamp without zone, in UTC."""
+    return F.timestamp_millis(ms.cast("long")).cast("timestamp_ntz")
 
-    Each round is checkpointed. Counts are of rows, repeated pairs included.
+
+def k_core(df: DataFrame, per_user: int, per_item: int, max_rounds: int = 100) -> tuple[DataFrame, int]:
+    """Rows of items with ``per_item`` rows and then of users with ``per_user``, again and again until nothing drops; and the rounds.
+
+    Counts are of rows, repeated pairs included. The rounds work on a row a pair with its count, which alone is checkpointed; the
+    rows themselves are read once more at the end, as a row stays if its user and its item do. Not being done after
+    ``max_rounds`` is an error.
     """
-    current, n = df, df.count()
+    pairs = cut(df.groupBy("user_id", "item_id").agg(F.count("*").alias("_n")))
+    n = pairs.count()
+    enough = lambda key, least: pairs.groupBy(key).agg(F.sum("_n").alias("_s")).filter(F.col("_s") >= least).select(key)
     for done in range(1, max_rounds + 1):
-        items = current.groupBy("item_id").count().filter(F.col("count") >= per_item)
-        current = current.join(items, "item_id", "left_semi")
-        users = current.groupBy("user_id").count().filter(F.col("count") >= per_user)
-        current = cut(current.join(users, "user_id", "left_semi"))
-        left = current.count()
+        pairs = pairs.join(enough("item_id", per_item), "item_id", "left_semi")
+        pairs = cut(pairs.join(enough("user_id", per_user), "user_id", "left_semi"))
+        left = pairs.count()
         if left == n:
-            break
+            users, items = pairs.select("user_id").distinct(), pairs.select("item_id").distinct()
+            return df.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi"), done
         n = left
-    return current, done
+    raise RuntimeError(f"the core is not settled after {max_rounds} rounds")
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -86,9 +94,16 @@ def one_a_pair(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def duplicate_report(df: DataFrame) -> DataFrame:
-    pairs = df.groupBy("user_id", "item_id").count()
-    return pairs.agg(F.sum("count").alias("n_rows"), F.sum(F.col("count") - 1).alias("duplicate_pairs"), F.sum(F.when(F.col("count") > 1, 1).otherwise(0)).cast("long").alias("repeated_pairs"))
+def duplicate_report(df: DataFrame, key: str = "item_id") -> DataFrame:
+    """Rows, and how many repeat an earlier one: as a whole (nested columns apart; nulls are equal), as a pair, by ``key``."""
+    plain = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    extra = lambda cols: df.groupBy(*cols).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("x"))
+    pct = lambda c: F.coalesce(F.round(100.0 * F.col(c) / F.expr("nullif(n_rows, 0)"), 4), F.lit(0.0)).alias(f"{c}_pct")
+    out = df.agg(F.count("*").alias("n_rows"))
+    wanted = {"exact": plain} | ({"pairs": ["user_id", key]} if "user_id" in df.columns else {}) | {"keys": [key]}
+    for name, cols in wanted.items():
+        out = out.join(F.broadcast(extra(cols).withColumnRenamed("x", name)))  # one row each
+    return out.select("n_rows", *[c for name in wanted for c in (F.col(name), pct(name))])
 
 
 def _split(df: DataFrame, order: list, ratio: float, least: int) -> DataFrame:
@@ -110,25 +125,55 @@ def random_split(df: DataFrame, ratio: float = RANDOM_TEST, seed: int = SEED) ->
     return _split(df, [key, "item_id"], ratio, 1)
 
 
-def split_report(df: DataFrame) -> DataFrame:
-    """Sizes, users without a test row, test users missing from train, items only in test."""
-    by_user = df.groupBy("user_id").agg(F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).alias("tr"), F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).alias("te"))
-    by_item = df.groupBy("item_id").agg(F.max(F.when(F.col("split") == "train", 1).otherwise(0)).alias("tr"))
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    users = by_user.agg(F.sum("tr").alias("train_rows"), F.sum("te").alias("test_rows"), n(F.col("te") == 0).alias("train_only_users"), n((F.col("te") > 0) & (F.col("tr") == 0)).alias("test_only_users"))
-    items = by_item.agg(n(F.col("tr") == 0).alias("test_only_items"))
-    return users.join(F.broadcast(items))  # one row each
+def _sides(df: DataFrame, key: str) -> DataFrame:
+    """(key, tr, te): train and test rows of each."""
+    return df.groupBy(key).agg(F.count_if(F.col("split") == "train").alias("tr"), F.count_if(F.col("split") == "test").alias("te"))
 
 
-def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ids 0.. in the order of the values, without a global sort in one task: offsets of range partitions are summed."""
-    ranged = cut(df.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).withColumn("_p", F.spark_partition_id()))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+def split_report(df: DataFrame) -> DataFrame:
+    """Sizes and shares of both parts, their users and items, users without a test row, test users and items that train lacks."""
+    n = lambda c: F.count_if(c)
+    train, test = F.col("tr") > 0, F.col("te") > 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    users = _sides(df, "user_id").agg(
+        total("tr").alias("train_rows"), total("te").alias("test_rows"), n(train).alias("train_users"), n(test).alias("test_users"), n(~test).alias("train_only_users"), n(test & ~train).alias("test_only_users")
+    )
+    items = _sides(df, "item_id").agg(n(train).alias("train_items"), n(test).alias("test_items"), n(test & ~train).alias("test_only_items"))
+    rows = F.expr("nullif(train_rows + test_rows, 0)")
+    share = lambda part, whole, scale: F.coalesce(F.round(scale * F.col(part) / whole, 4), F.lit(0.0))
+    return users.join(F.broadcast(items)).select(
+        "*", share("train_rows", rows, 1.0).alias("train_ratio"), share("test_rows", rows, 1.0).alias("test_ratio"), share("test_only_items", F.expr("nullif(test_items, 0)"), 100.0).alias("test_only_items_pct")
+    )  # one row each
+
+
+def split_checks(df: DataFrame) -> DataFrame:
+    """(check, n, ok): users in only one part, test users without train rows, pairs in both parts. Nothing is to be found."""
+    users = _sides(df, "user_id").agg(F.count_if((F.col("tr") == 0) | (F.col("te") == 0)).alias("one_part_users"), F.count_if((F.col("tr") == 0) & (F.col("te") > 0)).alias("strange_test_users"))
+    pairs = df.groupBy("user_id", "item_id").agg(F.countDistinct("split").alias("parts")).agg(F.count_if(F.col("parts") > 1).alias("shared_pairs"))
+    both = users.join(F.broadcast(pairs))  # one row each
+    return both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in both.columns]))).withColumn("ok", F.col("n") == 0)
+
+
+def dense_ids(df: DataFrame, column: str, name: str, *first: str) -> DataFrame:
+    """Ids 0.. in the order of the values, or of their first appearance by the columns ``first``.
+
+    There is no global sort in one task: values are dealt into ranges, and the ranges' sizes are summed.
+    """
+    values = df.select(column).distinct().withColumn("_o", F.col(column)) if not first else df.groupBy(column).agg(F.min(F.struct(*first, column)).alias("_o"))
+    ranged = cut(values.repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_p", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_o")) - 1
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     base = sizes.withColumn("_base", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")  # a row a partition
     return ranged.withColumn("_at", place).join(F.broadcast(base), "_p").select(column, (F.col("_base") + F.col("_at")).alias(name))
 
 
+def matrices_over_shared_ids(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(split, user_idx, item_idx, rating) of both parts over one numbering of users and items, and the two id tables."""
+    users, items = dense_ids(df, "user_id", "user_idx"), dense_ids(df, "item_id", "item_idx")
+    cells = df.groupBy("split", "user_id", "item_id").agg(F.sum("rating").alias("rating"))
+    return cells.join(users, "user_id").join(items, "item_id").select("split", "user_idx", "item_idx", "rating"), users, items
+
+
 def rating_matrix(df: DataFrame) -> DataFrame:
     """(user_idx, item_idx, rating): coordinates of the rating matrix; repeated cells add up."""
     cells = df.groupBy("user_id", "item_id").agg(F.sum("rating").alias("rating"))

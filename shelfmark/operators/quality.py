@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pattern of markup left in text.
+# Fixed value: the pattern of markup left in text.
 HTML_NOISE = r"<[^>]+>|&[a-zA-Z]+;|&#\d+;"
 #: What to do about a column's missing values.
 STRATEGY = {"key": "drop row", "text": "empty string", "number": "median"}
@@ -43,7 +43,9 @@ def join_quality(df: DataFrame, items: DataFrame, key: str = "item_id") -> DataF
     n = lambda c, v=1: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
     here, there = F.col("n").isNotNull(), F.col("there").isNotNull()
     out = both.agg(n(here, F.col("n")).alias("rows_total"), n(here & there, F.col("n")).alias("rows_matched"), n(here).alias("keys_total"), n(here & there).alias("keys_matched"), n(here & ~there).alias("keys_orphan"), n(~here).alias("catalogue_unused"))
-    return out.withColumn("row_coverage", F.round(F.col("rows_matched") / F.expr("nullif(rows_total, 0)"), 6)).withColumn("key_coverage", F.round(F.col("keys_matched") / F.expr("nullif(keys_total, 0)"), 6))
+    out = out.withColumns({"rows_unmatched": F.col("rows_total") - F.col("rows_matched"), "catalogue_keys": F.col("keys_matched") + F.col("catalogue_unused")})
+    ratio = lambda a, b: F.round(F.col(a) / F.expr(f"nullif({b}, 0)"), 6)
+    return out.withColumns({"row_coverage": ratio("rows_matched", "rows_total"), "key_coverage": ratio("keys_matched", "keys_total"), "catalogue_used": ratio("keys_matched", "catalogue_keys")})
 
 
 def _empty(df: DataFrame, c: str) -> Column:
@@ -52,12 +54,82 @@ def _empty(df: DataFrame, c: str) -> Column:
 
 
 def missingness(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """A row a column: null, empty and effective counts and percentages, and what to do. One pass."""
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    one = df.agg(F.count("*").alias("_rows"), *[n(F.col(c).isNull()).alias(f"{c}_n") for c in kinds], *[n(F.col(c).isNotNull() & _empty(df, c)).alias(f"{c}_e") for c in kinds])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_n").alias("n_null"), F.col(f"{c}_e").alias("n_empty"), F.lit(STRATEGY[k]).alias("strategy")) for c, k in kinds.items()])
-    pct = F.round(100.0 * (F.col("n_null") + F.col("n_empty")) / F.expr("nullif(_rows, 0)"), 4)
-    return one.select("_rows", F.inline(rows)).select("column", "n_null", "n_empty", pct.alias("effective_pct"), "strategy")
+    """A row a column: null, empty and effective counts and percentages, and what to do. One pass. Absent columns have null counts."""
+    here = [c for c in kinds if c in df.columns]
+    counts = [F.count_if(F.col(c).isNull()).alias(f"{c}_n") for c in here] + [F.count_if(F.col(c).isNotNull() & _empty(df, c)).alias(f"{c}_e") for c in here]
+    one = df.agg(F.count("*").alias("_rows"), *counts)
+    none = F.lit(None).cast("long")
+    row = lambda c, k: F.struct(
+        F.lit(c).alias("column"),
+        (F.col(f"{c}_n") if c in here else none).alias("n_null"),
+        (F.col(f"{c}_e") if c in here else none).alias("n_empty"),
+        F.lit(STRATEGY[k] if c in here else "absent").alias("strategy"),
+    )
+    pct = lambda c: F.round(100.0 * c / F.expr("nullif(_rows, 0)"), 4)
+    rows = one.select("_rows", F.inline(F.array(*[row(c, k) for c, k in kinds.items()])))
+    return rows.select(
+        "column", "n_null", pct(F.col("n_null")).alias("null_pct"), "n_empty", pct(F.col("n_empty")).alias("empty_pct"), pct(F.col("n_null") + F.col("n_empty")).alias("effective_pct"), "strategy"
+    )
+
+
+def missingness_strategy(report: DataFrame, reasons: dict[str, str]) -> DataFrame:
+    """The report with the reason for each column's strategy; ``-`` where none is given. The lookup has a row a column."""
+    if not reasons:
+        return report.withColumn("reason", F.lit("-"))
+    lookup = F.create_map(*[F.lit(x) for pair in reasons.items() for x in pair])
+    return report.withColumn("reason", F.coalesce(F.try_element_at(lookup, F.col("column")), F.lit("-")))
+
+
+def schema_checks(df: DataFrame, name: str, required: list[str], key: str = "item_id") -> DataFrame:
+    """One row: required columns that are missing, the key as text (how many values that changes), missing keys."""
+    absent = missing_columns(df, required)
+    head = [F.lit(name).alias("name"), F.array(*[F.lit(c) for c in absent]).cast("array<string>").alias("missing"), F.lit(not absent).alias("ok")]
+    if key not in df.columns:
+        return df.agg(F.count("*").alias("n_rows")).select(*head, "n_rows", *[F.lit(None).cast(t).alias(c) for c, t in (("n_missing_keys", "long"), ("missing_key_pct", "double"), ("n_changed", "long"))])
+    text = F.col(key).cast("string")
+    changed = F.count_if(F.col(key).isNotNull() & ~text.try_cast(dict(df.dtypes)[key]).eqNullSafe(F.col(key)))
+    out = df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(key).isNull()).alias("n_missing_keys"), changed.alias("n_changed"))
+    pct = F.coalesce(F.round(100.0 * F.col("n_missing_keys") / F.expr("nullif(n_rows, 0)"), 6), F.lit(0.0))
+    return out.select(*head, "n_rows", "n_missing_keys", pct.alias("missing_key_pct"), "n_changed")
+
+
+def column_selection(df: DataFrame, wanted: dict[str, str], reasons: dict[str, str]) -> DataFrame:
+    """(column, kept, kind, reason): the columns that are there, which of them are used, as what, and why (``wanted``: column to kind)."""
+    rows = [(c, c in wanted, wanted.get(c), reasons.get(c, "" if c in wanted else "out of scope")) for c in df.columns]
+    return df.sparkSession.createDataFrame(rows, "column string, kept boolean, kind string, reason string")
+
+
+KEYS = ("user_id", "item_id", "rating", "ts")
+
+
+def clean_joined(df: DataFrame, *order: Column | str, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Rows with all ``keys``, and of each (user, item) the first in ``order`` (the most recent first, in a total order)."""
+    rows = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    place = F.row_number().over(Window.partitionBy("user_id", "item_id").orderBy(*order))
+    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+
+
+def clean_joined_report(df: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Rows, users and items before and after ``clean_joined``, and rows dropped by reason. No row is sorted for it."""
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    pairs = df.groupBy("user_id", "item_id").agg(F.count("*").alias("n"), F.count_if(whole).alias("good"))
+    kept = F.col("good") > 0
+    out = pairs.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_before"), F.countDistinct("user_id").alias("users_before"), F.countDistinct("item_id").alias("items_before"),
+        F.count_if(kept).alias("rows_after"), F.countDistinct(F.when(kept, F.col("user_id"))).alias("users_after"), F.countDistinct(F.when(kept, F.col("item_id"))).alias("items_after"),
+        F.coalesce(F.sum("good"), F.lit(0)).alias("_good"),
+    )
+    return out.withColumns({"dropped_missing_key": F.col("rows_before") - F.col("_good"), "dropped_duplicates": F.col("_good") - F.col("rows_after")}).drop("_good")
+
+
+def lost_items(before: DataFrame, after: DataFrame, key: str = "item_id") -> DataFrame:
+    """(items_before, items_after, items_lost, items_lost_pct, ok)"""
+    a = before.filter(F.col(key).isNotNull()).select(key).distinct()
+    b = after.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("_there", F.lit(True))
+    out = a.withColumn("_was", F.lit(True)).join(b, key, "full_outer")
+    counts = out.agg(F.count("_was").alias("items_before"), F.count("_there").alias("items_after"), F.count_if(F.col("_was").isNotNull() & F.col("_there").isNull()).alias("items_lost"))
+    pct = F.coalesce(F.round(100.0 * F.col("items_lost") / F.expr("nullif(items_before, 0)"), 4), F.lit(0.0))
+    return counts.select("*", pct.alias("items_lost_pct"), (F.col("items_lost") == 0).alias("ok"))
 
 
 def rating_validation(df: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
@@ -66,10 +138,29 @@ def rating_validation(df: DataFrame, low: float = 1.0, high: float = 5.0) -> Dat
     return df.agg(F.count(r).alias("n"), F.min(r).alias("min"), F.max(r).alias("max"), F.round(F.avg(r), 4).alias("mean"), F.percentile(r, F.lit(0.5)).alias("median"), out.alias("n_out"), F.round(100.0 * out / F.count(r), 4).alias("pct_out"))
 
 
-def timestamp_validation(df: DataFrame, first: int = 2000, last: int = 2026) -> DataFrame:
-    y = F.year("ts").cast("long")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return df.agg(F.min(y).alias("min_year"), F.max(y).alias("max_year"), n(y < first).alias("n_before"), n(y > last).alias("n_after"), n(F.col("ts").isNull()).alias("n_bad"))
+def as_time(column: str, kind: str) -> Column:
+    """Numbers are seconds since 1970, or milliseconds above 1e12; text is parsed; what doesn't convert is null."""
+    c = F.col(column)
+    if kind == "string":
+        return c.try_cast("timestamp_ntz")
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return c.cast("timestamp_ntz")
+    seconds = F.when(c > 1e12, c / 1000).otherwise(c).cast("double")
+    fits = F.abs(seconds) < 253_402_300_800  # up to the year 9999
+    return F.timestamp_micros(F.when(fits, seconds * 1_000_000).cast("long")).cast("timestamp_ntz")
+
+
+def timestamp_validation(df: DataFrame, first: int = 2000, last: int = 2026, column: str = "ts") -> DataFrame:
+    """Values, first and last time and year, years out of range, and values that are there but don't convert.
+
+    Numbers count as milliseconds if the greatest of them is above 1e12, as seconds otherwise; here that is decided row by row.
+    """
+    t = as_time(column, dict(df.dtypes)[column])
+    y = F.year(t).cast("long")
+    return df.agg(
+        F.count(column).alias("n"), F.min(t).alias("min_time"), F.max(t).alias("max_time"), F.min(y).alias("min_year"), F.max(y).alias("max_year"),
+        F.count_if(y < first).alias("n_before"), F.count_if(y > last).alias("n_after"), F.count_if(F.col(column).isNotNull() & t.isNull()).alias("n_bad"),
+    ).withColumn("ok", (F.col("n_before") + F.col("n_after") + F.col("n_bad") == 0) & F.col("min_year").isNotNull())
 
 
 def text_quality(df: DataFrame, columns: list[str]) -> DataFrame:

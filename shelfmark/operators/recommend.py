@@ -1,4 +1,4 @@
-"""User profiles, cosine rankings, truncated SVD and projection."""
+"""User profiles and cosine rankings."""
 
 from __future__ import annotations
 
@@ -7,21 +7,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.plans.lineage import cut
+
 TOP_N = 10
-#: Item vectors up to so many bytes are broadcast to the block kernel; more go through in several passes.
+#: Bytes of the vectors of a block; items up to so many are sent along with one pass over the users.
 BLOCK_BYTES = 64 << 20
 
 
+def _weighted_sums(rows: DataFrame, width: int) -> DataFrame:
+    """(user_id, rating, vec) -> (user_id, sums, s, n). Partial sums are made where the rows lie: a record a user and task is
+    shuffled, not one a dimension."""
+
+    def each(batches):
+        sums, weights, counts, kind = {}, {}, {}, None
+
+        def flush():
+            users = list(sums)
+            flat = pa.array(np.concatenate([sums[u] for u in users]))
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(users) + 1, dtype=np.int32) * width), flat)
+            columns = [pa.array(users, kind), vec, pa.array([weights[u] for u in users]), pa.array([counts[u] for u in users])]
+            for d in (sums, weights, counts):
+                d.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["user_id", "sums", "s", "n"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            r = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) * r[:, None]
+            users, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            added = np.add.reduceat(x[order], np.flatnonzero(np.diff(at[order], prepend=-1)))
+            for u, v, k, c in zip(users.tolist(), added, np.bincount(at, r).tolist(), np.bincount(at).tolist(), strict=True):
+                sums[u] = sums[u] + v if u in sums else v
+                weights[u], counts[u] = weights.get(u, 0.0) + k, counts.get(u, 0) + c
+            if len(sums) * width * 8 > BLOCK_BYTES:
+                yield flush()
+        if sums:
+            yield flush()
+
+    kind = rows.schema["user_id"].dataType.simpleString()
+    partial = rows.mapInArrow(each, f"user_id {kind}, sums array<double>, s double, n long")
+    added = [F.sum(F.get("sums", F.lit(j))).alias(f"_{j}") for j in range(width)]
+    total = partial.groupBy("user_id").agg(*added, F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return total.select("user_id", F.array(*[F.col(f"_{j}") for j in range(width)]).alias("sums"), "s", "n")
+
+
 def dense_profiles(train: DataFrame, vectors: DataFrame, cold_below: int = 1) -> DataFrame:
     """(user_id, profile): rating-weighted mean of item vectors; users with fewer rows than ``cold_below`` get the centroid."""
-    rows = train.join(vectors, "item_id")
-    weights = rows.groupBy("user_id").agg(F.sum("rating").alias("s"), F.count("*").alias("n"))
-    sums = rows.select("user_id", "rating", F.posexplode("vec").alias("j", "x")).groupBy("user_id", "j").agg(F.sum(F.col("rating") * F.col("x")).alias("x"))
-    sums = sums.join(weights, "user_id").select("user_id", "j", (F.col("x") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("x"), "n")
+    first = vectors.first()
+    if first is None:
+        return train.select("user_id", F.array().cast("array<double>").alias("profile")).limit(0)
+    width = len(first["vec"])
+    rows = train.filter("user_id is not null and rating is not null").join(vectors.filter("vec is not null"), "item_id").select("user_id", F.col("rating").cast("double").alias("rating"), "vec")
+    sums = _weighted_sums(rows, width)
+    divisor = F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
+    profile = F.transform("sums", lambda x: x / divisor)
     if cold_below > 1:
-        centre = vectors.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("centre"))
-        sums = sums.join(F.broadcast(centre), "j").withColumn("x", F.when(F.col("n") < cold_below, F.col("centre")).otherwise(F.col("x")))
-    return sums.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("profile"))  # as many as dimensions
+        centre = vectors.agg(F.array(*[F.avg(F.get("vec", F.lit(j))) for j in range(width)]).alias("centre"))  # one row
+        sums = sums.join(F.broadcast(centre))
+        profile = F.when(F.col("n") < cold_below, F.col("centre")).otherwise(profile)
+    return sums.select("user_id", profile.alias("profile"))
 
 
 def sparse_profiles(train: DataFrame, weights: DataFrame) -> DataFrame:
@@ -36,47 +81,133 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def ranked(scores: DataFrame, seen: DataFrame, n: int = TOP_N) -> DataFrame:
-    """The n best unseen items a user, by score rounded to 6 places, then by id."""
-    unseen = scores.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti").withColumn("score", F.round("score", 6))
+def ranked(scores: DataFrame, seen: DataFrame | None, n: int = TOP_N) -> DataFrame:
+    """The n best items a user, by score rounded to 6 places, then by id; those in ``seen`` (none if None) are left out."""
+    unseen = scores if seen is None else scores.join(seen.select("user_id", "item_id").distinct(), ["user_id", "item_id"], "left_anti")
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), "item_id")
-    return unseen.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+    placed = unseen.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(order).cast("long"))
+    return placed.filter(F.col("rank") <= n)
+
+
+def cosine(a: str, b: str) -> Column:
+    """Cosine of two columns; 0 where one of them is zero."""
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.coalesce(dot(a, b) / F.when(norm != 0, norm), F.lit(0.0))
+
+
+def _matrix(rows: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
+    """A column of arrays of one width as a matrix; there is a row at least."""
+    lists = rows.column(column)
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+
+
+class Items:
+    """A block of items, in the order of their ids, that users are scored against."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        order = np.argsort(ids)  # so that the first of equal scores has the smallest id
+        self.ids, self.x = ids[order], vectors[order].astype(np.float64)
+        self.norms = np.linalg.norm(self.x, axis=1)
+
+    def best(self, users: pa.RecordBatch | pa.Table, n: int) -> pa.RecordBatch:
+        """(user_id, item_id, score): the n + k items of highest cosine to each (user_id, profile, k), by partial selection."""
+        u = _matrix(users, "profile")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.nan_to_num(np.round((u @ self.x.T) / np.outer(np.linalg.norm(u, axis=1), self.norms), 6))
+        wanted = np.minimum(users.column("k").to_numpy() + n, len(self.ids)).astype(int)
+        picks = []
+        for row, w in zip(s, wanted, strict=True):
+            least = np.partition(row, len(row) - w)[len(row) - w]
+            above = np.flatnonzero(row > least)
+            picks.append(np.concatenate([above, np.flatnonzero(row == least)[: w - len(above)]]))
+        whose, what = np.repeat(np.arange(len(picks)), [len(p) for p in picks]), np.concatenate(picks)
+        who = users.column("user_id").take(pa.array(whose))
+        return pa.table({"user_id": who, "item_id": pa.array(self.ids[what]), "score": pa.array(s[whose, what])})
+
+
+def _with_seen(profiles: DataFrame, seen: DataFrame | None) -> DataFrame:
+    """(user_id, profile, k): k is the number of items that the user has seen."""
+    none = F.lit(0).cast("long")
+    if seen is None:
+        return profiles.select("user_id", "profile", none.alias("k"))
+    counts = seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("k"))
+    return profiles.join(counts, "user_id", "left").select("user_id", "profile", F.coalesce("k", none).alias("k"))
+
+
+def _scored(profiles: DataFrame) -> str:
+    return f"user_id {profiles.schema['user_id'].dataType.simpleString()}, item_id long, score double"
+
+
+def top_dense(profiles: DataFrame, vectors: DataFrame, seen: DataFrame | None, n: int = TOP_N, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Top n by cosine in one pass over the users, with all items sent along; refused if they take more than ``most_bytes``."""
+    if item_bytes(vectors) > most_bytes:
+        raise ValueError(f"items take more than {most_bytes} bytes")
+    rows = vectors.collect()  # bounded by the check
+    if not rows:
+        return profiles.select("user_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    items = Items(np.array([r["item_id"] for r in rows], np.int64), np.array([r["vec"] for r in rows]))
 
+    def each(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                yield from items.best(batch.slice(start, 256), n).to_batches()
 
-def top_block(profiles: DataFrame, vectors: DataFrame, seen: DataFrame, n: int = TOP_N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Top n by cosine in blocks: passes over the users with a bounded part of the items each, then one ranking.
+    return ranked(_with_seen(profiles, seen).mapInArrow(each, _scored(profiles)), seen, n)
 
-    A pass keeps each user's best n + (number of seen items) candidates, so that leaving out seen items afterwards is exact.
-    """
+
+def item_bytes(vectors: DataFrame) -> int:
     first = vectors.first()
-    if first is None:
+    return vectors.count() * len(first["vec"]) * 8 if first else 0
+
+
+def score_bytes(n_users: int, n_items: int, each: int = 8) -> int:
+    """Bytes of a full matrix of scores."""
+    return n_users * n_items * each
+
+
+def frame_bytes(df: DataFrame, sample: int = 1000) -> int:
+    """An estimate of a frame's bytes in memory: the mean size of some rows as JSON times the number of rows."""
+    some = df.limit(sample).agg(F.avg(F.length(F.to_json(F.struct(*df.columns)))).alias("each")).first()["each"]
+    return int((some or 0) * df.count())
+
+
+def top(profiles: DataFrame, vectors: DataFrame, seen: DataFrame | None, n: int = TOP_N, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``top_dense`` where the items fit, else ``top_block``; both give the same rows."""
+    return (top_dense if item_bytes(vectors) <= most_bytes else top_block)(profiles, vectors, seen, n)
+
+
+def top_block(profiles: DataFrame, vectors: DataFrame, seen: DataFrame | None, n: int = TOP_N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Top n by cosine in blocks: users and items are dealt into blocks, each pair of blocks is scored by one task, then one ranking.
+
+    A task holds one block of items and one of users, each of about ``block_bytes`` at most; it keeps a user's best
+    n + (number of seen items), by partial selection, so leaving out seen items afterwards is exact. Users and items are
+    repeated once a block of the other side; other scores don't leave their task. The driver holds counts only.
+    """
+    size = item_bytes(vectors)
+    if not size:
         return profiles.select("user_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
-    width = len(first["vec"])
-    passes = max(1, -(-vectors.count() * width * 8 // block_bytes))
-    taken = profiles.join(seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("k")), "user_id", "left").select("user_id", "profile", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
-    found = None
-    for p in range(passes):
-        part = vectors.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).orderBy("item_id").collect()  # about `block_bytes`
-        ids = np.array([r["item_id"] for r in part], np.int64)
-        x = np.array([r["vec"] for r in part], np.float64).reshape(-1, width)
-        norms = np.linalg.norm(x, axis=1)
-
-        def each(batches, ids=ids, x=x, norms=norms):
-            for batch in batches:
-                u = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                lengths = np.linalg.norm(u, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.nan_to_num(np.round((u @ x.T) / np.outer(lengths, norms), 6))
-                for i, (user, k) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                    best = np.lexsort((ids, -s[i]))[: n + k]
-                    yield pa.RecordBatch.from_arrays([pa.array([user] * len(best), pa.int64()), pa.array(ids[best]), pa.array(s[i][best])], names=["user_id", "item_id", "score"])
-
-        some = taken.mapInArrow(each, "user_id long, item_id long, score double")
-        found = some if found is None else found.union(some)
+    users = cut(_with_seen(profiles, seen))
+    n_items = -(-size // block_bytes)
+    # Enough blocks of users to keep a cluster busy where the items make one block only.
+    n_users = max(-(-users.count() * size // max(1, vectors.count()) // block_bytes), min(users.rdd.getNumPartitions(), 1000))
+    each = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long")))
+    left = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(n_users)).cast("long")).select("*", each(n_items).alias("ib"))
+    right = vectors.select("item_id", "vec", F.pmod(F.xxhash64("item_id"), F.lit(n_items)).cast("long").alias("ib")).select("*", each(n_users).alias("ub"))
+
+    def score(people: pa.Table, items: pa.Table) -> pa.Table:
+        parts = []
+        if items.num_rows:
+            block = Items(items.column("item_id").to_numpy(), _matrix(items, "vec"))
+            parts = [block.best(people.slice(i, 256), n) for i in range(0, people.num_rows, 256)]
+        empty = pa.table({"user_id": people.column("user_id").slice(0, 0), "item_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *parts])
+
+    found = left.groupBy("ub", "ib").cogroup(right.groupBy("ub", "ib")).applyInArrow(score, _scored(profiles))
     return ranked(found, seen, n)
 
 
-def top_sparse(profiles: DataFrame, weights: DataFrame, seen: DataFrame, n: int = TOP_N) -> DataFrame:
+def top_sparse(profiles: DataFrame, weights: DataFrame, seen: DataFrame | None, n: int = TOP_N) -> DataFrame:
     """Top n by cosine over sparse vectors: a join on features, so only pairs that share one are scored."""
     norm = lambda t, key: t.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"n_{key}"))
     p = profiles.withColumnRenamed("weight", "pw")
@@ -85,48 +216,6 @@ def top_sparse(profiles: DataFrame, weights: DataFrame, seen: DataFrame, n: int
     return ranked(scores.select("user_id", "item_id", (F.col("dot") / (F.col("n_user_id") * F.col("n_item_id"))).alias("score")), seen, n)
 
 
-def truncated_svd(vectors: DataFrame, k: int, oversample: int = 10, power: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(V of shape width x k, singular values) of the rows' matrix, uncentred, by randomised subspace iteration.
-
-    Each iteration is one distributed pass that adds up X^T (X Q); what the driver holds is width x (k + oversample).
-    """
-    width = len(vectors.first()["vec"])
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, min(width, k + oversample))))[0]
-
-    def gram(basis: np.ndarray) -> np.ndarray:
-        def each(batches):
-            total = np.zeros((width, basis.shape[1]))
-            for batch in batches:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
-                total += x.T @ (x @ basis)
-            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", "x"])
-
-        rows = vectors.select("vec").mapInArrow(each, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(width * basis.shape[1])
-        for r in rows:
-            out[r["cell"]] = r["x"]
-        return out.reshape(width, -1)
-
-    for _ in range(power):
-        q = np.linalg.qr(gram(q))[0]
-    values, inner = np.linalg.eigh(q.T @ gram(q))
-    order = np.argsort(values)[::-1][:k]
-    return q @ inner[:, order], np.sqrt(np.maximum(values[order], 0))
-
-
-def project(vectors: DataFrame, v: np.ndarray, column: str = "vec") -> DataFrame:
-    """``column`` replaced by its coordinates in the latent space, as column expressions."""
-    basis = F.array(*[F.array(*[F.lit(float(x)) for x in v[:, j]]) for j in range(v.shape[1])])
-    return vectors.withColumn(column, F.transform(basis, lambda b: F.aggregate(F.zip_with(b, F.col(column), lambda x, y: x * y.cast("double")), F.lit(0.0), lambda s, x: s + x)))
-
-
-def explained_variance(vectors: DataFrame, v: np.ndarray) -> DataFrame:
-    """(component, ratio): variance of each projected coordinate over the total variance of the input."""
-    total = vectors.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.var_pop("x").alias("v")).agg(F.sum("v")).first()[0]
-    parts = project(vectors, v).select(F.posexplode("vec").alias("component", "x")).groupBy("component").agg(F.var_pop("x").alias("v"))
-    return parts.select(F.col("component").cast("long").alias("component"), (F.col("v") / F.lit(total)).alias("ratio"))
-
-
 def trade_off(table: DataFrame, least: float = 30.0, gain: float = 2.0) -> DataFrame:
     """(n_components, variance_pct) with the gain to the next size and the recommended size: the first over ``least`` whose next
     gain is below ``gain``, else the one with the most variance."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
@@ -72,26 +70,3 @@ def flat_columns(df: DataFrame) -> DataFrame:
 
 def tolerant_select(df: DataFrame, allowed: list[str]) -> DataFrame:
     return df.select(*[c for c in allowed if c in df.columns])
-
-
-@dataclass(frozen=True)
-class Source:
-    """A named source: one path, or a train and a test path that are read as one."""
-
-    name: str
-    role: str
-    paths: tuple[str, ...]
-    required: tuple[str, ...] = field(default=())
-
-    def load(self, spark: SparkSession, columns: list[str] | None = None) -> DataFrame:
-        frames = [spark.read.parquet(p) for p in self.paths]
-        shared = columns or [c for c in frames[0].columns if all(c in f.columns for f in frames)]
-        out = frames[0].select(shared)
-        for f in frames[1:]:
-            out = out.unionByName(f.select(shared))
-        return out
-
-    def document(self, spark: SparkSession) -> dict:
-        frames = [spark.read.parquet(p) for p in self.paths]
-        names = [set(f.columns) for f in frames]
-        return {"name": self.name, "role": self.role, "rows": sum(f.count() for f in frames), "shared": sorted(set.intersection(*names)), "only_some": sorted(set.union(*names) - set.intersection(*names)), "missing": sorted(set(self.required) - set.intersection(*names))}

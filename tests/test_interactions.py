@@ -1,12 +1,13 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
-from shelfmark.operators import analysis, features, interactions, quality, recommend
+from shelfmark.operators import analysis, features, interactions, latent, quality, recommend, reports
 from shelfmark.plans.components import components
-from shelfmark.sources import tables
+from shelfmark.sources import manifest, sinks, tables
 
 DAY = dt.datetime(2000, 1, 1)
 
@@ -41,6 +42,8 @@ def test_k_core_is_a_fixpoint(spark):
     again, rounds = interactions.k_core(core, 4, 3)
     assert core.count() == again.count() and rounds == 1
     assert interactions.k_core(df, 100, 100)[0].isEmpty()
+    with pytest.raises(RuntimeError):
+        interactions.k_core(df, 4, 3, max_rounds=1)
 
 
 def test_dedup_and_ids(spark):
@@ -53,8 +56,9 @@ def test_dedup_and_ids(spark):
 def test_lists_structs_and_missing(spark):
     df = spark.sql("""SELECT * FROM VALUES (array('a', '', null, 'b'), named_struct('name', 'Q')), (array(), named_struct('name', null)), (null, null) t(l, s)""")
     assert rows(df.select(quality.joined_list("l"), quality.struct_field("s", "name"))) == [("", ""), ("", "None"), ("a | b", "Q")]
-    m = quality.missingness(spark.createDataFrame([(None,), ("",), ("  ",), ("x",)], "c string"), {"c": "text"})
-    assert rows(m) == [("c", 1, 2, 75.0, "empty string")]
+    m = quality.missingness(spark.createDataFrame([(None,), ("",), ("  ",), ("x",)], "c string"), {"c": "text", "d": "text"})
+    assert rows(m) == [("c", 1, 25.0, 2, 50.0, 75.0, "empty string"), ("d", None, None, None, None, None, "absent")]
+    assert [r["reason"] for r in quality.missingness_strategy(m, {"c": "why"}).collect()] == ["why", "-"]
 
 
 def test_price_median_weighs_interactions(spark):
@@ -65,7 +69,8 @@ def test_price_median_weighs_interactions(spark):
 
 def test_text(spark):
     df = spark.createDataFrame([("Don't buy http://x.y 42 sooo NAÏVE œuvre the cat",), ("don’t",), (None,)], "t string")
-    assert df.select(text.tokens(F.col("t"))).first()[0] == ["dont", "buy", "naive", "oeuvre", "cat"]
+    counted = features.term_counts(df.select(F.lit(1).alias("item_id"), F.col("t").alias("text")).limit(1))
+    assert sorted(r["term"] for r in counted.collect()) == ["buy", "cat", "dont", "naive", "oeuvre"]
     c = spark.createDataFrame([("['Books, \"X\"','Y ']",), (None,), ("A | B",)], "t string")
     assert [r[0] for r in c.select(text.categories(F.col("t"))).collect()] == [["Books", "X", "Y"], [], ["A | B"]]
 
@@ -78,19 +83,68 @@ def test_profiles_and_blocks(spark):
     assert {r["user_id"]: r["profile"] for r in recommend.dense_profiles(train, vec, 2).collect()}[8] == [0.5, 0.5]
     one = rows(recommend.top_block(recommend.dense_profiles(train, vec), vec, train, 2))
     assert one == rows(recommend.top_block(recommend.dense_profiles(train, vec), vec, train, 2, block_bytes=16))
+    assert one == rows(recommend.top_dense(recommend.dense_profiles(train, vec), vec, train, 2).select("user_id", "item_id", "score", "rank"))
+    assert one == rows(recommend.top(recommend.dense_profiles(train, vec), vec, train, 2, most_bytes=1))
+    with pytest.raises(ValueError):
+        recommend.top_dense(recommend.dense_profiles(train, vec), vec, train, 2, most_bytes=1)
+    assert recommend.top(recommend.dense_profiles(train, vec), vec.limit(0), train).isEmpty()
+    assert recommend.top_block(recommend.dense_profiles(train, vec), vec, None, 9).count() == 8 and recommend.score_bytes(2, 4) == 64 and recommend.frame_bytes(vec) > 0
     assert {(u, i) for u, i, *_ in one} == {(7, 3), (7, 4), (8, 1), (8, 2)}
 
 
+def long_form(x):
+    return [(i, f"t{j:03d}", float(x[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1]) if x[i, j]]
+
+
 def test_svd_against_numpy(spark):
-    x = np.random.default_rng(1).normal(size=(200, 12)) * np.arange(1, 13)
-    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "item_id long, vec array<double>")
-    v, s = recommend.truncated_svd(df, 5)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 40)) * np.geomspace(10, 0.1, 40) * (rng.random((200, 40)) < 0.4)
+    df = spark.createDataFrame(long_form(x), "item_id long, feature string, weight double")
+    basis = latent.truncated_svd(df, 6)
     _, want, vt = np.linalg.svd(x, full_matrices=False)
-    assert np.allclose(s, want[:5]) and np.allclose(v @ v.T, vt[:5].T @ vt[:5], atol=1e-6)
-    got = np.array([r["vec"] for r in recommend.project(df, v).orderBy("item_id").collect()])
-    assert np.allclose(np.abs(got), np.abs(x @ vt[:5].T), atol=1e-6)
-    ratio = {r["component"]: r["ratio"] for r in recommend.explained_variance(df, v).collect()}
-    assert np.allclose([ratio[i] for i in range(5)], (x @ vt[:5].T).var(0) / x.var(0).sum())
+    assert np.allclose(basis.sigma, want[:6]) and np.allclose(np.abs(np.sum(basis.v * vt[:6].T, axis=0)), 1, atol=1e-6)
+    rows_there = [i for i in range(200) if x[i].any()]
+    y = x[rows_there] @ vt[:6].T
+    n = len(rows_there)
+    assert basis.n_rows == n and np.allclose(basis.ratio, y.var(0) / x[rows_there].var(0).sum(), atol=1e-8)
+    got = {r["item_id"]: r["vec"] for r in latent.project(df, basis, "item_id").collect()}
+    assert sorted(got) == rows_there and np.allclose(np.abs([got[i] for i in rows_there]), np.abs(y), atol=1e-4)
+    sweep = {r["n_components"]: r["variance_pct"] for r in latent.sweep(basis, spark, (2, 4, 6, 300)).collect()}
+    assert list(sweep) == [2, 4, 6] and abs(sweep[4] - 100 * basis.ratio[:4].sum()) < 0.01
+
+
+def test_svd_of_little(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", 1.0)], "item_id long, feature string, weight double")
+    one = latent.truncated_svd(df, 50)
+    assert np.allclose(one.sigma, [5**0.5]) and one.v.shape == (1, 1)
+    none = latent.truncated_svd(df.limit(0), 50)
+    assert none.sigma.size == 0 and latent.metrics(none, spark).isEmpty()
+
+
+def test_item_matrix_modes(spark):
+    x = np.random.default_rng(2).normal(size=(30, 8))
+    df = spark.createDataFrame(long_form(x), "item_id long, feature string, weight double")
+    numeric = spark.createDataFrame([(i, i / 29) for i in range(30)], "item_id long, price double")
+    basis = latent.truncated_svd(df, 5)
+    width = lambda mode, **k: len(latent.item_matrix(mode, df, basis, **k).first()["vec"])
+    assert width("svd") == 5 and width("svd_3d") == 3 and width("svd_auto", recommended=2) == 2 and width("svd+numeric", numeric=numeric) == 6
+    assert latent.item_matrix("tfidf", df).count() == 240 and latent.item_matrix("tfidf+numeric", df, None, numeric).count() == 269
+    for bad in ("svd_9d", "svd_auto", "other", "svd+x"):
+        with pytest.raises(ValueError):
+            latent.item_matrix(bad, df, basis)
+
+
+def test_projection_checks(spark):
+    v = lambda rows, key: spark.createDataFrame(rows, f"{key} long, vec array<float>")
+    users, items = v([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "user_id"), v([(5, [1.0, 0.0])], "item_id")
+    pairs = lambda rows: spark.createDataFrame(rows, "user_id long, item_id long")
+    ok = latent.projection_report(users, items, pairs([(1, 5), (2, 5)]), pairs([(1, 6)])).first()
+    assert ok["same_vector_space"] and ok["no_test_data_used"] and ok["consistent_with_train"]
+    bad = latent.projection_report(users, v([(5, [1.0])], "item_id"), pairs([(1, 5)]), pairs([(1, 5)])).first()
+    assert not bad["same_vector_space"] and not bad["no_test_data_used"] and not bad["consistent_with_train"]
+    odd = v([(1, [1.0, float("nan")]), (1, [float("-inf"), 0.0]), (2, [1.0])], "user_id")
+    assert tuple(latent.validate_vectors(odd, "user_id", 2).first()) == (3, 1, 1, 1, 1, False)
+    assert latent.validate_vectors(users, "user_id", 2).first()["ok"] and not latent.validate_vectors(users.limit(0), "user_id", 2).first()["ok"]
 
 
 def test_min_max_constant_and_trade_off(spark):
@@ -119,3 +173,122 @@ def test_components(spark):
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"), "a", "b")))
     assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100, 200: 150}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").isEmpty()
+
+
+def test_representative_users(spark):
+    stats = [(i, 10, 4.0, 0.0, 2, 0.5) for i in range(1, 30)] + [(50, 99, 4.0, 0.0, 9, 0.2), (51, 40, 4.0, 0.0, 20, 0.1), (52, 4, 4.0, 0.0, 1, 1.0), (53, 5, 4.0, 0.0, 1, 1.0)]
+    df = spark.createDataFrame(stats, "user_id long, n_items long, mean_rating double, std_rating double, n_categories long, dominant_ratio double")
+    picked = lambda d: {r["label"][:2]: r["user_id"] for r in analysis.representative_users(d).collect()}
+    assert picked(df) == {"U1": 50, "U2": 1, "U3": 52, "U4": 51, "U5": 53}
+    assert picked(df.filter("user_id < 30"))["U3"] == 3 and picked(df.limit(0)) == {}
+
+
+def test_times_of_all_kinds(spark):
+    check = lambda d: quality.timestamp_validation(d).first()
+    ms = check(spark.createDataFrame([(1_600_000_000_000,), (1_500_000_000,), (None,), (2**62,)], "ts long"))
+    assert (ms["n"], ms["min_year"], ms["max_year"], ms["n_bad"], ms["ok"]) == (3, 2017, 2020, 1, False)
+    text_times = check(spark.createDataFrame([("2001-02-03 04:05:06",), ("1999-01-01",), ("x",), (None,)], "ts string"))
+    assert (text_times["n"], text_times["n_before"], text_times["n_bad"]) == (3, 1, 1)
+    assert check(spark.createDataFrame([], "ts timestamp_ntz"))["ok"] is False
+    t = spark.createDataFrame([(0,), (1_600_000_000_123,), (None,)], "ms long").select(interactions.epoch_time(F.col("ms")).alias("t"))
+    assert [r["t"] for r in t.collect()] == [dt.datetime(1970, 1, 1), dt.datetime(2020, 9, 13, 12, 26, 40, 123000), None]
+
+
+def test_duplicates_and_schema(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 1, 2.0), (1, 1, 3.0), (2, 1, None), (2, 1, None)], "user_id long, item_id long, rating double")
+    assert tuple(interactions.duplicate_report(df).first()) == (5, 2, 40.0, 3, 60.0, 4, 80.0)
+    assert tuple(interactions.duplicate_report(df.drop("user_id")).first()) == (5, 2, 40.0, 4, 80.0)
+    found = quality.schema_checks(spark.createDataFrame([("a",), (None,)], "item_id string"), "x", ["item_id", "rating"]).first()
+    assert (found["missing"], found["ok"], found["n_missing_keys"], found["missing_key_pct"], found["n_changed"]) == (["rating"], False, 1, 50.0, 0)
+    assert quality.schema_checks(df.select("user_id"), "x", ["item_id"]).first()["n_missing_keys"] is None
+
+
+def test_clean_joined(spark):
+    df = spark.createDataFrame([(1, 1, 2.0, 5), (1, 1, 3.0, 9), (1, None, 3.0, 9), (2, 1, None, 1), (2, 2, 4.0, 1)], "user_id long, item_id long, rating double, ts long")
+    kept = quality.clean_joined(df, F.desc("ts"))
+    assert rows(kept) == [(1, 1, 3.0, 9), (2, 2, 4.0, 1)]
+    report = quality.clean_joined_report(df).first().asDict()
+    assert report == {"rows_before": 5, "users_before": 2, "items_before": 2, "rows_after": 2, "users_after": 2, "items_after": 2, "dropped_missing_key": 2, "dropped_duplicates": 1}
+    assert tuple(quality.lost_items(df, kept.filter("item_id = 1")).first()) == (2, 1, 1, 50.0, False)
+
+
+def test_split_checks(spark):
+    df = spark.createDataFrame([(1, 1, "train"), (1, 2, "test"), (2, 1, "train"), (3, 2, "test"), (1, 1, "test")], "user_id long, item_id long, split string")
+    assert {r["check"]: r["n"] for r in interactions.split_checks(df).collect()} == {"one_part_users": 2, "strange_test_users": 1, "shared_pairs": 1}
+    r = interactions.split_report(df).first()
+    assert (r["train_rows"], r["test_rows"], r["test_only_items"], r["test_only_items_pct"], r["train_ratio"]) == (2, 3, 1, 50.0, 0.4)
+
+
+def test_manifest(spark, tmp_path):
+    a, b, gone = (str(tmp_path / x) for x in ("a.parquet", "b.parquet", "gone.parquet"))
+    spark.createDataFrame([(1, "x", 2.0)], "item_id long, title string, only_a double").write.parquet(a)
+    spark.createDataFrame([(2, "y", 3)], "item_id long, title string, only_b int").write.parquet(b)
+    both = manifest.Source("both", "interactions", (a, b), variant="v", required=("item_id", "z"))
+    assert rows(both.load(spark)) == [(1, "x"), (2, "y")] and both.load(spark, ["title", "only_a"]).columns == ["title"]
+    assert manifest.missing_paths(spark, [both, manifest.Source("g", "metadata", (gone,))]) == {"both": [], "g": [gone]}
+    facts = manifest.source_facts(spark, [both, manifest.Source("g", "metadata", (gone,))])
+    f = {r["name"]: r for r in facts.collect()}
+    assert (f["both"]["kind"], f["both"]["n_rows"], f["both"]["shared"], f["both"]["first_only"], f["both"]["last_only"], f["both"]["missing"]) == ("union", 2, ["item_id", "title"], ["only_a"], ["only_b"], ["z"])
+    assert not f["g"]["found"] and f["both"]["size_bytes"] > 0 and [r["name"] for r in manifest.reuse_note(facts).collect()] == ["both"]
+    assert [p.rsplit("/", 1)[1] for p in manifest.glob_paths(spark, f"{tmp_path}/*.parquet")] == ["a.parquet", "b.parquet"] and manifest.glob_paths(spark, gone) == []
+    spark.createDataFrame([], "x long").write.parquet(f"{tmp_path}/none")
+    assert manifest.usable_paths(spark, [a, gone, f"{tmp_path}/none"], 1) == [a] and manifest.usable_paths(spark, [a], 10**9) == []
+    assert rows(manifest.items_or_fallback(spark, gone, b)) == [(2, "y")]
+    with pytest.raises(FileNotFoundError):
+        manifest.items_or_fallback(spark, gone)
+    assert rows(manifest.misaligned(spark.read.parquet(a), spark.read.parquet(b))) == [(1, "matrix"), (2, "items")]
+
+
+def test_sinks(spark, tmp_path):
+    to = lambda name: str(tmp_path / name)
+    df = spark.createDataFrame([(1, "train", [1]), (2, "test", None)], "user_id long, split string, l array<int>")
+    sinks.save_split(df, to("split"))
+    assert [tuple(r) for r in sinks.load_split(spark, to("split"), "test").collect()] == [(2, None)]
+    probe = {r["column"]: (r["type"], r["n_null"], r["n_distinct_about"]) for r in sinks.save_joined(df, to("joined")).collect()}
+    assert probe == {"user_id": ("bigint", 0, 2), "split": ("string", 0, 2), "l": ("array<int>", 1, 1)}
+    assert sinks.write_once(df, to("once")) and not sinks.write_once(df.limit(0), to("once")) and spark.read.parquet(to("once")).count() == 2
+    sinks.save_matrix(df.select("user_id"), to("m"), users=df.select("split"))
+    assert sinks.load_matrix(spark, to("m"), "users").count() == 2
+    terms = spark.createDataFrame([("b",), ("a",), ("c",)], "term string")
+    sinks.save_vocabulary(terms, to("vocab"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "vocab").glob("part-*"))) == "a\nb\nc\n"
+    recs = spark.createDataFrame([(1, 1, 7, 0.5), (1, 2, 8, 0.4)], "user_id long, rank long, item_id long, score double")
+    sinks.save_recommendations(recs, spark.createDataFrame([(7, "seven")], "item_id long, title string"), to("recs"), "?")
+    assert rows(spark.read.parquet(to("recs"))) == [(1, 1, 7, 0.5, "seven"), (1, 2, 8, 0.4, "?")]
+    sinks.save_json(spark, {"a": [1, None], "é": True}, to("r.json"))
+    assert sinks.read_json(spark, to("r.json")) == {"a": [1, None], "é": True}
+    assert [sinks.truthy(x) for x in (True, " Yes ", "no", None, 1, "passed")] == [True, True, False, False, True, True]
+
+
+def test_numpy_artifacts(spark, tmp_path):
+    dense = np.array([[1.0, 0.0], [0.0, 2.5]])
+    np.save(tmp_path / "x.npy", dense)
+    np.savez(tmp_path / "x.npz", data=np.array([1.0, 2.5]), indices=np.array([0, 1]), indptr=np.array([0, 1, 2]), shape=np.array([2, 2]))
+    for name in ("x.npy", "x.npz"):
+        assert rows(sinks.read_numpy(spark, str(tmp_path / name)).drop("file")) == [(0, 0, 1.0), (1, 1, 2.5)]
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 12345, 0.5, None, True)], "name string, n long, share double, gap string, ok boolean")
+    page = reports.diagnostics("Checks", {"A": [("Files", df)]})
+    assert "## I. Split" in page and "| a\\|b | 12,345 | 0.5 | - | yes |" in page and page.count("Nothing to report.") == 8
+    assert "12,345" in reports.console({"B": [("x", df)]}) and reports.percent(0.1234) == "12.34 %" and reports.percent(None) == "-"
+    journal = reports.Journal("Users").log("first").add_table("Rows", df.union(df), most=1)
+    journal.save(spark, str(tmp_path / "j.md"))
+    assert sinks.read_text(spark, str(tmp_path / "j.md")) == journal.to_markdown() and "Only the first 1 rows" in journal.to_markdown() and "..." in journal.to_text()
+
+
+def test_older_text_and_numbers(spark):
+    df = spark.createDataFrame([(1, "A, b", "x" * 2500), (2, None, "na\u00efve Plain-words 3d")], "item_id long, title string, description string")
+    corpus = {r["item_id"]: r["text"] for r in features.older_corpus(df, ["title", "description", "absent"]).collect()}
+    assert corpus == {1: "a b " + "x" * 2000, 2: " na\u00efve plain words 3d"}
+    counts = features.older_counts(features.older_corpus(df.filter("item_id = 2"), ["title", "description"]))
+    assert sorted(r["term"] for r in counts.collect()) == ["plain", "words"]
+    numbers = spark.createDataFrame([(1, "1"), (2, "3"), (3, "bad")], "item_id long, x string")
+    assert np.allclose([r["x"] for r in features.standardised(numbers, ["x"]).orderBy("item_id").collect()], [-1.5**0.5, 1.5**0.5, 0])
+
+
+def test_second_stop_list(spark):
+    counts = spark.createDataFrame([(i, t, 1) for i in range(6) for t in ("would", "reader")], "item_id long, term string, tf long")
+    stop = features.second_stop_words(spark)
+    assert "would" in stop and [r["term"] for r in features.vocabulary(counts, 100, stop=stop).collect()] == ["reader"]
