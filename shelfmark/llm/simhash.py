@@ -49,7 +49,7 @@ BUCKET = 32
 BANDS, ROWS, WORDS, SIMILAR = 20, 4, 5, 0.8
 #: Bits of the sketch by which candidates are sifted before their sets are compared, in words of 64, and by how many standard
 #: deviations a pair at SIMILAR may differ in more bits than expected (beyond four: probability 3e-5).
-SKETCH, DEVIATIONS = 8, 4.0
+SKETCH, DEVIATIONS = 16, 4.0
 #: Ids are broadcast up to so many (16 bytes each in a hash table of longs), joined by a shuffle beyond; rows with a sketch up to so many.
 BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
 #: Members of a signature that all its others are verified against in the first round; each further round takes eight times as many.
@@ -319,7 +319,7 @@ def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> Data
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(each, "id long, mark long, t1 long, t2 long, sigs array<long>")
 
 
-def sketch(h: np.ndarray, size: int = SKETCH, chunk: int = 2000) -> np.ndarray:
+def sketch(h: np.ndarray, size: int = SKETCH, chunk: int = 1000) -> np.ndarray:
     """``size`` words of bits of the set ``h`` of 32-bit hashes: one bit of its least value under each of 64 * size hash functions.
 
     A bit agrees between two sets with probability (1 + their Jaccard similarity) / 2.
