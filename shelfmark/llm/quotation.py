@@ -12,12 +12,14 @@ of its longest linked passage at level 1, by units whose original comes before i
 tables have no times, and replies may not go round in circles. Other linked quotes only count. Messages without one reply to the turn before them in their conversation.
 
 Conversations are rebuilt without quotes in reply order: a thread is a root message and all that reply to it directly or
-not, depths are found by pointer doubling, and positions number a conversation's messages by turn (a message never precedes
-what it replies to). Turns are numbered by blocks of ``BLOCK`` turns, so a long conversation is never one task's group.
+not, depths are found by pointer doubling, and ``position`` numbers a conversation's messages by thread, then by depth, then by
+turn, so replies follow what they reply to and threads stay together. Numbers come from sorted ranges whose sizes are summed,
+and the turn before is looked up by blocks of ``BLOCK`` turns, so a long conversation is never one task's group.
 
 Defined cases: a null text is empty; null roles stay; rows with a null conversation or turn are left out; repeated
 (conversation, turn) keep the row with the least (role, text); a text of quotes only has an empty own text; a quote that
-nobody said links nowhere; other columns aren't looked at.
+nobody said links nowhere; of passages of equal length the first in the message counts; very long texts are parsed whole; an empty
+table gives an empty result; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -101,19 +103,19 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     by_quote = units_found.groupBy("conv_id", "turn", "quote", "level").agg(F.max_by("origin", F.when(before, F.struct("words", "hash"))).alias("origin"), F.max(F.when(before, F.col("words"))).alias("words"))
     by_message = by_quote.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max_by("origin", F.when((F.col("level") == 1) & F.col("origin").isNotNull(), F.struct("words", -F.col("quote")))).alias("origin"))
     block = F.floor(F.col("turn") / BLOCK)
-    blocks = rows.groupBy("conv_id", block.alias("_block")).agg(F.max("turn").alias("_last"), F.count("*").alias("_n"))
+    blocks = rows.groupBy("conv_id", block.alias("_block")).agg(F.max("turn").alias("_last"))
     by_block = Window.partitionBy("conv_id").orderBy("_block")
-    blocks = blocks.withColumns({"_last": F.lag("_last").over(by_block), "_base": F.sum("_n").over(by_block) - F.col("_n")}).drop("_n")
+    blocks = blocks.withColumn("_last", F.lag("_last").over(by_block))
     inside = Window.partitionBy("conv_id", "_block").orderBy("turn")
     placed = rows.withColumn("_block", block).join(blocks, ["conv_id", "_block"])
-    placed = placed.withColumns({"_before": F.coalesce(F.lag("turn").over(inside), "_last"), "position": F.col("_base") + F.row_number().over(inside) - 1})
+    placed = placed.withColumn("_before", F.coalesce(F.lag("turn").over(inside), "_last"))
     out = placed.join(by_message, ["conv_id", "turn"], "left")
     linked = F.col("origin").isNotNull()
-    return out.select("conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.when(linked, F.col("origin.conv_id")).when(F.col("_before").isNotNull(), F.col("conv_id")).alias("parent_conv"), F.coalesce("origin.turn", "_before").alias("parent_turn"), F.when(linked, "quote").when(F.col("_before").isNotNull(), "order").alias("linked_by"), "position")
+    return out.select("conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.when(linked, F.col("origin.conv_id")).when(F.col("_before").isNotNull(), F.col("conv_id")).alias("parent_conv"), F.coalesce("origin.turn", "_before").alias("parent_turn"), F.when(linked, "quote").when(F.col("_before").isNotNull(), "order").alias("linked_by"))
 
 
 def threads(linked: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``linked`` with thread_conv and thread_turn (the message at the root) and depth (replies from it), by pointer doubling."""
+    """``linked`` with thread_conv and thread_turn (the message at the root), depth (replies from it) and position, by pointer doubling."""
     linked = cut(linked)
     me = F.struct("conv_id", "turn")
     up = cut(linked.select(me.alias("me"), F.when(F.col("parent_turn").isNotNull(), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))).alias("up"), F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
@@ -126,9 +128,23 @@ def threads(linked: DataFrame, max_rounds: int = 40) -> DataFrame:
         pending, settled = moved.filter("more > 0").drop("more"), settled.union(moved.filter("more = 0").drop("more"))
         if pending.isEmpty():
             break
+    else:
+        raise RuntimeError(f"threads not settled in {max_rounds} rounds")
     up = settled.union(pending)
     roots = up.select(F.col("me.conv_id").alias("conv_id"), F.col("me.turn").alias("turn"), F.col("up.conv_id").alias("thread_conv"), F.col("up.turn").alias("thread_turn"), "depth")
-    return linked.join(roots, ["conv_id", "turn"])
+    return linked.join(in_reply_order(roots), ["conv_id", "turn"])
+
+
+def in_reply_order(roots: DataFrame) -> DataFrame:
+    """With ``position``: the place in its conversation, by thread, depth and turn."""
+    order = ["conv_id", "thread_conv", "thread_turn", "depth", "turn"]
+    ranged = cut(roots.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    base = sizes.withColumn("_base", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")  # a row a partition
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_p").orderBy(*order))).join(F.broadcast(base), "_p")
+    placed = placed.withColumn("_at", F.col("_base") + F.col("_at"))
+    first = placed.groupBy("conv_id").agg(F.min("_at").alias("_first"))
+    return placed.join(first, "conv_id").select(*roots.columns, (F.col("_at") - F.col("_first")).alias("position"))
 
 
 def op2_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
