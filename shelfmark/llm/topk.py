@@ -14,8 +14,8 @@ scans all candidates in blocks. Scores are sums of integers; they are computed i
 exact for the values at hand, in Python's integers beyond.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part; neither do null ids. Missing
-components of shorter vectors count as 0. A query's own id is no candidate; other repeated ids each take a rank. Ties go
-to the smaller id. Fewer candidates than k are all returned. Empty tables give an empty result.
+components of shorter vectors count as 0. A query's own id is no candidate; other repeated ids each take a rank, and each row of a
+repeated query id gets a list of its own. Ties go to the smaller id. Very wide vectors only cost time; other columns aren't looked at. Fewer candidates than k are all returned. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ def _matrix(column: pa.Array, width: int, scale: int) -> np.ndarray:
 class Wave:
     """The queries of one wave, and how to score candidates against them list by list."""
 
-    def __init__(self, ids: list[int], vectors: np.ndarray, largest: float, k: int, lists: int, scale: int):
-        self.ids, self.k, self.scale, self.width = np.array(ids, np.int64), k, scale, vectors.shape[1]
+    def __init__(self, ids: list[int], vectors: np.ndarray, largest: float, k: int, lists: int, scale: int, base: int = 0):
+        self.base, self.ids, self.k, self.scale, self.width = base, np.array(ids, np.int64), k, scale, vectors.shape[1]
         self.parts = [p for p in np.array_split(np.arange(self.width), lists) if len(p)] or [np.arange(0)]
         bound = largest * largest * max(1, self.width)
         self.kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
@@ -113,7 +113,7 @@ class Wave:
             if sum(map(len, kept)) > 2_000_000:
                 kept = [self._least(np.concatenate(kept))]
         rows = self._least(np.concatenate(kept))
-        yield pa.RecordBatch.from_arrays([pa.array([int(self.ids[i]) for i in rows[:, 0]], pa.int64()), pa.array(rows[:, 1].tolist(), pa.int64()), pa.array(rows[:, 2].tolist(), pa.int64())], names=["query_id", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([self.base + i for i in rows[:, 0]], pa.int64()), pa.array([int(self.ids[i]) for i in rows[:, 0]], pa.int64()), pa.array(rows[:, 1].tolist(), pa.int64()), pa.array(rows[:, 2].tolist(), pa.int64())], names=["query", "query_id", "id", "score"])
 
     def _least(self, rows: np.ndarray) -> np.ndarray:
         """The k best rows of each query."""
@@ -143,8 +143,8 @@ def _tput(candidates: DataFrame, wave: Wave) -> DataFrame:
     def rest(batches):
         yield from wave.collect(batches, cutoff, most)
 
-    found = candidates.mapInArrow(rest, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = candidates.mapInArrow(rest, "query long, query_id long, id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wave.k)
 
 
@@ -157,14 +157,15 @@ def top_k(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec
     if not rows or not asked:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     width, largest = max(1, width, qwidth), scale * max(most, qmost) + 1
-    waves, parts = -(-asked // wave), []
+    waves, parts, base = -(-asked // wave), [], 0
     for w in range(waves):
         some = q.filter(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).orderBy("id").collect()  # about `wave` rows
         if some:
             x = np.zeros((len(some), width))
             for i, r in enumerate(some):
                 x[i, : len(r["x"])] = np.floor(np.array(r["x"], np.float64) * scale)
-            parts.append(_tput(c, Wave([r["id"] for r in some], x, largest, k, lists, scale)).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
+            parts.append(_tput(c, Wave([r["id"] for r in some], x, largest, k, lists, scale, base)).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
+            base += len(some)
     return reduce(DataFrame.union, parts)
 
 
