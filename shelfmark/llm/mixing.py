@@ -13,7 +13,8 @@ source, and only the bucket that holds the cut is ordered by row. Documents that
 come last in the order, so that a single long one doesn't end it far from its target.
 
 Defined cases: a null text has size 0; documents of size 0 are taken like others of their place; a source of size 0 has
-target 0; a null source is a source; repeated rows share a fate; an empty table gives an empty result.
+target 0; a null source is a source; repeated rows share a fate; an empty table gives an empty result; very long texts come last;
+columns of the input named like a result column are kept as ``_in_<name>``, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -104,10 +105,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     fit = F.min(F.struct(F.abs(F.col("size") - F.col("_left")).alias("miss"), "_key", "_id"))
     picks = others.groupBy("_source").agg(fit.alias("_fit"), F.first("_left").alias("_left")).filter("_fit.miss < _left").select("_source", F.struct("_fit._key", "_fit._id").alias("_pick"))
     plan = _sized(cut(plan.join(picks, "_source", "left")))
-    out = docs.withColumns({"_source": source_key(source_col), "_key": order_key(id_col, seed), "_id": F.col(id_col)}).join(plan, "_source").withColumn("_key", placed_key(words(text_col)))
+    rows = docs.select(F.struct("*").alias("_row"), source_key(source_col).alias("_source"), order_key(id_col, seed).alias("_key"), F.col(id_col).alias("_id"), words(text_col).alias("_size"))
+    out = rows.join(plan, "_source").withColumn("_key", placed_key(F.col("_size")))
     more = _ahead() | F.coalesce(F.struct("_key", "_id") == F.col("_pick"), F.lit(False))
     repeats = F.least(F.col("_epochs") + F.when(more, 1).otherwise(0), F.lit(max_epochs)).cast("long")
-    return out.select(*docs.columns, "_source_size", "_target", repeats.alias("_repeats"))
+    taken = {c.lower() for c in ("_source_size", "_target", "_repeats")}
+    kept = [F.col("_row")[c].alias(f"_in_{c}" if c.lower() in taken else c) for c in docs.columns]
+    return out.select(*kept, "_source_size", "_target", repeats.alias("_repeats"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("from"), F.col(text_col).alias("text"))
+    mixed = mix_sources(rows, id_col="id", source_col="from", text_col="text", **options).filter("_repeats > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select("row.*")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ on it and comes back as a list of ``(cell, from rank, to rank, shard, first slot
 their segment by their rank within their cell, which is the one shuffle. All of it is DataFrame expressions.
 
 Defined cases: a null id hashes by the text instead; a null text has size 1 and CRC 0; repeated rows are placed one by
-one; an empty table gives an empty result; columns of the input named like a result column are kept as ``_in_<name>``.
+one; ties within a cell go by key, id, CRC and size, and rows that are equal in all of them may swap places; very long texts are
+one row like others; an empty table gives an empty result; columns of the input named like a result column are kept as
+``_in_<name>``, all others stay as they are.
 """
 
 from __future__ import annotations
@@ -77,18 +79,17 @@ def _segments(spark: SparkSession, plan: list[tuple[int, int, int, int, int]]) -
 def shard_ring(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, cells: int = CELLS, slack: float = 0.0) -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
-    for name in ("size", "text_crc32", "shard", "slot"):
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"_in_{name}")
     key = F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), text_of(text_col)))
     histogram = docs.select(F.pmod(key, F.lit(cells)).cast("int").alias("cell")).groupBy("cell").count()
     plan = ring_plan({r["cell"]: r["count"] for r in histogram.collect()}, shards, vnodes, cells, slack)  # at most `cells` rows
     crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
-    keyed = docs.select("*", (F.octet_length(text_of(text_col)) + 1).cast("long").alias("size"), crc.alias("text_crc32"), key.alias("_key"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), (F.octet_length(text_of(text_col)) + 1).cast("long").alias("size"), crc.alias("text_crc32"), key.alias("_key"))
     keyed = keyed.withColumn("_cell", F.pmod("_key", F.lit(cells)).cast("int"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_key", id_col, "text_crc32", "size")).cast("long"))
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_key", "_id", "text_crc32", "size")).cast("long"))
     placed = ranked.join(F.broadcast(_segments(spark, plan)), ["_cell"]).filter("_rank between _from and _to")
-    return placed.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_cell", "_key", "_rank", "_from", "_to", "_slot")
+    made = {"size", "text_crc32", "shard", "slot"}
+    kept = [F.col("_row")[c].alias(f"_in_{c}" if c.lower() in made else c) for c in docs.columns]
+    return placed.select(*kept, "size", "text_crc32", "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
 
 
 def op3_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
