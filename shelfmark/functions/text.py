@@ -51,6 +51,11 @@ def is_token(word: Column) -> Column:
     return (F.length(word) > 2) & ~word.isin(*STOP_WORDS) & word.rlike("^[a-z]+$") & ~word.rlike(r"(.)\1\1")
 
 
+def as_list(column: str, kind: str) -> Column:
+    """A column of lists as it is; text is split at commas with a space. The declared type decides, not a first row."""
+    return F.split(F.col(column), ", ") if kind == "string" else F.col(column)
+
+
 def combined(title: Column, description: Column, categories: Column) -> Column:
     """One text of an item: title, description and the list of its categories. Nulls are empty."""
     empty = lambda c: F.coalesce(c, F.lit(""))

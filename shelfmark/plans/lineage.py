@@ -15,11 +15,14 @@ cloudpickle.register_pickle_by_value(sys.modules["shelfmark"])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The checkpoint folder of the session (spark.checkpoint.dir). Where none is set a session in one process, as in tests, gets a
+    temporary one; on a cluster that is an error, as executors share no local folder."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
         if named is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="shelfmark-checkpoint-")
             atexit.register(shutil.rmtree, named, True)
         spark.sparkContext.setCheckpointDir(named)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.operators import analysis, features, interactions, latent, quality, recommend, reports
+from shelfmark.plans import lineage
 from shelfmark.plans.components import components
 from shelfmark.sources import manifest, sinks, tables
 
@@ -292,3 +293,59 @@ def test_second_stop_list(spark):
     counts = spark.createDataFrame([(i, t, 1) for i in range(6) for t in ("would", "reader")], "item_id long, term string, tf long")
     stop = features.second_stop_words(spark)
     assert "would" in stop and [r["term"] for r in features.vocabulary(counts, 100, stop=stop).collect()] == ["reader"]
+
+
+def test_columns_and_writing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", [1])], "a int, b string, c array<int>")
+    assert tables.flat_columns(df).columns == ["a", "b"] and tables.tolerant_select(df, ["b", "z"]).columns == ["b"] and quality.missing_columns(df, ["z", "a"]) == ["z"]
+    tables.write_parquet(df, str(tmp_path / "t"))
+    tables.write_parquet(df.limit(0), str(tmp_path / "t"), "ignore")
+    assert rows(spark.read.parquet(str(tmp_path / "t"))) == [(1, "x", [1])] and list((tmp_path / "t").glob("*.snappy.parquet"))
+    lists = spark.createDataFrame([("a, b",)], "l string")
+    assert lists.select(text.as_list("l", "string")).first()[0] == ["a", "b"] and df.select(text.as_list("c", "array<int>")).first()[0] == [1]
+
+
+def test_flat_categories_and_checks(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "item_id long, categories array<string>")
+    assert rows(features.flat_categories(df)) == [(1, "a"), (1, "b")]
+    scaled = spark.createDataFrame([(1, 0.0, 0.5), (2, 1.0, None)], "item_id long, price double, rating double")
+    assert {r["attribute"]: r["ok"] for r in features.attribute_checks(scaled).collect()} == {"price": True, "rating": False}
+
+
+def test_ids_by_first_appearance(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 0)], "x string, at long")
+    assert rows(interactions.dense_ids(df, "x", "n", "at")) == [("a", 2), ("b", 1), ("c", 0)]
+
+
+def test_relevance_models_need_no_test_rows(spark):
+    train = spark.createDataFrame([(u, i, float(1 + (u + i) % 5)) for u in range(12) for i in range(12)], "user_id long, item_id long, rating double")
+    scores = train.select("user_id", "item_id", (F.col("rating") / 5).alias("score"))
+    learn = analysis.relevance_features(train.filter("(user_id + item_id) % 4 <> 0"), train.filter("(user_id + item_id) % 4 <> 0"), scores)
+    unseen = analysis.relevance_features(train.filter("(user_id + item_id) % 4 = 0"), train.filter("(user_id + item_id) % 4 <> 0"), scores)
+    found = {r["model"]: r["rmse"] for r in analysis.relevance_models(learn, unseen).collect()}
+    assert set(found) == {"item_mean", "linear", "forest"} and found["linear"] < 0.2 < found["item_mean"]
+    assert [r["model"] for r in analysis.relevance_models(learn.limit(0), unseen).collect()] == ["item_mean"]
+
+
+def test_checkpoints_on_a_cluster_need_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Empty:
+        def isEmpty(self):
+            return True
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": lambda self: Empty()})()
+
+        def getConf(self):
+            return Conf()
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_dir(type("Session", (), {"sparkContext": Context()})())
