@@ -17,20 +17,19 @@ with a single file; files then look up their own directory.
 Everything is DataFrame expressions; what is broadcast is the template table, a parameter of fixed size.
 
 Defined cases: a null text has no notice; a null path has no directory and inherits nothing; ties go to the licence id first
-in the alphabet; repeated files are reported each; an empty table gives an empty result.
+in the alphabet; repeated files are reported each; very long texts are looked at whole; an empty table gives an empty result; other
+columns aren't looked at.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import documents, text_of
+from shelfmark.plans.lineage import cut
 
 LEAST = 0.6
 ANCHOR = r"(?i)licen[sc]|copyright|copyleft|rights reserved|public domain"
@@ -75,7 +74,7 @@ def pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?;])[ \t]+", "$1\n"), "\n")
 
 
-def template_vectors(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFrame, DataFrame, int]:
+def template_vectors(spark: SparkSession, templates: list[tuple[str, str]] | tuple = TEMPLATES) -> tuple[DataFrame, DataFrame, int]:
     """(term, idf), (term, template, license, weight of unit length), number of templates."""
     array = F.array(*[F.struct(F.lit(k).alias("template"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(templates)])
     terms = spark.range(1).select(F.inline(array)).select("template", "license", F.explode(tokens(F.col("text"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
@@ -86,18 +85,6 @@ def template_vectors(spark: SparkSession, templates=TEMPLATES) -> tuple[DataFram
     return idf, weighed.join(norms, "template").select("term", "template", "license", (F.col("w") / F.col("norm")).alias("weight")), n
 
 
-def body_vectors(spark: SparkSession) -> tuple[DataFrame, DataFrame, int]:
-    """As ``template_vectors``, of the full texts."""
-    counts = [(name, Counter(re.findall(TOKEN, text.lower()))) for name, text in bodies()]
-    df, n = Counter(t for _, c in counts for t in c), len(counts)
-    idf = {t: math.log((1.0 + n) / (1.0 + k)) + 1 for t, k in df.items()}
-    rows = []
-    for k, (name, c) in enumerate(counts):
-        norm = math.sqrt(sum((tf * idf[t]) ** 2 for t, tf in c.items()))
-        rows += [(t, k, name, tf * idf[t] / norm) for t, tf in c.items()]
-    return spark.createDataFrame(list(idf.items()), "term string, idf double"), spark.createDataFrame(rows, "term string, template int, license string, weight double"), n
-
-
 def units(text: Column, whole: Column) -> Column:
     """Paragraphs, blocks of comment lines and block comments, and all of the text if ``whole``."""
     paragraphs = F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
@@ -122,9 +109,10 @@ def notices(files: DataFrame, id_col: str, text_col: str = "text", templates=TEM
     idf, vectors, n = template_vectors(files.sparkSession, templates)
     named = F.coalesce(F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENSE_FILE), F.lit(False))
     texts = files.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), named.alias("whole"))
+    texts = cut(texts.filter(F.col("text").rlike(BODY_ANCHOR)))  # the one scan of all texts
     found = texts.filter(F.col("text").rlike(ANCHOR)).select("id", F.posexplode(pieces(F.col("text"))).alias("piece", "text")).filter(F.col("text").rlike(ANCHOR))
-    bodily = texts.filter(F.col("text").rlike(BODY_ANCHOR)).select("id", F.posexplode(units(F.col("text"), F.col("whole"))).alias("piece", "text"))
-    matched = scores(bodily, *body_vectors(files.sparkSession), least)
+    bodily = texts.select("id", F.posexplode(units(F.col("text"), F.col("whole"))).alias("piece", "text"))
+    matched = cut(scores(bodily, *template_vectors(files.sparkSession, bodies()), least))
     words = F.xxhash64(tokens(F.col("text"))).alias("words")
     inside = bodily.join(matched.select("id", "piece").distinct(), ["id", "piece"], "left_semi").select("id", F.explode(pieces(F.col("text"))).alias("text")).select("id", words).distinct()
     found = found.withColumn("words", words).join(inside, ["id", "words"], "left_anti")
@@ -139,7 +127,7 @@ def directory(path: str) -> Column:
 
 def scan(files: DataFrame, id_col: str, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, path, license, score, basis, from_dir): basis is ``own``, ``inherited`` or null; from_dir is whose licence is inherited."""
-    own = notices(files, id_col, text_col, templates, least, path_col)
+    own = cut(notices(files, id_col, text_col, templates, least, path_col))
     slim = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), directory(path_col).alias("dir"), F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENSE_FILE).alias("speaks"))
     known = slim.join(own, "id", "left")
     speak = known.filter("speaks and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))

@@ -579,3 +579,24 @@ def test_empty_tables(spark, tmp_path):
 
     for name, query in QUERIES.items():
         assert query(spark, d).isEmpty(), name
+
+
+def test_every_full_licence_text_is_found_and_prose_is_not(spark):
+    files = [(i, f"p{i}/LICENSE", text, name) for i, (name, text) in enumerate(licenses.bodies())]
+    prose = "She read the licence on the wall, asked for permission to copy it, and went home. The rights of the reader were never in doubt. " * 20
+    files += [(90, "q/notes.txt", prose, None), (91, "r/LICENSE", prose, None), (92, "s/x.py", None, None), (92, "s/x.py", "x = 1", None)]
+    df = spark.createDataFrame(files, "k long, path string, text string, want string")
+    out = licenses.scan(df, "k").collect()
+    assert len(out) == len(files) and {r["id"]: r["license"] for r in out} == {k: want for k, _, _, want in files}
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0"} <= {want for *_, want in files}
+
+
+def test_quality_and_language_queries(spark):
+    d = "/root/testdata/sf0.001"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    out = language.op7_language_cnn(spark, d).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in out)
+    held = [r for r in out if r["held_out"] and truth[r["doc_id"]] is not None and r["lang_pred"] != "und"]
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.9
+    out = quality.op10_quality_zstd(spark, d).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for r in out)
