@@ -30,7 +30,7 @@ from shelfmark.llm.common import documents, first_ids, fold, free, text_of
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4, 5), 8, 8
 SAMPLE, WINDOWS_A_TEXT, MAX_LANGUAGES = 400, 4, 2000
-EPOCHS, BATCH, RATE = 4, 64, 0.01
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 400, 64, 0.01
 UND = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -101,12 +101,14 @@ class ByteCNN:
         return {"embed": embed, "kernel": np.einsum("nf,nfk->kf", back, best) * self.mask, "bias": back.sum(0), "out": pooled.T @ d, "shift": d.sum(0)}
 
     def train(self, texts: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> ByteCNN:
-        """Adam on shuffled batches with a rate that falls to zero; each epoch draws its windows of each text anew."""
+        """Adam on shuffled batches with a rate that falls to zero; each epoch draws its windows of each text anew. Few texts get
+        as many epochs as make ``LEAST_STEPS`` steps."""
         for w in texts:
             self.seen[np.unique(w)] = True
         self.seen[32] = True
         rng, m, v, t = np.random.default_rng(seed), {}, {}, 0
         y = np.repeat(labels, [min(len(w), WINDOWS_A_TEXT) for w in texts])
+        epochs = max(epochs, -(-LEAST_STEPS // -(-len(y) // BATCH)))
         steps = epochs * -(-len(y) // BATCH)
         for _ in range(epochs):
             x = np.concatenate([w[rng.permutation(len(w))[:WINDOWS_A_TEXT]] for w in texts])
