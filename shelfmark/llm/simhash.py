@@ -52,6 +52,8 @@ BANDS, ROWS, WORDS, SIMILAR = 20, 4, 5, 0.8
 SKETCH, DEVIATIONS = 16, 4.0
 #: Ids are broadcast up to so many (16 bytes each in a hash table of longs), joined by a shuffle beyond; rows with a sketch up to so many.
 BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
+#: Rows with a sketch (about 400 bytes each) in a partition.
+WIDE = 20_000
 #: Members of a signature that all its others are verified against in the first round; each further round takes eight times as many.
 HUBS = 1
 #: Cost of a verified pair and of a signature, relative to each other (a signature is shuffled, a pair is not).
@@ -389,7 +391,7 @@ def verified_components(members: DataFrame, sets: DataFrame, similarity: float,
         sizes = members.groupBy("sig", "root").agg(F.count("*").alias("n"))
         major = F.max_by("root", F.struct("n", "root"))
         split = sizes.groupBy("sig").agg(F.when(F.max("n") > 1, major).alias("major"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-        left = packed(members.join(small(packed(split)), "sig"))
+        left = packed(members.join(small(packed(split)), "sig"), WIDE)
         if left.isEmpty():
             return roots
         place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "node"))
@@ -427,13 +429,13 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = packed(nodes.withColumn("node", F.monotonically_increasing_id()), 10_000)
     shown = nodes.select("node", F.posexplode("sigs").alias("band", "sig"))
     shared = shown.join(packed(shown.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")), "sig")
-    scores = packed(shared.groupBy("node").agg(F.sum("n").alias("score")), 1_000_000)
+    scores = packed(shared.groupBy("node").agg(F.sum("n").alias("score")))
     involved = small(packed(nodes.join(scores, "node").select("first.id", "first.mark", "node")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     sets = cut(shingle_sets(texts.join(involved, _same_row(texts, involved)), n).dropDuplicates(["node"]))
     marks = nodes.select("node", F.transform("sigs", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks"))
     about = scores.join(sets.select("node", "sketch"), "node").join(marks, "node")
-    roots = verified_components(packed(shared.select("sig", "band", "node").join(about, "node")), sets, similarity)
+    roots = verified_components(packed(shared.select("sig", "band", "node").join(about, "node"), WIDE), sets, similarity)
     rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     return signed.join(rooted.join(least, "root").select("t1", "t2", "least"), ["t1", "t2"]).select("id", "mark", "least")
