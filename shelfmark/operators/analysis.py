@@ -104,8 +104,8 @@ def favourite_proximity(train: DataFrame, recs: DataFrame, vectors: DataFrame, d
 
     Ties go to the smaller item id. Users whose favourite has no vector are left out.
     """
-    best = F.max_by("item_id", F.struct("rating", (-F.col("item_id")).alias("order")))
-    favourite = train.groupBy("user_id").agg(best.alias("item_id")).join(vectors, "item_id").select("user_id", F.col("item_id").alias("favourite"), F.col("vec").alias("vec2"))
+    best = F.min_by("item_id", F.struct((-F.col("rating")).alias("order"), "item_id"))
+    favourite = train.filter("rating is not null").groupBy("user_id").agg(best.alias("item_id")).join(vectors, "item_id").select("user_id", F.col("item_id").alias("favourite"), F.col("vec").alias("vec2"))
     rows = recs.select("user_id", "item_id").join(vectors, "item_id").join(favourite, "user_id")
     norm = F.sqrt(dot("vec", "vec")) * F.sqrt(dot("vec2", "vec2"))
     near = rows.withColumn("similarity", F.round(F.coalesce(dot("vec", "vec2") / F.when(norm != 0, norm), F.lit(0.0)), 6))
