@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: ByteCNN, text_col: str = "text", out_col: s
     return docs.withColumn(out_col, language(text_of(text_col)))
 
 
-def keep_known(docs: DataFrame, model: ByteCNN, least_known: float, least_score: float) -> DataFrame:
+def keep_known(docs: DataFrame, model: ByteCNN, least_known: float, least_score: float = 0.0) -> DataFrame:
     """``docs`` without those that are ``und``, mostly of bytes that were never seen, or of too low a probability."""
     name = free(docs.columns, "_language")
     found = identify(docs, model, out_col=name)

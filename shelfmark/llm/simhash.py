@@ -54,8 +54,9 @@ SKETCH, DEVIATIONS = 16, 4.0
 BROADCAST_IDS, BROADCAST_SKETCHES = 1_000_000, 100_000
 #: Rows with a sketch (about 400 bytes each) in a partition.
 WIDE = 20_000
-#: Members of a signature that all its others are verified against in the first round; each further round takes eight times as many.
-HUBS = 1
+#: Members of a signature that all its others are compared with in the first round; each further round takes eight times as many, up to
+#: a number that Spark still finds without ordering the whole signature in one task (its limit for that is 1000).
+HUBS, MOST_HUBS = 1, 1000
 #: Cost of a verified pair and of a signature, relative to each other (a signature is shuffled, a pair is not).
 PAIR_COST, SIGNATURE_COST = 1.0, 2.0
 
@@ -408,7 +409,7 @@ def verified_components(members: DataFrame, sets: DataFrame, similarity: float,
             roots = components(good if roots is None else good.union(roots.select("node", "root")), "a", "b")
             found = small(roots.select("node", F.col("root").alias("_root")))
             members = members.join(found, "node", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
-        hubs *= 8
+        hubs = min(8 * hubs, MOST_HUBS)
 
 
 def _same_row(one: DataFrame, two: DataFrame):

@@ -386,7 +386,7 @@ def test_quotes_of_later_conversations_count(spark):
 def test_texts_in_an_unknown_script_go(spark):
     rows = labelled() + [(900, "\u041f\u0440\u0438\u0432\u0435\u0442, \u043a\u0430\u043a \u0434\u0435\u043b\u0430", None), (901, "\u4f60\u597d\u4e16\u754c", None), (902, None, None), (903, "7 + 5", None), (904, "aeiou mnaei", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("_language", F.lit(1)).withColumn("_LANGUAGE_", F.lit(2))
-    kept = language.keep_known(d, language.learn(d), 0.5, 0.28)
+    kept = language.keep_known(d, language.learn(d), 0.5)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {*range(300), 904}
 
 
@@ -600,3 +600,24 @@ def test_quality_and_language_queries(spark):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.9
     out = quality.op10_quality_zstd(spark, d).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.3) for r in out)
+
+
+def test_near_dedup_against_exhaustive_search(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in rows.collect()}
+    parts = {i: shingles_of(" ".join(w)) if w else None for i, w in texts.items()}
+    holders, parent = {}, {i: i for i in parts}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for i, mine in parts.items():
+        for j in {j for s in mine or ["nothing"] for j in holders.get(s, ())}:
+            both = len(mine & parts[j]) if mine else 1
+            if not mine or both >= 0.8 * (len(mine) + len(parts[j]) - both):
+                p, q = find(i), find(j)
+                parent[max(p, q)] = min(p, q)
+        for s in mine or ["nothing"]:
+            holders.setdefault(s, []).append(i)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_texts(rows).collect()}
+    assert got == {i: find(i) for i in parts} and len(set(got.values())) < len(got)
