@@ -31,19 +31,28 @@ PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
 LIGATURES = (("œ", "oe"), ("æ", "ae"), ("ß", "ss"))
 
 
+# White space in Unicode, and the ASCII characters that are deleted, as classes of a pattern.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_DELETED = r"[!-/:-@\[-`{-~0-9]+"
+
+
 def clean(text: Column) -> Column:
-    """URLs, punctuation and digits out, lower case, Latin letters without accents."""
-    out = F.regexp_replace(text, r"(?U)http\S+|www\S+", "")
-    out = F.regexp_replace(F.translate(out, PUNCTUATION, ""), r"(?U)\d+", "")
-    out = F.lower(out)
+    """URLs, punctuation and digits out, lower case, Latin letters without accents.
+
+    What only concerns texts with URLs or beyond ASCII is left to those.
+    """
+    links = F.contains(text, F.lit("http")) | F.contains(text, F.lit("www"))
+    out = F.when(links, F.regexp_replace(text, r"(?U)http\S+|www\S+", "")).otherwise(text)
+    out = F.lower(F.regexp_replace(out, _DELETED, ""))
+    more = F.regexp_replace(out, r"(?U)\d+", "")
     for letter, plain in LIGATURES:
-        out = F.replace(out, F.lit(letter), F.lit(plain))
-    return F.translate(out, ACCENTED, PLAIN)
+        more = F.replace(more, F.lit(letter), F.lit(plain))
+    return F.when(F.octet_length(text) == F.char_length(text), out).otherwise(F.translate(more, ACCENTED, PLAIN))
 
 
 def words(text: Column) -> Column:
     """The cleaned text's words, as an array."""
-    return F.split(F.trim(clean(text)), r"(?U)\s+")
+    return F.split(F.trim(clean(text)), SPACE)
 
 
 def is_token(word: Column) -> Column:
