@@ -33,15 +33,17 @@ def documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def first_ids(rows: DataFrame, by: str, wanted: int) -> dict:
+def first_ids(rows: DataFrame, by: str, wanted: int, most: int = 2000) -> dict:
     """For each value of ``by`` its first ``wanted`` distinct ids in the order of a hash, or all of them, on the driver.
 
-    ``rows`` is (id, by) without nulls and should be free of wide columns. The values of ``by`` are few and the ids asked for
-    are bounded, so what is collected is bounded too: only ids whose hash lies below a bound, set from counts so that about one and a half
+    ``rows`` is (id, by) without nulls and should be free of wide columns. More than ``most`` values of ``by`` are refused with an
+    error and the ids asked for are bounded, so what is collected is bounded too: only ids whose hash lies below a bound, set from counts so that about one and a half
     times the ids wanted do, leave their partition; should they be too few, as where ids repeat, the bound is raised. No window or
     sort sees a whole group, so a value that holds most rows is no hot key.
     """
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().limit(most + 1).collect()}
+    if len(counts) > most:
+        raise ValueError(f"{by} has more than {most} values")
     place, top = F.xxhash64("id", F.lit(7)), 2.0**63
     share, out = {k: min(1.0, (1.5 * wanted + 50) / n) for k, n in counts.items()}, {}
     while share:

@@ -158,10 +158,8 @@ class ByteCNN:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> ByteCNN:
     """(id, text, lang) -> a trained network, from a bounded sample."""
     labelled = labelled.filter("lang is not null and text is not null and id is not null")
-    picks = first_ids(labelled.select("id", "lang"), "lang", sample)
+    picks = first_ids(labelled.select("id", "lang"), "lang", sample, MAX_LANGUAGES)
     languages = sorted(picks)
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} labels are more than {MAX_LANGUAGES}")
     model = ByteCNN(languages)
     ids = [i for chosen in picks.values() for i in chosen]
     rows = labelled.filter(F.col("id").isin(ids)).groupBy("id", "lang").agg(F.min("text").alias("text")).collect() if ids else []

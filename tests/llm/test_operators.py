@@ -396,6 +396,8 @@ def test_first_ids_whatever_repeats(spark):
     order = {r["id"]: r["h"] for r in d.select("id", F.xxhash64("id", F.lit(7)).alias("h")).collect()}
     want = {"a": sorted(range(700), key=order.get)[:600], "b": [5], "c": sorted(range(40), key=order.get)}
     assert first_ids(d, "k", 600) == want and first_ids(d.limit(0), "k", 3) == {}
+    with pytest.raises(ValueError):
+        first_ids(d, "k", 600, most=2)
 
 
 def test_sketches_sift_no_similar_pair():
@@ -621,3 +623,37 @@ def test_near_dedup_against_exhaustive_search(spark):
             holders.setdefault(s, []).append(i)
     got = {r["id"]: r["component_id"] for r in simhash.similar_texts(rows).collect()}
     assert got == {i: find(i) for i in parts} and len(set(got.values())) < len(got)
+
+
+def test_very_long_texts_are_taken_whole(spark):
+    rng = random.Random(20)
+    words = [f"w{rng.randint(0, 50_000)}" for _ in range(200_000)]
+    long = " ".join(words)
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    d = spark.createDataFrame([(1, f"{long} {item}"), (2, long), (3, f"{long} {item} again"), (4, "short")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for size in (dc.BROADCAST_BYTES, 0):
+        assert sorted((r["doc_id"], r["tiled"]) for r in dc.contaminated(d, bench, broadcast_bytes=size).collect()) == [(1, 8), (3, 8)]
+    files = d.withColumn("path", F.format_string("d%s/x.txt", "doc_id")).withColumn("text", F.concat("text", F.lit("\nReleased under the MIT License.")))
+    assert {r["license"] for r in licenses.scan(files, "doc_id").collect()} == {"MIT"}
+    talk = spark.createDataFrame([(1, 0, "u", f"{long}\nThe key is missing."), (1, 1, "u", f"{long}\nno quote"), (1, 2, "u", f"{long}\n> The key is missing.\nyes")], "conv_id long, turn long, role string, text string")
+    assert {(r["turn"], r["parent_turn"], r["linked_by"]) for r in quotation.link_quotes(talk).collect()} == {(0, None, None), (1, 0, "order"), (2, 0, "quote")}
+    assert {r["size"] for r in sharding.shard_ring(d, 2).filter("doc_id = 2").collect()} == {len(long) + 1}
+    fps = {r["id"]: r["fp"] % 2**64 for r in simhash.fingerprints(d).collect()}
+    assert fps[2] == simhash.fold_bits(simhash.hashes(long)) and {r["id"]: r["component_id"] for r in simhash.similar_texts(d).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    model = quality.fit(spark.createDataFrame([(i, "good text here" if i % 2 else "$$$ ###", i % 2) for i in range(60)], "id long, text string, label int"))
+    assert all(0 <= r["score"] <= 1 for r in quality.score_quality(d, model).collect())
+
+
+def test_ties(spark):
+    files = spark.createDataFrame([(1, "a/LICENSE", "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (2, "a/b.c", "x")], "k long, path string, text string")
+    out = {r["id"]: (r["license"], r["score"]) for r in licenses.scan(files, "k").collect()}
+    assert out == {1: ("CC-BY-NC-4.0", 1.0), 2: ("CC-BY-NC-4.0", 1.0)}
+    x = dc.tokens("a b c d e a b c d e")
+    assert dc.tile(dc.tokens("a b c d e"), x) == [(0, 0, 5)] and dc.tile(x, dc.tokens("a b c d e")) == [(0, 0, 5)]
+    rows = [(i, "same text", "s") for i in range(10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert Counter(r["shard"] for r in sharding.shard_ring(d, 4).collect()) == {0: 3, 1: 3, 2: 2, 3: 2}
+    said = [(1, 0, "u", "hello world"), (1, 1, "u", "hello world"), (1, 2, "u", "> hello world\n> hello world\nhi")]
+    linked = {r["turn"]: r["parent_turn"] for r in quotation.link_quotes(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).collect()}
+    assert linked == {0: None, 1: 0, 2: 0}
