@@ -130,14 +130,26 @@ def scan(files: DataFrame, id_col: str, path_col: str = "path", text_col: str =
     own = cut(notices(files, id_col, text_col, templates, least, path_col))
     slim = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), directory(path_col).alias("dir"), F.regexp_extract(path_col, r"([^/]*)$", 1).rlike(LICENSE_FILE).alias("speaks"))
     known = slim.join(own, "id", "left")
-    speak = known.filter("speaks and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
+    speak = known.filter("speaks and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(
+        F.col("dir").alias("from_dir"),
+        F.col("b.license").alias("dir_license"),
+        (-F.col("b.s")).alias("dir_score"),
+    )
     dirs = slim.filter("dir is not null").select("dir").distinct()
     parts = F.split("dir", "/")
-    above = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts)))).alias("up")).withColumn("from_dir", F.array_join(F.slice(F.split("dir", "/"), 1, F.col("up")), "/"))
+    depths = F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts)))
+    above = dirs.select("dir", F.explode(depths).alias("up")).withColumn("from_dir", F.array_join(F.slice(F.split("dir", "/"), 1, F.col("up")), "/"))
     nearest = above.join(speak, "from_dir").groupBy("dir").agg(F.max_by(F.struct("from_dir", "dir_license", "dir_score"), "up").alias("near"))
     out = known.join(nearest, "dir", "left")
     has = F.col("license").isNotNull()
-    return out.select("id", "path", F.coalesce("license", "near.dir_license").alias("license"), F.coalesce("score", "near.dir_score").alias("score"), F.when(has, "own").when(F.col("near").isNotNull(), "inherited").alias("basis"), F.when(~has, F.col("near.from_dir")).alias("from_dir"))
+    return out.select(
+        "id",
+        "path",
+        F.coalesce("license", "near.dir_license").alias("license"),
+        F.coalesce("score", "near.dir_score").alias("score"),
+        F.when(has, "own").when(F.col("near").isNotNull(), "inherited").alias("basis"),
+        F.when(~has, F.col("near.from_dir")).alias("from_dir"),
+    )
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,13 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     ranked = ranked.withColumn("_cap", F.col("source_size").cast("double") * max_epochs)
     by_ratio, whole = Window.orderBy(F.col("_cap") / F.col("weight"), "_source"), Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    levels = ranked.select("*", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)).alias("_caps"), F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("_used"), F.sum("source_size").over(whole).cast("double").alias("_total"), F.sum("weight").over(whole).alias("_weights"))
+    levels = ranked.select(
+        "*",
+        F.coalesce(F.sum("_cap").over(before), F.lit(0.0)).alias("_caps"),
+        F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("_used"),
+        F.sum("source_size").over(whole).cast("double").alias("_total"),
+        F.sum("weight").over(whole).alias("_weights"),
+    )
     levels = levels.withColumn("_level", (F.col("_total") - F.col("_caps")) / (F.col("_weights") - F.col("_used")))
     # Past the first source that the level leaves uncapped the levels only fall, so the first is the largest.
     level = F.max(F.when(F.col("_cap") > F.col("weight") * F.col("_level"), F.col("_level"))).over(whole)

@@ -87,10 +87,21 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     def parsed(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(t) for t in texts], columns=["own", "own_units", "quotes"])
 
-    rows = messages.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.coalesce(text, F.lit("")).alias("_text")).filter("conv_id is not null and turn is not null")
+    rows = messages.select(
+        F.col(conv).cast("long").alias("conv_id"),
+        F.col(turn).cast("long").alias("turn"),
+        F.col(role).alias("role"),
+        F.coalesce(text, F.lit("")).alias("_text"),
+    ).filter("conv_id is not null and turn is not null")
     rows = rows.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "_text")).alias("m")).select("conv_id", "turn", "m.role", parsed("m._text").alias("p"))
     rows = cut(rows.select("conv_id", "turn", "role", "p.*"))
-    asked = rows.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.quote", "q.level", F.explode("q.units").alias("u")).select("conv_id", "turn", "quote", "level", "u.hash", "u.words")
+    asked = rows.select("conv_id", "turn", F.explode("quotes").alias("q")).select(
+        "conv_id",
+        "turn",
+        "q.quote",
+        "q.level",
+        F.explode("q.units").alias("u"),
+    ).select("conv_id", "turn", "quote", "level", "u.hash", "u.words")
     said = rows.select("conv_id", "turn", F.explode("own_units").alias("u")).select("conv_id", "turn", "u.hash").join(asked.select("hash").distinct(), "hash", "left_semi")
     first_here = said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here"))
     first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("any"))
@@ -100,7 +111,10 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     other = F.col("any") != F.struct("conv_id", "turn")
     units_found = met.withColumn("origin", F.coalesce(here, there)).filter(F.col("origin").isNotNull() | other)
     before = F.col("origin").isNotNull()
-    by_quote = units_found.groupBy("conv_id", "turn", "quote", "level").agg(F.max_by("origin", F.when(before, F.struct("words", "hash"))).alias("origin"), F.max(F.when(before, F.col("words"))).alias("words"))
+    by_quote = units_found.groupBy("conv_id", "turn", "quote", "level").agg(
+        F.max_by("origin", F.when(before, F.struct("words", "hash"))).alias("origin"),
+        F.max(F.when(before, F.col("words"))).alias("words"),
+    )
     by_message = by_quote.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.max_by("origin", F.when((F.col("level") == 1) & F.col("origin").isNotNull(), F.struct("words", -F.col("quote")))).alias("origin"))
     block = F.floor(F.col("turn") / BLOCK)
     blocks = rows.groupBy("conv_id", block.alias("_block")).agg(F.max("turn").alias("_last"))
@@ -111,14 +125,28 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     placed = placed.withColumn("_before", F.coalesce(F.lag("turn").over(inside), "_last"))
     out = placed.join(by_message, ["conv_id", "turn"], "left")
     linked = F.col("origin").isNotNull()
-    return out.select("conv_id", "turn", "role", F.col("own").alias("text"), F.size("quotes").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.when(linked, F.col("origin.conv_id")).when(F.col("_before").isNotNull(), F.col("conv_id")).alias("parent_conv"), F.coalesce("origin.turn", "_before").alias("parent_turn"), F.when(linked, "quote").when(F.col("_before").isNotNull(), "order").alias("linked_by"))
+    return out.select(
+        "conv_id",
+        "turn",
+        "role",
+        F.col("own").alias("text"),
+        F.size("quotes").alias("n_quotes"),
+        F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        F.when(linked, F.col("origin.conv_id")).when(F.col("_before").isNotNull(), F.col("conv_id")).alias("parent_conv"),
+        F.coalesce("origin.turn", "_before").alias("parent_turn"),
+        F.when(linked, "quote").when(F.col("_before").isNotNull(), "order").alias("linked_by"),
+    )
 
 
 def threads(linked: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``linked`` with thread_conv and thread_turn (the message at the root), depth (replies from it) and position, by pointer doubling."""
     linked = cut(linked)
     me = F.struct("conv_id", "turn")
-    up = cut(linked.select(me.alias("me"), F.when(F.col("parent_turn").isNotNull(), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))).alias("up"), F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0).cast("long").alias("depth")))
+    up = cut(linked.select(
+        me.alias("me"),
+        F.when(F.col("parent_turn").isNotNull(), F.struct(F.col("parent_conv").alias("conv_id"), F.col("parent_turn").alias("turn"))).alias("up"),
+        F.when(F.col("parent_turn").isNotNull(), 1).otherwise(0).cast("long").alias("depth"),
+    ))
     up = up.select("me", F.coalesce("up", "me").alias("up"), "depth")
     pending, settled = up.filter("me <> up"), up.filter("me = up")  # what has reached its root is only looked up from then on
     for _ in range(max_rounds):

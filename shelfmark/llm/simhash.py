@@ -319,7 +319,11 @@ def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> Data
             t = t.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "mark", "t1", "t2", "sigs"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).mapInArrow(each, "id long, mark long, t1 long, t2 long, sigs array<long>")
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(text_col).alias("mark"),
+        F.col(text_col).alias("text"),
+    ).mapInArrow(each, "id long, mark long, t1 long, t2 long, sigs array<long>")
 
 
 def sketch(h: np.ndarray, size: int = SKETCH, chunk: int = 1000) -> np.ndarray:

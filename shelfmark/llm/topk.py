@@ -113,7 +113,8 @@ class Wave:
             if sum(map(len, kept)) > 2_000_000:
                 kept = [self._least(np.concatenate(kept))]
         rows = self._least(np.concatenate(kept))
-        yield pa.RecordBatch.from_arrays([pa.array([self.base + i for i in rows[:, 0]], pa.int64()), pa.array([int(self.ids[i]) for i in rows[:, 0]], pa.int64()), pa.array(rows[:, 1].tolist(), pa.int64()), pa.array(rows[:, 2].tolist(), pa.int64())], names=["query", "query_id", "id", "score"])
+        columns = [[self.base + i for i in rows[:, 0]], [int(self.ids[i]) for i in rows[:, 0]], rows[:, 1].tolist(), rows[:, 2].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query", "query_id", "id", "score"])
 
     def _least(self, rows: np.ndarray) -> np.ndarray:
         """The k best rows of each query."""
