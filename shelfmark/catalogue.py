@@ -227,7 +227,14 @@ def join_quality(spark, d):
 @query(f"WITH {CAT} SELECT item_id, title, categories[1] || ' | ' || categories[2] AS categories, coalesce(author, '') AS author_name, coalesce(publisher, 'None') AS details_publisher, coalesce(lang, 'None') AS details_language FROM cat")
 def normalize_catalog(spark, d):
     c = tables.catalogue(spark, d)
-    return c.select("item_id", "title", quality.joined_list("categories").alias("categories"), quality.struct_field("author", "name").alias("author_name"), quality.struct_field("details", "Publisher").alias("details_publisher"), quality.struct_field("details", "Language").alias("details_language"))
+    return c.select(
+        "item_id",
+        "title",
+        quality.joined_list("categories").alias("categories"),
+        quality.struct_field("author", "name").alias("author_name"),
+        quality.struct_field("details", "Publisher").alias("details_publisher"),
+        quality.struct_field("details", "Language").alias("details_language"),
+    )
 
 
 _MISSING = f"""{CAT}, n AS (SELECT count(*) AS n FROM cat), m AS (
@@ -355,7 +362,17 @@ def union_source(spark, d):
 SELECT 'texts', 'metadata', 'union', true, (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark), 1, (SELECT count(*)::INT - 1 FROM (DESCRIBE documents)), (SELECT count(*)::INT - 1 FROM (DESCRIBE benchmark)), 'lang'""")
 def source_doc(spark, d):
     facts = manifest.source_facts(spark, sources(d))
-    return facts.select("name", "role", "kind", "found", "n_rows", "n_columns", F.size("first_only").alias("first_only"), F.size("last_only").alias("last_only"), F.array_join("missing", ",").alias("missing"))
+    return facts.select(
+        "name",
+        "role",
+        "kind",
+        "found",
+        "n_rows",
+        "n_columns",
+        F.size("first_only").alias("first_only"),
+        F.size("last_only").alias("last_only"),
+        F.array_join("missing", ",").alias("missing"),
+    )
 
 
 @query("SELECT p_partkey AS item_id, p_name AS title FROM part ORDER BY p_partkey LIMIT 20")

@@ -10,7 +10,11 @@ from shelfmark.plans.lineage import cut
 
 def user_stats(df: DataFrame, labels: DataFrame) -> DataFrame:
     """Items, mean and sample deviation of ratings (0 for one row), distinct categories, share of the most frequent one (both 0 without any)."""
-    base = df.groupBy("user_id").agg(F.countDistinct("item_id").alias("n_items"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.coalesce(F.stddev_samp("rating"), F.lit(0.0)), 6).alias("std_rating"))
+    base = df.groupBy("user_id").agg(
+        F.countDistinct("item_id").alias("n_items"),
+        F.round(F.avg("rating"), 6).alias("mean_rating"),
+        F.round(F.coalesce(F.stddev_samp("rating"), F.lit(0.0)), 6).alias("std_rating"),
+    )
     counts = df.join(labels, "item_id").groupBy("user_id", "category").agg(F.count("*").alias("n"))
     shares = counts.groupBy("user_id").agg(F.count("*").alias("n_categories"), F.round(F.max("n") / F.sum("n"), 6).alias("dominant_ratio"))
     return base.join(shares, "user_id", "left").na.fill(0, ["n_categories"]).na.fill(0.0, ["dominant_ratio"])
@@ -105,7 +109,11 @@ def favourite_proximity(train: DataFrame, recs: DataFrame, vectors: DataFrame, d
     Ties go to the smaller item id. Users whose favourite has no vector are left out.
     """
     best = F.min_by("item_id", F.struct((-F.col("rating")).alias("order"), "item_id"))
-    favourite = train.filter("rating is not null").groupBy("user_id").agg(best.alias("item_id")).join(vectors, "item_id").select("user_id", F.col("item_id").alias("favourite"), F.col("vec").alias("vec2"))
+    favourite = train.filter("rating is not null").groupBy("user_id").agg(best.alias("item_id")).join(vectors, "item_id").select(
+        "user_id",
+        F.col("item_id").alias("favourite"),
+        F.col("vec").alias("vec2"),
+    )
     rows = recs.select("user_id", "item_id").join(vectors, "item_id").join(favourite, "user_id")
     norm = F.sqrt(dot("vec", "vec")) * F.sqrt(dot("vec2", "vec2"))
     near = rows.withColumn("similarity", F.round(F.coalesce(dot("vec", "vec2") / F.when(norm != 0, norm), F.lit(0.0)), 6))

@@ -52,7 +52,12 @@ def clean(df: DataFrame, first: str, last: str) -> DataFrame:
 
 def clean_report(df: DataFrame, first: str, last: str) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    return df.agg(F.count("*").alias("rows_before"), n(~good_rating()).alias("dropped_rating"), n(good_rating() & ~good_time(first, last)).alias("dropped_ts"), n(good_rating() & good_time(first, last)).alias("rows_after"))
+    return df.agg(
+        F.count("*").alias("rows_before"),
+        n(~good_rating()).alias("dropped_rating"),
+        n(good_rating() & ~good_time(first, last)).alias("dropped_ts"),
+        n(good_rating() & good_time(first, last)).alias("rows_after"),
+    )
 
 
 def epoch_time(ms: Column) -> Column:
@@ -142,7 +147,10 @@ def split_report(df: DataFrame) -> DataFrame:
     rows = F.expr("nullif(train_rows + test_rows, 0)")
     share = lambda part, whole, scale: F.coalesce(F.round(scale * F.col(part) / whole, 4), F.lit(0.0))
     return users.join(F.broadcast(items)).select(
-        "*", share("train_rows", rows, 1.0).alias("train_ratio"), share("test_rows", rows, 1.0).alias("test_ratio"), share("test_only_items", F.expr("nullif(test_items, 0)"), 100.0).alias("test_only_items_pct")
+        "*",
+        share("train_rows", rows, 1.0).alias("train_ratio"),
+        share("test_rows", rows, 1.0).alias("test_ratio"),
+        share("test_only_items", F.expr("nullif(test_items, 0)"), 100.0).alias("test_only_items_pct"),
     )  # one row each
 
 

@@ -30,7 +30,14 @@ def struct_field(column: str, key: str, missing: str = "None") -> Column:
 def join_catalogue(df: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
     """Left join, rows without a key dropped first, with nested columns flat and prices filled with the median of the joined rows."""
     out = df.filter(F.col(key).isNotNull()).join(first_by(items, key, "title"), key, "left")
-    out = out.withColumns({"title": F.coalesce("title", F.lit("")), "categories": joined_list("categories"), "author_name": struct_field("author", "name"), "details_publisher": struct_field("details", "Publisher"), "details_language": struct_field("details", "Language")}).drop("author", "details")
+    flat = {
+        "title": F.coalesce("title", F.lit("")),
+        "categories": joined_list("categories"),
+        "author_name": struct_field("author", "name"),
+        "details_publisher": struct_field("details", "Publisher"),
+        "details_language": struct_field("details", "Language"),
+    }
+    out = out.withColumns(flat).drop("author", "details")
     median = out.agg(F.percentile("price", F.lit(0.5))).first()[0]
     return out.withColumn("price", F.coalesce("price", F.lit(median).cast("double")))
 
@@ -42,7 +49,14 @@ def join_quality(df: DataFrame, items: DataFrame, key: str = "item_id") -> DataF
     both = ours.join(theirs, key, "full_outer")
     n = lambda c, v=1: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
     here, there = F.col("n").isNotNull(), F.col("there").isNotNull()
-    out = both.agg(n(here, F.col("n")).alias("rows_total"), n(here & there, F.col("n")).alias("rows_matched"), n(here).alias("keys_total"), n(here & there).alias("keys_matched"), n(here & ~there).alias("keys_orphan"), n(~here).alias("catalogue_unused"))
+    out = both.agg(
+        n(here, F.col("n")).alias("rows_total"),
+        n(here & there, F.col("n")).alias("rows_matched"),
+        n(here).alias("keys_total"),
+        n(here & there).alias("keys_matched"),
+        n(here & ~there).alias("keys_orphan"),
+        n(~here).alias("catalogue_unused"),
+    )
     out = out.withColumns({"rows_unmatched": F.col("rows_total") - F.col("rows_matched"), "catalogue_keys": F.col("keys_matched") + F.col("catalogue_unused")})
     ratio = lambda a, b: F.round(F.col(a) / F.expr(f"nullif({b}, 0)"), 6)
     return out.withColumns({"row_coverage": ratio("rows_matched", "rows_total"), "key_coverage": ratio("keys_matched", "keys_total"), "catalogue_used": ratio("keys_matched", "catalogue_keys")})
@@ -85,7 +99,11 @@ def schema_checks(df: DataFrame, name: str, required: list[str], key: str = "ite
     absent = missing_columns(df, required)
     head = [F.lit(name).alias("name"), F.array(*[F.lit(c) for c in absent]).cast("array<string>").alias("missing"), F.lit(not absent).alias("ok")]
     if key not in df.columns:
-        return df.agg(F.count("*").alias("n_rows")).select(*head, "n_rows", *[F.lit(None).cast(t).alias(c) for c, t in (("n_missing_keys", "long"), ("missing_key_pct", "double"), ("n_changed", "long"))])
+        return df.agg(F.count("*").alias("n_rows")).select(
+            *head,
+            "n_rows",
+            *[F.lit(None).cast(t).alias(c) for c, t in (("n_missing_keys", "long"), ("missing_key_pct", "double"), ("n_changed", "long"))],
+        )
     text = F.col(key).cast("string")
     changed = F.count_if(F.col(key).isNotNull() & ~text.try_cast(dict(df.dtypes)[key]).eqNullSafe(F.col(key)))
     out = df.agg(F.count("*").alias("n_rows"), F.count_if(F.col(key).isNull()).alias("n_missing_keys"), changed.alias("n_changed"))
@@ -135,7 +153,15 @@ def lost_items(before: DataFrame, after: DataFrame, key: str = "item_id") -> Dat
 def rating_validation(df: DataFrame, low: float = 1.0, high: float = 5.0) -> DataFrame:
     r = F.nanvl("rating", F.lit(None).cast("double"))
     out = F.sum(F.when(~r.between(low, high), 1).otherwise(0)).cast("long")
-    return df.agg(F.count(r).alias("n"), F.min(r).alias("min"), F.max(r).alias("max"), F.round(F.avg(r), 4).alias("mean"), F.percentile(r, F.lit(0.5)).alias("median"), out.alias("n_out"), F.round(100.0 * out / F.count(r), 4).alias("pct_out"))
+    return df.agg(
+        F.count(r).alias("n"),
+        F.min(r).alias("min"),
+        F.max(r).alias("max"),
+        F.round(F.avg(r), 4).alias("mean"),
+        F.percentile(r, F.lit(0.5)).alias("median"),
+        out.alias("n_out"),
+        F.round(100.0 * out / F.count(r), 4).alias("pct_out"),
+    )
 
 
 def as_time(column: str, kind: str) -> Column:
@@ -167,7 +193,16 @@ def text_quality(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row a text column: non-null, blank (share of all rows), length statistics, markup (share of non-null)."""
     def one(c: str) -> DataFrame:
         size, n = F.char_length(c), lambda x: F.sum(F.when(x, 1).otherwise(0)).cast("long")
-        return df.agg(F.lit(c).alias("column"), F.count(c).alias("n"), F.round(100.0 * n(F.trim(c) == "") / F.count("*"), 4).alias("pct_blank"), F.round(F.avg(size), 1).alias("avg_len"), F.min(size).cast("long").alias("min_len"), F.max(size).cast("long").alias("max_len"), F.floor(F.percentile(size, F.lit(0.5))).cast("long").alias("median_len"), F.round(100.0 * n(F.col(c).rlike(HTML_NOISE)) / F.count(c), 4).alias("pct_html"))
+        return df.agg(
+            F.lit(c).alias("column"),
+            F.count(c).alias("n"),
+            F.round(100.0 * n(F.trim(c) == "") / F.count("*"), 4).alias("pct_blank"),
+            F.round(F.avg(size), 1).alias("avg_len"),
+            F.min(size).cast("long").alias("min_len"),
+            F.max(size).cast("long").alias("max_len"),
+            F.floor(F.percentile(size, F.lit(0.5))).cast("long").alias("median_len"),
+            F.round(100.0 * n(F.col(c).rlike(HTML_NOISE)) / F.count(c), 4).alias("pct_html"),
+        )
 
     return reduce(DataFrame.union, [one(c) for c in columns])
 
