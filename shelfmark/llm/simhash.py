@@ -17,6 +17,9 @@ flips bits that vary in one of the hot signatures of its centre. The costs know
 
 Classes are the connected components over distinct fingerprints; exact copies never meet in a join.
 
+The pipeline's near duplicates (``text_classes``) are texts whose sets of shingles have a least Jaccard similarity. They are searched
+by the same means on fingerprints of many words (``wide_links``); what the search connects is then compared exactly.
+
 Defined cases: a null text is the empty text; fewer words than a shingle make one shingle of all of them; no words give
 fingerprint 0, linked like any other; repeated rows and null ids belong to the class of their text (a class's id is the
 smallest non-null id in it); an empty table gives an empty result; other columns are not touched.
@@ -44,9 +47,16 @@ BITS = 64
 SHINGLE, DISTANCE = 3, 2
 #: A signature shared by more fingerprints than this is linked without forming pairs.
 BUCKET = 32
-#: Near duplicates by text: signatures of ROWS least hashes each, words in a shingle, least similarity. Two texts at SIMILAR
-#: share none of the BANDS signatures with probability (1 - SIMILAR ** ROWS) ** BANDS = 2.6e-5.
-BANDS, ROWS, WORDS, SIMILAR = 20, 4, 5, 0.8
+#: Near duplicates by text: words in a shingle, least similarity, and the probability at most with which two texts at SIMILAR share
+#: no signature of their fingerprints.
+WORDS, SIMILAR, MISS = 5, 0.8, 2.6e-5
+#: Partitions that a word of such a fingerprint may be dealt into, words of it that go along with a signature, and by how many
+#: standard deviations a pair at SIMILAR may differ in more of their bits than expected.
+PARTITIONS, CHECK, CHECK_DEVIATIONS = range(2, 7), 3, 4.0
+#: Texts whose fingerprints tell how bits correlate and collide (this steers costs only), and cost of a signature in pairs compared.
+SAMPLE, WIDE_SIGNATURE_COST = 2000, 100.0
+#: Signatures (40 bytes each) in a task; more texts than CROWD under one signature go to the exact comparison as one group, unpaired.
+TASK_SIGNATURES, CROWD = 500_000, 4096
 #: Bits of the sketch by which candidates are sifted before their sets are compared, in words of 64, and by how many standard
 #: deviations a pair at SIMILAR may differ in more bits than expected (beyond four: probability 3e-5).
 SKETCH, DEVIATIONS = 16, 4.0
@@ -292,38 +302,200 @@ def small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def min_hashes(h: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A signature a band of the set ``h`` of 32-bit hashes: its least values under ``rows`` hash functions. None for an empty set."""
+def text_digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, t1, t2): a hash of the text as it is and a 128-bit digest of its words in order."""
+
+    def each(batches):
+        for batch in batches:
+            t = np.array([digest(text.as_py()) for text in batch.column(2)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t[:, 0]), pa.array(t[:, 1])], names=["id", "mark", "t1", "t2"])
+
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(text_col).alias("mark"),
+        F.col(text_col).alias("text"),
+    ).mapInArrow(each, "id long, mark long, t1 long, t2 long")
+
+
+def digest(text: str | None) -> np.ndarray:
+    """Two longs that stand for the words of a text."""
+    return np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "replace").lower().split())), np.int64)
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` fingerprints of 64 bits of the set ``h``: the bits set in over half of its remixed hashes; where half of them have a
+    bit, that of the least hash decides, so that bits of small sets aren't mostly zero."""
     if not len(h):
-        return np.zeros(0, np.uint64)
-    k = np.arange(2 * bands * rows, dtype=np.uint64).reshape(2, -1, 1)
-    scale, shift = remix(k[0], 1) | np.uint64(1), remix(k[1], 2)
-    x = h.astype(np.uint64)
-    least = np.min([((x[i : i + 10_000] * scale + shift) >> np.uint64(32)).min(1) for i in range(0, len(x), 10_000)], axis=0).reshape(bands, rows)
-    out = np.arange(bands, dtype=np.uint64)
-    for r in range(rows):
-        out = remix(out ^ least[:, r], 3 + r)
+        return np.zeros(words, np.uint64)
+    seeds = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, 1)
+    ones = np.zeros((words, 8, 8), np.int64)  # by place in a byte, then byte
+    low = np.uint64(0x0101010101010101)
+    for i in range(0, len(h), 255):  # a byte counts that far
+        x = remix(h[i : i + 255] + seeds, 0)
+        lanes = np.stack([((x >> np.uint64(j)) & low).sum(1, dtype=np.uint64) for j in range(8)], axis=1)
+        ones += lanes.view(np.uint8).reshape(words, 8, 8)
+    tie = np.unpackbits(remix(h.min() + seeds, 0).view(np.uint8).reshape(words, 8), axis=1, bitorder="little")
+    return np.packbits(2 * ones.transpose(0, 2, 1).reshape(words, BITS) + tie > len(h), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def bit_odds(similarity: float) -> tuple[float, float, int]:
+    """(p, q, few): a bit of two sets of this Jaccard similarity differs with probability p at most, or q if one has ``few`` elements or
+    fewer. By the angle between them, and for how coarse the counts of small sets are 7 % and 25 % more (as enumerated at 0.8)."""
+    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return 1.07 * angle, 1.25 * angle, round(1 / (1 - similarity))
+
+
+def words_needed(m: int, differ: float, miss: float = MISS) -> int:
+    """Words of m partitions each, such that two fingerprints agree on none of all partitions with probability ``miss`` at most."""
+    widths = [BITS // m + (i < BITS % m) for i in range(m)]
+    return int(np.ceil(np.log(miss) / sum(np.log1p(-((1 - differ) ** w)) for w in widths)))
+
+
+def plan_wide(sample: np.ndarray, rows: int, m: int) -> list[tuple[int, list[int], int]]:
+    """[(word, bits, threshold)]: each word's bits dealt into m partitions, with thresholds for m - 1 bits by costs estimated from a
+    sample of fingerprints (a row each)."""
+    out, scale = [], (rows / max(len(sample), 1)) ** 2
+    for k in range(sample.shape[1]):
+        bits = np.unpackbits(sample[:, k].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+        together = bits.T @ bits
+        parts, p, costs = group_bits(len(bits), together, m), np.diag(together) / max(len(bits), 1), []
+        for part in parts:
+            same = np.unique(bits[:, part] @ 2.0 ** np.arange(len(part)), return_counts=True)[1].astype(float)
+            exact = scale * float((same * (same - 1)).sum()) / 2
+            pairs = [expected_cost(rows, p, part, exact, t) for t in (0, 1)]
+            costs.append([0.0, *(WIDE_SIGNATURE_COST * rows * ball_size(len(part), t) + c for t, c in enumerate(pairs))])
+        _, thresholds = allocate(costs, 0)
+        out += [(k, part, t) for part, t in zip(parts, thresholds, strict=True) if t >= 0]
     return out
 
 
-def text_signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, mark, t1, t2, sigs): a hash of the text as it is, a 128-bit digest of the words in order, and the signatures of the set of shingles."""
+_SIGNATURE = np.dtype([("key", "<u8"), ("node", "<i8"), ("check", "<u8", (CHECK,))])
+
+
+def wide_signatures(docs: DataFrame, n: int, plan: list[tuple[int, list[int], int]], words: int, few: int, slots: int) -> DataFrame:
+    """(text) -> (slot, found): signatures of the texts' fingerprints as packed arrays, a signature's in one of ``slots``.
+
+    Texts of more than ``few`` shingles have ``words`` words, others all that the plan has. Those without a shingle have none.
+    """
+    longest = 1 + max(k for k, _, _ in plan)
+    probes = [(i, k, part, flip) for i, (k, part, t) in enumerate(plan) for flip in ([0, *(1 << j for j in range(len(part)))] if t else [0])]
+    columns = np.full((len(probes), 32), BITS * longest)  # that column has zeros
+    for row, (_, k, part, _) in enumerate(probes):
+        columns[row, : len(part)] = [BITS * k + b for b in part]
+    index, word, flips = (np.array([x[i] for x in probes], np.uint64) for i in (0, 1, 3))
 
     def each(batches):
         for batch in batches:
-            t, sigs = np.empty((batch.num_rows, 2), np.uint64), []
-            for i, text in enumerate(batch.column(2)):
+            seen, nodes, sizes, fps = set(), [], [], []
+            for i, text in enumerate(batch.column(0), start=1):
                 text = text.as_py()
-                t[i] = np.frombuffer(xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "replace").lower().split())), np.uint64)
-                sigs.append(min_hashes(np.unique(hashes(text, n).astype(np.uint32))).view(np.int64).tolist())
-            t = t.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t[:, 0]), pa.array(t[:, 1]), pa.array(sigs, pa.list_(pa.int64()))], names=["id", "mark", "t1", "t2", "sigs"])
+                node = int(digest(text)[0])
+                if node not in seen:
+                    seen.add(node)
+                    h = np.unique(hashes(text, n))
+                    if len(h):
+                        size = longest if len(h) <= few else words
+                        fp = np.zeros(longest, np.uint64)
+                        fp[:size] = wide_fingerprint(h, size)
+                        nodes.append(node)
+                        sizes.append(size)
+                        fps.append(fp)
+                if nodes and (len(nodes) == 2000 or i == batch.num_rows):
+                    yield from packs(np.array(nodes, np.int64), np.array(sizes, np.uint64), np.array(fps))
+                    nodes, sizes, fps = [], [], []
+
+    def packs(nodes, sizes, fps):
+        bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+        bits = np.concatenate([bits, np.zeros((len(bits), 1), np.uint8)], axis=1)
+        values = np.packbits(bits[:, columns.ravel()].reshape(len(bits), -1, 32), axis=2, bitorder="little").view("<u4")[..., 0].astype(np.uint64) ^ flips
+        at, probe = np.nonzero(word < sizes[:, None])
+        out = np.empty(len(at), _SIGNATURE)
+        out["key"] = index[probe] << np.uint64(32) | values[at, probe]
+        out["node"], out["check"] = nodes[at], fps[at, :CHECK]
+        slot = (remix(out["key"], 1) % np.uint64(slots)).astype(np.int64)
+        out, ends = out[np.argsort(slot, kind="stable")], np.cumsum(np.bincount(slot, minlength=slots))
+        found = [(j, out[a:b].tobytes()) for j, (a, b) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)) if a < b]
+        yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["slot", "found"])
+
+    return docs.select("text").mapInArrow(each, "slot int, found binary")
+
+
+def forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``size`` nodes the least that the links a - b connect it to."""
+    root = np.arange(size)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def meet(found: np.ndarray, most: int, crowd: int = CROWD, held: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n): nodes of signatures, the least node each is connected to by links between two of one signature whose check words
+    differ in ``most`` bits or fewer, and how many links it has. Nodes without a link are left out; a signature of more than
+    ``crowd`` nodes connects them all. No more than ``held`` links and those of one step are held at a time."""
+    found = found[np.lexsort((found["node"], found["key"]))]
+    found = found[np.concatenate(([True], (found["key"][1:] != found["key"][:-1]) | (found["node"][1:] != found["node"][:-1])))]
+    nodes, at = np.unique(found["node"], return_inverse=True)
+    starts = np.flatnonzero(np.concatenate(([True], found["key"][1:] != found["key"][:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(found)])))
+    first, size = np.repeat(starts, sizes), np.repeat(sizes, sizes)
+    check, n = np.ascontiguousarray(found["check"]), np.zeros(len(nodes), np.int64)
+    crowded = np.flatnonzero(size > crowd)
+    a, b, waiting = [at[crowded]], [at[first[crowded]]], len(crowded)
+    np.add.at(n, at[crowded], size[crowded] - 1)
+    end = np.where(size > crowd, 0, first + size)
+    i, step = np.flatnonzero(np.arange(1, len(found) + 1) < end), 1
+    while len(i):
+        near = i[np.bitwise_count(check[i] ^ check[i + step]).sum(1, dtype=np.int64) <= most]
+        x, y = at[near], at[near + step]
+        n += np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+        a, b, waiting, step = [*a, x], [*b, y], waiting + len(x), step + 1
+        if waiting > held:
+            root = forest(len(nodes), np.concatenate(a), np.concatenate(b))
+            a, b, waiting = [np.arange(len(nodes))], [root], 0
+        i = i[i + step < end[i]]
+    root = forest(len(nodes), np.concatenate(a), np.concatenate(b))
+    linked = n > 0
+    return nodes[linked], nodes[root[linked]], n[linked]
+
+
+def wide_links(texts: DataFrame, sample: DataFrame, rows: int, n: int, similarity: float, m: int | None = None) -> DataFrame:
+    """(a, b, n): links between digests (t1) of texts, whose components hold every two whose sets of shingles are similar; n as in ``meet``.
+
+    A fingerprint has several words of 64 bits. It is searched as a single one is: bits dealt into partitions by correlation, thresholds
+    allocated by cost, variants probed within them. Texts that share a signature are verified on ``CHECK`` words. Two that
+    differ in fewer than m bits of any word are sure to share a signature. Bits enough for a pair at ``similarity`` (ten of 64)
+    would make any guaranteed search of one word quadratic; so there are as many words as it takes for such a pair, whose
+    differing bits fall at random, to share none with probability ``MISS`` at most. m has the least cost in signatures and pairs expected.
+    """
+    differ, worst, few = bit_odds(similarity)
+    if m is None:
+        m = min(PARTITIONS, key=lambda m: words_needed(m, differ) * m * (WIDE_SIGNATURE_COST + rows / 2 ** (BITS / m + 1)))
+    words, longest = words_needed(m, differ), words_needed(m, worst)
 
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(text_col).alias("mark"),
-        F.col(text_col).alias("text"),
-    ).mapInArrow(each, "id long, mark long, t1 long, t2 long, sigs array<long>")
+    def each(batches):
+        for batch in batches:
+            fps = [wide_fingerprint(np.unique(hashes(t.as_py(), n)), longest).view(np.int64).tolist() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.list_(pa.int64()))], names=["fps"])
+
+    seen = [r["fps"] for r in sample.select("text").mapInArrow(each, "fps array<long>").collect()]  # SAMPLE of them
+    plan = plan_wide(np.array(seen, np.int64).reshape(len(seen), longest).view(np.uint64), rows, m)
+    slots = max(2, -(-rows * m * words // TASK_SIGNATURES))
+    bits, worst = BITS * min(CHECK, words), max(differ, worst)
+    most = int(bits * worst + CHECK_DEVIATIONS * (bits * worst * (1 - worst)) ** 0.5)
+
+    def met(batches):
+        found = [np.frombuffer(x.as_py(), _SIGNATURE) for batch in batches for x in batch.column(0)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in meet(np.concatenate(found), most)], names=["a", "b", "n"])
+
+    signed = wide_signatures(texts, n, plan, words, few, slots)
+    return signed.repartitionById(slots, F.col("slot")).select("found").mapInArrow(met, "a long, b long, n long")
 
 
 def sketch(h: np.ndarray, size: int = SKETCH, chunk: int = 1000) -> np.ndarray:
@@ -380,16 +552,15 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return with_a.join(sets.withColumnsRenamed({"node": "b", "shingles": "_b"}), "b").filter(_same("_a", "_b", F.lit(similarity))).select("a", "b")
 
 
-def verified_components(members: DataFrame, sets: DataFrame, similarity: float, hubs: int = HUBS, bands: int = BANDS) -> DataFrame | None:
-    """(sig, band, node, score, marks, sketch) -> (node, root): the components of the links between members of one signature that are similar; None without links.
+def verified_components(members: DataFrame, sets: DataFrame, similarity: float, hubs: int = HUBS) -> DataFrame | None:
+    """(sig, node, score, sketch) -> (node, root): the components of the links between members of one group (sig) that are similar; None without links.
 
-    In each round a few members of each signature, those of highest score first, are compared with all others that are
-    not known to be connected to them, and then leave it. A signature is done when what is left of it is connected. So every
+    In each round a few members of each group, those of highest score first, are compared with all others that are
+    not known to be connected to them, and then leave it. A group is done when what is left of it is connected. So every
     pair of its members has been compared or is connected, though a large group of copies needs a pair a member only. Members
-    of a signature's largest component needn't be taken: the others meet them. A comparison takes the sketches first, within
+    of a group's largest component needn't be taken: the others meet them. A comparison takes the sketches first, within
     the join, and only pairs that they leave possible come out of it and have their sets fetched. So texts that share a
-    passage, but are not near copies, make no rows. A pair that shares several signatures is compared under that of the first band
-    only: ``marks`` has 32 bits of a node's signature in each band.
+    passage, but are not near copies, make no rows.
     """
     members, roots, most = members.withColumn("root", F.col("node")), None, most_differing(similarity)
     while True:
@@ -400,11 +571,10 @@ def verified_components(members: DataFrame, sets: DataFrame, similarity: float,
         if left.isEmpty():
             return roots
         place = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("score"), "node"))
-        hub = [F.col("sig").alias("hub_sig"), *[F.col(c).alias(f"hub_{c}") for c in ("root", "marks", "sketch")], F.col("node").alias("hub")]
+        hub = [F.col("sig").alias("hub_sig"), *[F.col(c).alias(f"hub_{c}") for c in ("root", "sketch")], F.col("node").alias("hub")]
         taken = left.filter("major is null or root <> major").select("*", place.alias("place")).filter(F.col("place") <= hubs).select(hub)
         taken = small(packed(taken), BROADCAST_SKETCHES)
-        first = reduce(lambda x, y: x & y, [(F.col("band") <= i) | (F.get("marks", F.lit(i)) != F.get("hub_marks", F.lit(i))) for i in range(bands - 1)], F.lit(True))
-        possible = (F.col("sig") == F.col("hub_sig")) & (F.col("root") != F.col("hub_root")) & (_differing("sketch", "hub_sketch") <= most) & first
+        possible = (F.col("sig") == F.col("hub_sig")) & (F.col("root") != F.col("hub_root")) & (_differing("sketch", "hub_sketch") <= most)
         met = left.join(taken, possible).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
         good = packed(_with_sets(packed(met), sets, similarity))
         gone = taken.select(F.col("hub_sig").alias("sig"), F.col("hub").alias("node"))
@@ -424,23 +594,26 @@ def _same_row(one: DataFrame, two: DataFrame):
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILAR) -> DataFrame:
     """(id, mark, least) by verified similarity of texts, for a looser notion of near duplicate than a fixed distance.
 
-    Texts link if the Jaccard similarity of their sets of n-word shingles is ``similarity`` or more. Pairs that share a
-    signature of least hashes (MinHash in bands) are compared, or else links found so far already connect them. Texts with
-    the same words are one from the start. mark is a hash of the text; least has the id and mark of the class's first row,
-    by id with null last.
+    Texts link if the Jaccard similarity of their sets of n-word shingles is ``similarity`` or more. Texts that the search by
+    SimHash fingerprints connects are a group; within it every pair is compared exactly, or else links found so far already
+    connect them. Texts with the same words are one from the start. mark is a hash of the text; least has the id and mark of
+    the class's first row, by id with null last.
     """
-    signed = cut(text_signatures(docs, id_col, text_col, n))
-    nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.first("sigs").alias("sigs"))
+    signed = cut(text_digests(docs, id_col, text_col))
+    nodes = signed.groupBy("t1", "t2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"))
     nodes = packed(nodes.withColumn("node", F.monotonically_increasing_id()), 10_000)
-    shown = nodes.select("node", F.posexplode("sigs").alias("band", "sig"))
-    shared = shown.join(packed(shown.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")), "sig")
-    scores = packed(shared.groupBy("node").agg(F.sum("n").alias("score")))
-    involved = small(packed(nodes.join(scores, "node").select("first.id", "first.mark", "node")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    picked = nodes.select("first.mark").distinct().orderBy(F.xxhash64("mark")).limit(SAMPLE)
+    sample = texts.join(F.broadcast(cut(picked)), "mark").dropDuplicates(["mark"])
+    found = packed(wide_links(texts, sample, nodes.count(), n, similarity))
+    groups = components(found, "a", "b").select(F.col("node").alias("t1"), F.col("root").alias("sig"))
+    scores = found.groupBy(F.col("a").alias("t1")).agg(F.sum("n").alias("score")).join(groups, "t1", "left")
+    grouped = nodes.join(scores, "t1").select(F.coalesce("sig", "t1").alias("sig"), "node", "score", "first")
+    grouped = packed(grouped, 10_000)
+    involved = small(packed(grouped.select("first.id", "first.mark", "node")))
     sets = cut(shingle_sets(texts.join(involved, _same_row(texts, involved)), n).dropDuplicates(["node"]))
-    marks = nodes.select("node", F.transform("sigs", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks"))
-    about = scores.join(sets.select("node", "sketch"), "node").join(marks, "node")
-    roots = verified_components(packed(shared.select("sig", "band", "node").join(about, "node"), WIDE), sets, similarity)
+    about = grouped.select("sig", "node", "score").join(sets.select("node", "sketch"), "node")
+    roots = verified_components(packed(about, WIDE), sets, similarity)
     rooted = nodes.withColumn("root", F.col("node")) if roots is None else nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     return signed.join(rooted.join(least, "root").select("t1", "t2", "least"), ["t1", "t2"]).select("id", "mark", "least")

@@ -625,6 +625,62 @@ def test_near_dedup_against_exhaustive_search(spark):
     assert got == {i: find(i) for i in parts} and len(set(got.values())) < len(got)
 
 
+def test_near_dedup_gets_its_pairs_from_fingerprints_alone(spark, monkeypatch):
+    rng, data = random.Random(30), []
+    for i in range(60):
+        words = [f"v{rng.getrandbits(40)}" for _ in range(120)]
+        data += [(2 * i, " ".join(words)), (2 * i + 1, changed(rng, words, 1))]
+    for i in range(60, 360):  # four and five shingles, of which four are shared
+        words = [f"v{rng.getrandbits(40)}" for _ in range(9)]
+        data += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component_id"] for r in simhash.similar_texts(d).collect()}
+    assert got == {i: i - i % 2 for i in range(720)}
+    monkeypatch.setattr(simhash, "wide_links", lambda *_: spark.createDataFrame([], "a long, b long, n long"))
+    assert simhash.drop_similar(d).count() == 720
+
+
+def test_wide_fingerprints_by_brute_force(spark):
+    rng, m = random.Random(31), 4
+    texts = []
+    for _ in range(40):
+        words = [f"v{rng.getrandbits(40)}" for _ in range(150)]
+        texts += [" ".join(words), *(changed(rng, words, rng.randint(1, 10)) for _ in range(3))]
+    sets = [np.unique(simhash.hashes(t, 5)) for t in texts]
+    differ, worst, few = simhash.bit_odds(0.8)
+    fps = np.array([simhash.wide_fingerprint(h, simhash.words_needed(m, differ)) for h in sets])
+    for h, fp in zip(sets, fps, strict=True):
+        for k in (0, len(fp) - 1):
+            x = simhash.remix(h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64), 0).tolist()
+            ones = [2 * sum(v >> b & 1 for v in x) for b in range(64)]
+            tie = int(simhash.remix(h[:1] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64), 0)[0])
+            assert int(fp[k]) == sum((n > len(x) or n == len(x) and tie >> b & 1) << b for b, n in enumerate(ones))
+    plan = simhash.plan_wide(fps, 10**6, m)
+    for k in range(fps.shape[1]):
+        parts = [(part, t) for word, part, t in plan if word == k]
+        assert len({b for part, _ in parts for b in part}) == sum(len(part) for part, _ in parts) <= 64
+        assert sum(t for _, t in parts) - (m - len(parts)) == 0  # thresholds for m - 1 bits; a partition that is not looked at has -1
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = simhash.wide_links(rows, rows, len(texts), 5, 0.8, m).collect()
+    root = simhash.components(spark.createDataFrame([(r["a"], r["b"]) for r in found], "a long, b long"), "a", "b").collect()
+    root = {r["node"]: r["root"] for r in root}
+    of = [root.get(x, x) for x in (int(simhash.digest(t)[0]) for t in texts)]
+    apart = np.bitwise_count(fps[:, None] ^ fps[None])
+    sure = [(i, j) for i in range(len(fps)) for j in range(i) if (apart[i, j] < m).any() and apart[i, j, : simhash.CHECK].sum() <= 40]
+    alike = [(i, j) for i in range(len(fps)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(sure) > 10 and len(alike) > 20 and all(of[i] == of[j] for i, j in sure + alike)
+
+
+def test_crowded_signatures_connect_as_pairs_do():
+    rng = np.random.default_rng(32)
+    found = np.zeros(600, simhash._SIGNATURE)
+    found["key"], found["node"], found["check"] = rng.integers(0, 60, 600), rng.integers(0, 400, 600), 1
+    (a, b, n), *others = (simhash.meet(found, 0, crowd, held) for crowd, held in ((4096, 10**6), (4096, 1), (3, 10**6)))
+    assert (n > 0).all() and all((a == x).all() and (b == y).all() and (n == z).all() for x, y, z in others)
+    found["check"][:, 0] = np.arange(600)
+    assert len(simhash.meet(found, 0)[0]) == 0
+
+
 def test_very_long_texts_are_taken_whole(spark):
     rng = random.Random(20)
     words = [f"w{rng.randint(0, 50_000)}" for _ in range(200_000)]
