@@ -182,7 +182,7 @@ def recommend_and_analyse(spark: SparkSession, prepared: str, out: str, settings
     sinks.save_json(spark, {"sizes": rows}, f"{out}/sweep.json")
     best = basis.first(next(r["n_components"] for r in rows if r["recommended"]))
     vectors = cut(latent.project(weights, best, "item_id"))
-    users = cut(latent.project(recommend.sparse_profiles(train, weights), best, "user_id"))
+    users = cut(latent.profiles(train, vectors))
     sinks.write_once(vectors, f"{out}/latent_items")
     sinks.write_once(users, f"{out}/latent_profiles")
     numbered = cut(interactions.dense_ids(vectors, "item_id", "idx"))

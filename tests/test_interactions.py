@@ -349,3 +349,22 @@ def test_checkpoints_on_a_cluster_need_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         lineage.shared_dir(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_svd_in_groups_with_the_basis_spread_out(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 40)) * (rng.random((60, 40)) < 0.3)
+    rows, cols = x.nonzero()
+    df = spark.createDataFrame([(int(i), f"f{j:02d}", float(x[i, j])) for i, j in zip(rows, cols, strict=True)], "item_id long, feature string, weight double")
+    monkeypatch.setattr(latent, "ENTRIES", 100)
+    monkeypatch.setattr(latent, "PART_BYTES", 1000)
+    basis = latent.truncated_svd(df, 5)
+    _, want, vt = np.linalg.svd(x[np.unique(rows)], full_matrices=False)
+    assert basis.spread.count() == 40 and basis.turn.shape == (15, 5)  # a row a feature; only the small matrix is here
+    assert np.allclose(basis.sigma, want[:5], rtol=1e-3) and np.allclose(basis.v.T @ basis.v, np.eye(5), atol=1e-9)
+    items = latent.project(df, basis, "item_id")
+    got = {r["item_id"]: r["vec"] for r in items.collect()}
+    assert set(got) == {int(i) for i in rows} and all(np.allclose(v, x[i] @ basis.v, atol=1e-5) for i, v in got.items())
+    train = spark.createDataFrame([(1, 3, 5.0), (1, 4, 2.0), (2, 9, 1.0), (3, 999, 4.0)], "user_id long, item_id long, rating double")
+    both = [{r["user_id"]: r["vec"] for r in t.collect()} for t in (latent.profiles(train, items), latent.project(recommend.sparse_profiles(train, df), basis, "user_id"))]
+    assert set(both[0]) == set(both[1]) and all(np.allclose(v, both[1][u], atol=1e-6) for u, v in both[0].items())
