@@ -47,6 +47,19 @@ def test_k_core_is_a_fixpoint(spark):
         interactions.k_core(df, 4, 3, max_rounds=1)
 
 
+def test_k_core_after_some_rounds(spark):
+    pairs = [(u, i) for u in range(30) for i in (u, u + 1)]  # a chain of users and items, which shrinks from its ends
+    df = spark.createDataFrame(pairs, "user_id long, item_id long")
+    want = set(pairs)
+    for n in range(1, 4):
+        for at, least in ((1, 2), (0, 2)):
+            count = {k: sum(p[at] == k for p in want) for k in {p[at] for p in want}}
+            want = {p for p in want if count[p[at]] >= least}
+        got, rounds = interactions.k_core(df, 2, 2, rounds=n)
+        assert rounds == n and {tuple(r) for r in got.select("user_id", "item_id").collect()} == want and want
+    assert interactions.k_core(df, 2, 2)[0].isEmpty()
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
