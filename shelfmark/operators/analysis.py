@@ -133,7 +133,8 @@ def qualitative_summary(train: DataFrame, recs: DataFrame, test: DataFrame, labe
 def formatted_top(df: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
     """(user_id, top): a user's most frequent categories as text with their percentages."""
     top = top_categories(df, labels, n)
-    one = F.format_string("%s (%.1f%%)", F.col("category"), F.round(100 * F.col("share"), 4))
+    percent = F.format_number(F.round(100 * F.col("share"), 4), 1)  # rounds the number itself, as C does; format_string rounds its shortest decimal form
+    one = F.format_string("%s (%s%%)", F.col("category"), percent)
     return top.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", one.alias("text")))), lambda x: x["text"]), ", ").alias("top"))  # n rows
 
 

@@ -60,6 +60,15 @@ def test_k_core_after_some_rounds(spark):
     assert interactions.k_core(df, 2, 2)[0].isEmpty()
 
 
+def test_percentages_round_as_in_c(spark):
+    counts = {(s, n) for s in (16, 80, 120, 140) for n in range(1, s)}
+    df = spark.createDataFrame([(s * 1000 + n, i) for s, n in counts for i in [0] * n + [1] * (s - n)], "user_id long, item_id long")
+    labels = spark.createDataFrame([(0, "a"), (1, "b")], "item_id long, category string")
+    got = {r["user_id"]: r["top"] for r in analysis.formatted_top(df, labels).collect()}
+    percent = lambda n, s: f"{round(100 * round(n / s, 6), 4):.1f}%"
+    assert all(f"a ({percent(n, s)})" in got[s * 1000 + n] for s, n in counts) and "a (6.2%)" in got[16_001]
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
