@@ -69,6 +69,15 @@ def test_percentages_round_as_in_c(spark):
     assert all(f"a ({percent(n, s)})" in got[s * 1000 + n] for s, n in counts) and "a (6.2%)" in got[16_001]
 
 
+def test_sparse_profiles_shuffle_packed_items(spark):
+    weights = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "b", 1.0)], "item_id long, feature string, weight double")
+    train = spark.createDataFrame([(7, 1, 4.0), (7, 2, 1.0), (7, 9, 5.0), (8, 2, 0.0), (9, 9, 1.0)], "user_id long, item_id long, rating double")
+    out = recommend.sparse_profiles(train, weights)
+    assert rows(out.select("user_id", "feature", "weight")) == [(7, "a", 0.4), (7, "b", 0.4), (8, "b", 0.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "user_id" in plan and not any("hashpartitioning(user_id" in line and "feature" in line for line in plan.splitlines())
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
