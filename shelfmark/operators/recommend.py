@@ -12,44 +12,8 @@ from shelfmark.plans.lineage import cut
 TOP_N = 10
 #: Bytes of the vectors of a block; items up to so many are sent along with one pass over the users.
 BLOCK_BYTES = 64 << 20
-
-
-def _weighted_sums(rows: DataFrame, width: int) -> DataFrame:
-    """(user_id, rating, vec) -> (user_id, sums, s, n). Partial sums are made where the rows lie: a record a user and task is
-    shuffled, not one a dimension."""
-
-    def each(batches):
-        sums, weights, counts, kind = {}, {}, {}, None
-
-        def flush():
-            users = list(sums)
-            flat = pa.array(np.concatenate([sums[u] for u in users]))
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(len(users) + 1, dtype=np.int32) * width), flat)
-            columns = [pa.array(users, kind), vec, pa.array([weights[u] for u in users]), pa.array([counts[u] for u in users])]
-            for d in (sums, weights, counts):
-                d.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["user_id", "sums", "s", "n"])
-
-        for batch in batches:
-            kind = batch.column(0).type
-            r = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) * r[:, None]
-            users, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            added = np.add.reduceat(x[order], np.flatnonzero(np.diff(at[order], prepend=-1)))
-            for u, v, k, c in zip(users.tolist(), added, np.bincount(at, r).tolist(), np.bincount(at).tolist(), strict=True):
-                sums[u] = sums[u] + v if u in sums else v
-                weights[u], counts[u] = weights.get(u, 0.0) + k, counts.get(u, 0) + c
-            if len(sums) * width * 8 > BLOCK_BYTES:
-                yield flush()
-        if sums:
-            yield flush()
-
-    kind = rows.schema["user_id"].dataType.simpleString()
-    partial = rows.mapInArrow(each, f"user_id {kind}, sums array<double>, s double, n long")
-    added = [F.sum(F.get("sums", F.lit(j))).alias(f"_{j}") for j in range(width)]
-    total = partial.groupBy("user_id").agg(*added, F.sum("s").alias("s"), F.sum("n").alias("n"))
-    return total.select("user_id", F.array(*[F.col(f"_{j}") for j in range(width)]).alias("sums"), "s", "n")
+#: Bytes of scores that a task has at a time, whatever the number of items.
+SCORE_BYTES = 8 << 20
 
 
 def dense_profiles(train: DataFrame, vectors: DataFrame, cold_below: int = 1) -> DataFrame:
@@ -59,7 +23,9 @@ def dense_profiles(train: DataFrame, vectors: DataFrame, cold_below: int = 1) ->
         return train.select("user_id", F.array().cast("array<double>").alias("profile")).limit(0)
     width = len(first["vec"])
     rows = train.filter("user_id is not null and rating is not null").join(vectors.filter("vec is not null"), "item_id").select("user_id", F.col("rating").cast("double").alias("rating"), "vec")
-    sums = _weighted_sums(rows, width)
+    # Partial sums are made where the rows lie: a record a user and task is shuffled, not one a dimension.
+    added = [F.sum(F.col("rating") * F.get("vec", F.lit(j))).alias(f"_{j}") for j in range(width)]
+    sums = rows.groupBy("user_id").agg(*added, F.sum("rating").alias("s"), F.count("*").alias("n")).withColumn("sums", F.array(*[F.col(f"_{j}") for j in range(width)])).select("user_id", "sums", "s", "n")
     divisor = F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))
     profile = F.transform("sums", lambda x: x / divisor)
     if cold_below > 1:
@@ -107,10 +73,10 @@ def cosine(a: str, b: str) -> Column:
 
 
 def _matrix(rows: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
-    """A column of arrays of one width as a matrix; there is a row at least."""
+    """A copy of a column of arrays of one width as a matrix; there is a row at least."""
     lists = rows.column(column)
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+    return np.array(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(rows.num_rows, -1)
 
 
 class Items:
@@ -118,23 +84,37 @@ class Items:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids)  # so that the first of equal scores has the smallest id
-        self.ids, self.x = ids[order], vectors[order].astype(np.float64)
-        self.norms = np.linalg.norm(self.x, axis=1)
-
-    def best(self, users: pa.RecordBatch | pa.Table, n: int) -> pa.RecordBatch:
-        """(user_id, item_id, score): the n + k items of highest cosine to each (user_id, profile, k), by partial selection."""
-        u = _matrix(users, "profile")
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = np.nan_to_num(np.round((u @ self.x.T) / np.outer(np.linalg.norm(u, axis=1), self.norms), 6))
+        self.ids, self.x = ids[order], vectors[order].astype(np.float64, copy=False)
+        for i in range(0, len(self.x), 4096):
+            _to_unit_length(self.x[i : i + 4096])
+
+    def best(self, users: pa.RecordBatch | pa.Table, n: int) -> pa.Table:
+        """(user_id, item_id, score): the n + k items of highest cosine to each (user_id, profile, k), by partial selection.
+
+        Scores are made for as many users at a time as ``SCORE_BYTES`` allow, and rounded only near the last one wanted or above.
+        """
+        u = _to_unit_length(_matrix(users, "profile"))
         wanted = np.minimum(users.column("k").to_numpy() + n, len(self.ids)).astype(int)
-        picks = []
-        for row, w in zip(s, wanted, strict=True):
-            least = np.partition(row, len(row) - w)[len(row) - w]
-            above = np.flatnonzero(row > least)
-            picks.append(np.concatenate([above, np.flatnonzero(row == least)[: w - len(above)]]))
+        picks, scores, step = [], [], max(1, SCORE_BYTES // (8 * len(self.ids)))
+        for start in range(0, len(u), step):
+            for row, w in zip(u[start : start + step] @ self.x.T, wanted[start : start + step], strict=True):
+                least = np.partition(row, len(row) - w)[len(row) - w]
+                near = np.flatnonzero(row >= least - 1.1e-6)  # all that may round to the same or more
+                rounded = np.round(row[near], 6)
+                first = np.argsort(-rounded, kind="stable")[:w]
+                picks.append(near[first])
+                scores.append(rounded[first])
         whose, what = np.repeat(np.arange(len(picks)), [len(p) for p in picks]), np.concatenate(picks)
         who = users.column("user_id").take(pa.array(whose))
-        return pa.table({"user_id": who, "item_id": pa.array(self.ids[what]), "score": pa.array(s[whose, what])})
+        return pa.table({"user_id": who, "item_id": pa.array(self.ids[what]), "score": pa.array(np.concatenate(scores))})
+
+
+def _to_unit_length(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, in place; a row that has no length becomes 0, so that its cosines do."""
+    norms = np.linalg.norm(x, axis=1)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x /= norms
+    return np.nan_to_num(x, copy=False, posinf=0, neginf=0)
 
 
 def _with_seen(profiles: DataFrame, seen: DataFrame | None) -> DataFrame:
@@ -191,7 +171,7 @@ def top(profiles: DataFrame, vectors: DataFrame, seen: DataFrame | None, n: int
 def top_block(profiles: DataFrame, vectors: DataFrame, seen: DataFrame | None, n: int = TOP_N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Top n by cosine in blocks: users and items are dealt into blocks, each pair of blocks is scored by one task, then one ranking.
 
-    A task holds one block of items and one of users, each of about ``block_bytes`` at most; it keeps a user's best
+    A task holds one block of items of about ``block_bytes`` at most, and one of users of a quarter of that; it keeps a user's best
     n + (number of seen items), by partial selection, so leaving out seen items afterwards is exact. Users and items are
     repeated once a block of the other side; other scores don't leave their task. The driver holds counts only.
     """
@@ -201,7 +181,7 @@ def top_block(profiles: DataFrame, vectors: DataFrame, seen: DataFrame | None, n
     users = cut(_with_seen(profiles, seen))
     n_items = -(-size // block_bytes)
     # Enough blocks of users to keep a cluster busy where the items make one block only.
-    n_users = max(-(-users.count() * size // max(1, vectors.count()) // block_bytes), min(users.rdd.getNumPartitions(), 1000))
+    n_users = max(-(-users.count() * size // max(1, vectors.count()) // max(1, block_bytes // 4)), min(users.rdd.getNumPartitions(), 1000))
     each = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(b - 1).cast("long")))
     left = users.withColumn("ub", F.pmod(F.xxhash64("user_id"), F.lit(n_users)).cast("long")).select("*", each(n_items).alias("ib"))
     right = vectors.select("item_id", "vec", F.pmod(F.xxhash64("item_id"), F.lit(n_items)).cast("long").alias("ib")).select("*", each(n_users).alias("ub"))

@@ -1,6 +1,8 @@
 import datetime as dt
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,26 @@ def test_sparse_profiles_shuffle_packed_items(spark):
     assert "user_id" in plan and not any("hashpartitioning(user_id" in line and "feature" in line for line in plan.splitlines())
 
 
+def test_rankings_in_bounded_memory(spark):
+    rng = np.random.default_rng(5)
+    x, u = np.round(rng.normal(size=(30_000, 4)), 1), np.round(rng.normal(size=(256, 4)), 1)
+    x[7] = 0
+    want = np.round(np.nan_to_num((u @ x.T) / (np.linalg.norm(u, axis=1)[:, None] * np.maximum(np.linalg.norm(x, axis=1), 1e-300))), 6)
+    users = pa.table({"user_id": np.arange(256), "profile": list(u), "k": np.arange(256) % 3})
+    items = recommend.Items(np.arange(30_000), x.copy())
+    tracemalloc.start()
+    got = items.best(users, 4).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * recommend.SCORE_BYTES  # 61 MB of scores in all
+    for i, mine in got.groupby("user_id"):
+        order = np.argsort(-want[i], kind="stable")[: 4 + i % 3]
+        assert mine["item_id"].tolist() == order.tolist() and np.allclose(mine["score"], want[i][order], atol=1.1e-6)
+    vec = spark.createDataFrame([(1, [1.0, 0.0])], "item_id long, vec array<double>")
+    plan = recommend.dense_profiles(spark.createDataFrame([(7, 1, 5.0)], "user_id long, item_id long, rating double"), vec)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
