@@ -100,6 +100,26 @@ def test_rankings_in_bounded_memory(spark):
     assert "Arrow" not in plan and "Python" not in plan
 
 
+def test_sparse_rankings_in_groups(spark):
+    rng = np.random.default_rng(9)
+    x, p = (np.round(rng.normal(size=(m, 30)), 1) * (rng.random((m, 30)) < 0.1) for m in (80, 20))
+    cells = lambda m, key: spark.createDataFrame([(int(i), f"f{j:02d}", float(m[i, j])) for i, j in zip(*m.nonzero(), strict=True)], f"{key} long, feature string, weight double")
+    seen = spark.createDataFrame([(u, i) for u in range(20) for i in range(u % 4)], "user_id long, item_id long")
+    want = []
+    for u in range(20):
+        scores = []
+        for i in range(80):
+            if ((p[u] != 0) & (x[i] != 0)).any() and i >= u % 4:
+                scores.append((-round(float(p[u] @ x[i] / np.linalg.norm(p[u]) / np.linalg.norm(x[i])), 6), i))
+        want += [(u, i, abs(s) if s == 0 else -s, r) for r, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    for most in (10, 1000):
+        out = recommend.top_sparse(cells(p, "user_id"), cells(x, "item_id"), seen, 5, most)
+        got = rows(out.select("user_id", "item_id", "score", "rank"))
+        assert [(u, i, r) for u, i, _, r in got] == [(u, i, r) for u, i, _, r in sorted(want, key=repr)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want, key=repr)])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "feature" not in plan  # no row a user, item and feature
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
