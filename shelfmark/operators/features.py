@@ -30,13 +30,19 @@ def vocabulary(counts: DataFrame, n_items: int, min_df: int = MIN_DF, max_df: fl
     if most is not None:
         kept = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_items))
         counts = counts.join(kept.orderBy(F.desc("n"), "term").limit(most).select("term"), "term", "left_semi")
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_items))
+    # Counts are looked at, so that this plan has all the columns of the one that joins it and reads the same shuffled rows.
+    df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_items))
     return df.withColumn("idf", F.log(F.lit(1.0 + n_items) / (1.0 + F.col("df"))) + 1)
 
 
+def raw_weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(item_id, term, w): TF-IDF before rows are brought to unit length."""
+    return counts.join(vocab, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Rows of unit length. The norm is an aggregate over the item, co-partitioned with the weights."""
-    raw = counts.join(vocab, "term").select("item_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = raw_weights(counts, vocab)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("item_id")))
     return raw.select("item_id", F.col("term").alias("feature"), (F.col("w") / norm).alias("weight"))
 

@@ -120,6 +120,14 @@ def test_sparse_rankings_in_groups(spark):
     assert "CoGroups" in plan and "feature" not in plan  # no row a user, item and feature
 
 
+def test_tfidf_counts_tokens_once(spark):
+    counts = features.term_counts(spark.createDataFrame([(i, "river garden " * (i + 1)) for i in range(6)], "item_id long, text string"))
+    vocab = features.vocabulary(counts, 6, 1, 1.0)
+    raw = features.raw_weights(counts, vocab).withColumnsRenamed({"term": "feature", "w": "weight"})
+    for out, n in ((features.tfidf(counts, vocab), 12), (features.density(raw, 6), 1)):
+        assert len(out.collect()) == n and "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
