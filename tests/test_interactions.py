@@ -128,6 +128,14 @@ def test_tfidf_counts_tokens_once(spark):
         assert len(out.collect()) == n and "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_matrices_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    data = [("train", 1, 5, 2.0), ("train", 1, 6, 1.0), ("test", 2, 5, 3.0)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(data, 2).map(lambda r: (read.add(1), r)[1]), "split string, user_id long, item_id long, rating double")
+    assert rows(interactions.matrices_over_shared_ids(df)[0]) == [("test", 1, 0, 3.0), ("train", 0, 0, 2.0), ("train", 0, 1, 1.0)] and read.value == 3
+    assert rows(interactions.rating_matrix(df)) == [(0, 0, 2.0), (0, 1, 1.0), (1, 0, 3.0)] and read.value == 6
+
+
 def test_dedup_and_ids(spark):
     df = spark.createDataFrame([(1, 1, 1), (1, 1, 3), (1, 1, 2), (2, 1, 1)], "user_id long, item_id long, ts long")
     assert rows(interactions.one_a_pair(df, F.desc("ts"))) == [(1, 1, 3), (2, 1, 1)]
